@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import near_duplicates
 from .lm import backoff_scores
 from .repeats import remove_repeats
 
@@ -44,6 +45,26 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, chr(10) ORDER BY k)) AS f FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS class_id FROM n)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.class_id, d.doc_id) AS class_id
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,5 +83,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op6_lm_scores": op6_lm_scores, "op10_substring_dedup": op10_substring_dedup}
-ORACLES = {"op6_lm_scores": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+QUERIES = {"op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup}
+ORACLES = {"op6_lm_scores": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_substring_dedup": OP10_SQL}
