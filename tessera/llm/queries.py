@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .jaccard import near_duplicates
 from .lm import backoff_scores
 from .repeats import remove_repeats
+from .rules import judge, learn_rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -65,6 +66,13 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_i
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rules = learn_rules(docs, _table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judge(docs, rules).select(*columns)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -83,5 +91,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op10_substring_dedup": op10_substring_dedup}
 ORACLES = {"op6_lm_scores": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_substring_dedup": OP10_SQL}
