@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .jaccard import near_duplicates
 from .lm import backoff_scores
+from .pii import KINDS, find_personal_data
 from .repeats import remove_repeats
 from .rules import judge, learn_rules
 
@@ -73,6 +74,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, rules).select(*columns)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    fixed = F.filter("spans", lambda s: s["fixed"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["fixed"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(said(fixed), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -91,5 +100,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op9_personal_data": op9_personal_data, "op10_substring_dedup": op10_substring_dedup}
 ORACLES = {"op6_lm_scores": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_substring_dedup": OP10_SQL}
