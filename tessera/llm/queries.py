@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import examples, formatted, turns_of, unescape
 from .jaccard import near_duplicates
 from .lm import backoff_scores
+from .mixing import mix_positions
 from .pii import KINDS, find_personal_data
 from .repeats import remove_repeats
 from .rules import judge, learn_rules
+from .sharding import shard
+from .topk import top_k
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -18,6 +22,61 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target weights: one source holds a third of the rows but gets a tenth of the mix.
+WEIGHTS = {"src0": 0.10, **{f"src{i}": 0.03 + 0.002 * i for i in range(1, 20)}}
+
+
+def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_positions(_table(spark, sf_dir, "documents"), WEIGHTS, block_rows=64, seed=17)
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")))
+    fit = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    vectors = _table(spark, sf_dir, "embeddings").where(fit).select("vec_id", real.alias("vector"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = formatted(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+    one = examples(chats.select("conv_id", "formatted", "spans"), expand=False).select("conv_id", F.struct("example_no", unescape(F.col("completion")).alias("reply")).alias("e"), "context_end")
+    replies = one.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["reply"]), "").alias("loss"), F.count("*").alias("n_examples"), F.sum("context_end").alias("context_chars"))
+    read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns_of(F.col("formatted")).alias("turns"))
+    loss = F.coalesce("loss", F.lit(""))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.join(replies.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", F.coalesce("n_examples", F.lit(0)).alias("n_examples"), F.coalesce("context_chars", F.lit(0)).alias("context_chars"))
+
+
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, 9 + length(role) + length(regexp_replace(text, '(\\*(?:</?s>|\[/?INST\]|<</?SYS>>))', '\\\1', 'g')) AS size FROM c),
+s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text) - size AS start FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+  coalesce(sum(start) FILTER (role = 'assistant'), 0)::BIGINT AS context_chars
+FROM s GROUP BY conv_id
+"""
+
+
+def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(_table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = backoff_scores(_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "n_backed_off", "n_unseen", F.round("log_score", 4).alias("log_score"))
@@ -101,5 +160,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op9_personal_data": op9_personal_data, "op10_substring_dedup": op10_substring_dedup}
-ORACLES = {"op6_lm_scores": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+QUERIES = {"op1_pfair_mix": op1_pfair_mix, "op3_top_k": op3_top_k, "op4_chat_prefix_targets": op4_chat_prefix_targets, "op5_best_fit_shards": op5_best_fit_shards, "op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op9_personal_data": op9_personal_data, "op10_substring_dedup": op10_substring_dedup}
+ORACLES = {"op3_top_k": OP3_SQL, "op4_chat_prefix_targets": OP4_SQL, "op6_lm_scores": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_substring_dedup": OP10_SQL}
