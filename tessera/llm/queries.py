@@ -9,6 +9,7 @@ from .chat import examples, formatted, turns_of, unescape
 from .jaccard import near_duplicates
 from .lm import backoff_scores
 from .mixing import mix_positions
+from .pieces import encode_pieces
 from .pii import KINDS, find_personal_data
 from .repeats import remove_repeats
 from .rules import judge, learn_rules
@@ -30,6 +31,12 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_positions(_table(spark, sf_dir, "documents"), WEIGHTS, block_rows=64, seed=17)
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_pieces(_table(spark, sf_dir, "documents"), dropout=0.1, seed=29)
+    said = F.sha2(F.array_join("ids", " "), 256)
+    return encoded.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_ids"), said.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")))
     fit = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -160,5 +167,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op1_pfair_mix": op1_pfair_mix, "op3_top_k": op3_top_k, "op4_chat_prefix_targets": op4_chat_prefix_targets, "op5_best_fit_shards": op5_best_fit_shards, "op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op9_personal_data": op9_personal_data, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_pfair_mix": op1_pfair_mix, "op2_merge_dropout": op2_merge_dropout, "op3_top_k": op3_top_k, "op4_chat_prefix_targets": op4_chat_prefix_targets, "op5_best_fit_shards": op5_best_fit_shards, "op6_lm_scores": op6_lm_scores, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_quality_rules": op8_quality_rules, "op9_personal_data": op9_personal_data, "op10_substring_dedup": op10_substring_dedup}
 ORACLES = {"op3_top_k": OP3_SQL, "op4_chat_prefix_targets": OP4_SQL, "op6_lm_scores": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_substring_dedup": OP10_SQL}
