@@ -43,10 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def groups_for(docs: DataFrame, text: str = "text") -> int:
-    """How many packed groups to deal work into, from the bytes of text."""
+def groups_for(docs: DataFrame, text: str = "text", size: int = GROUP_BYTES) -> int:
+    """How many packed groups of ``size`` bytes of text to deal work into."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(LEAST_GROUPS, -(-total // GROUP_BYTES))
+    return max(LEAST_GROUPS, -(-total // size))
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -21,6 +21,8 @@ from ._tables import groups_for, row_key
 from ._text import Words, mix, pack, ranges, slices, unpack, utf8
 
 ALPHA = 0.4
+#: Text bytes of a bucket; scoring holds some 60 times that.
+BUCKET_BYTES = 6 << 20
 _TAG = np.uint64(0x5851F42D4C957F2D)
 _SENT = "part long, bucket long, data binary"
 _PACKED = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
@@ -130,7 +132,7 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id: str = "doc_id", te
     own (and evidence for its copies).  Empty input: no rows.  Other columns are ignored.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = groups_for(plain)
+    n = groups_for(plain, size=BUCKET_BYTES)
     keyed = plain.withColumn("bucket", F.pmod(row_key(), F.lit(n).cast("long"))).groupBy("bucket")
     asked = keyed.applyInArrow(_ask(n), _SENT)
     told = asked.groupBy("part").applyInArrow(_count(), _SENT).groupBy("bucket")
