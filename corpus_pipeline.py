@@ -1,15 +1,61 @@
-"""A corpus pipeline of five operators over ``documents``."""
+"""A corpus pipeline over ``documents``: quality rules, near duplicates, personal data, mixing,
+tokens.  Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and
+returns a DataFrame; all but the last return the columns that came in.
+
+Null and empty texts fail the quality rules, so later stages don't see them when run in order; each
+stage takes them all the same.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm._tables import written
+from tessera.llm.jaccard import near_duplicates
+from tessera.llm.mixing import mixed
+from tessera.llm.pieces import encode_pieces
+from tessera.llm.pii import redact_personal_data
+from tessera.llm.queries import WEIGHTS
+from tessera.llm.rules import keep, learn_rules
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the rules keep; the rules are learned from the labels of these rows."""
+    return keep(docs, learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component (five words, similarity of 0.8 or more) the row of the least id stays;
+    rows equal in id and text are one.  Rows without words stay; a row of null id goes."""
+    found = near_duplicates(docs, size=5, num=80, den=100)
+    first = found.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(first, docs["doc_id"] == first["__id"], "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts replaced by its kind; n_chars follows."""
+    out = redact_personal_data(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mix: files follow it, and rows inside them."""
+    return mixed(docs, WEIGHTS, block_rows=64, seed=17)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, ids and whether they decode to the text."""
+    out = encode_pieces(docs, dropout=0.1, seed=29)
+    return out.select("doc_id", "n_chars", "ids", (F.length("decoded") == F.col("n_chars")).alias("whole"), F.sha2("decoded", 256).alias("text_sha256"))
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_copies), ("personal data", personal_data), ("mixing", mixing), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

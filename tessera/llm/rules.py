@@ -20,7 +20,6 @@ from ._text import Words, ranges, slices, texts, utf8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_distinct"]
 #: Rates that conditions are about: numerator, denominator.
 RATES = {"chars_per_word": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"), "dup_lines_per_line": ("n_dup_lines", "n_lines"), "repeats_per_word": ("n_repeat_words", "n_words"), "upper_per_char": ("n_upper", "word_chars"), "bangs_per_word": ("n_bangs", "n_words"), "distinct_per_word": ("n_distinct", "n_words"), "words_per_line": ("n_words", "n_lines")}
-_STATS = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in COUNTS])
 _SYMBOL, _UPPER, _BANG = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER[65:91] = True
@@ -67,13 +66,18 @@ def _stats(batches):
             for text in texts(data, offsets):
                 own = [x for x in text.split(b"\n") if x and not x.isspace()]
                 lines.append(len(own)), dup.append(len(own) - len(set(own)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id")] + [pa.array(np.asarray(x, np.int64)) for x in (words.counts, chars[words.first[1:]] - chars[words.first[:-1]], _count(_SYMBOL[data], offsets), dup, repeat, lines, _count(_UPPER[data], offsets), _count(_BANG[data], offsets), _distinct(owner, words.hashes, n))], schema=_STATS)
+            yield pa.RecordBatch.from_arrays(rows.columns + [pa.array(np.asarray(x, np.int64)) for x in (words.counts, chars[words.first[1:]] - chars[words.first[:-1]], _count(_SYMBOL[data], offsets), dup, repeat, lines, _count(_UPPER[data], offsets), _count(_BANG[data], offsets), _distinct(owner, words.hashes, n))], names=rows.schema.names + COUNTS)
 
 
 def text_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and COUNTS of each row's whole text (null: none); base_failed by fixed limits."""
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    stats = plain.mapInArrow(_stats, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return _counted(plain, text="text").drop("text")
+
+
+def _counted(rows: DataFrame, text: str) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    stats = rows.mapInArrow(_stats, f"{fields}, " + ", ".join(f"{c} long" for c in COUNTS))
     return stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -186,3 +190,12 @@ def judge(docs: DataFrame, rules: DecisionList, id: str = "doc_id", text: str =
     the list says.  Null or empty text: no words, so base_failed.  Null ids are kept; repeated
     rows are judged each; no rows in, no rows out; other columns are ignored."""
     return text_statistics(docs, id, text).withColumn("kept", ~F.col("base_failed") & rules.keeps())
+
+
+def keep(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass."""
+    names = docs.columns
+    at = names.index(text)
+    plain = docs.toDF(*[f"c{i}" if i != at else "text" for i in range(len(names))])
+    counted = _counted(plain, "text").where(~F.col("base_failed") & rules.keeps())
+    return counted.select(*plain.columns).toDF(*names)
