@@ -1,0 +1,116 @@
+"""Experiments: grids of cells, run with resume and failures recorded, to rows of the results table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import aggregation as A
+from ..operators import metrics as M
+from ..operators import selection as S
+from ..operators import subsets as U
+from ..operators.backends import CentroidBackend
+from ..operators.encode import class_prior, prior_correct, split_rows
+from ..operators.grid import cell_id, tier_of
+from ..sources.results import RESULTS
+
+TRANSDUCTIVE = ("local_mix", "crumb")
+
+
+def method_table(methods: DataFrame) -> DataFrame:
+    """(method, base, ratio, transductive) read off method names."""
+    m = F.col("method")
+    ratio = F.nullif(F.regexp_extract(m, r"^local_mix_r([0-9.]+)", 1), F.lit("")).try_cast("double")
+    trans = F.lit(False)
+    for t in TRANSDUCTIVE:
+        trans = trans | m.startswith(t)
+    return methods.select(m, F.regexp_replace(m, r"(\+.*|_corrected)$", "").alias("base"), ratio.alias("ratio"), trans.alias("transductive"))
+
+
+def normalize_config(config: dict) -> dict:
+    """Defaults; seeds as a list; dev and confirm datasets apart; names once; local_mix for each ratio."""
+    out = {"seeds": 1, "split_seeds": [0], "test_size": 0.3, "methods": [], "budgets": {}, "n_estimators": [1], **config}
+    out["seeds"] = list(range(out["seeds"])) if isinstance(out["seeds"], int) else list(out["seeds"])
+    names = [d["name"] for d in out.get("datasets", [])]
+    if len(set(names)) < len(names):
+        raise ValueError("dataset names repeat")
+    dev, confirm = ({d["name"] for d in out.get("datasets", []) if d.get("split") == s} for s in ("dev", "confirm"))
+    if dev & confirm:
+        raise ValueError(f"datasets in both splits: {sorted(dev & confirm)}")
+    ratios = out.get("local_ratios", [])
+    out["methods"] = [x for m in out["methods"] for x in ([f"local_mix_r{r}" for r in ratios] if m == "local_mix" else [m])]
+    return out
+
+
+def to_results(scores: DataFrame, **fixed) -> DataFrame:
+    """Rows (method, budget, budget_key, n_estimators, metric, value, n_train, seed, dataset) with the rest filled in."""
+    base = {"experiment": "", "split": "dev", "task": "classification", "backend": "centroid", "role": "method", "flags": "", "split_seed": 0} | fixed
+    rows = scores.withColumns({k: F.lit(v) for k, v in base.items() if k not in scores.columns})
+    rows = rows.withColumns({"ratio": F.col("budget") / F.col("n_train"), "tier": tier_of(F.col("n_train")), "value": F.round("value", 6)})
+    rows = rows.withColumn("cell", cell_id(*[F.col(c) for c in ("experiment", "dataset", "split_seed", "seed", "method", "budget_key", "budget", "n_estimators")]))
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULTS])
+
+
+def run_aggregation(datasets: dict[str, dict[str, DataFrame]], rules: list[str], sizes: list[int], seeds: list[int]) -> DataFrame:
+    """Every rule at every ensemble size, from one fit a dataset: smaller ensembles are prefixes."""
+    out = None
+    for name, c in datasets.items():
+        n = c["train"].count()
+        fit = c["out"].cache()
+        for k in sizes:
+            for rule in rules:
+                pred = A.aggregate_clf(rule, A.first_estimators(fit, k))
+                rows = M.score_classification(pred, c["truth"]).withColumns({"dataset": F.lit(name), "method": F.lit(rule), "n_estimators": F.lit(k), "budget": F.lit(None).cast("double"), "budget_key": F.lit("full"), "n_train": F.lit(n), "seed": F.explode(F.array(*[F.lit(x) for x in seeds]))})
+                out = rows if out is None else out.unionByName(rows)
+    return to_results(out, experiment="aggregation")
+
+
+def evaluate_context(train: DataFrame, test: DataFrame, context: DataFrame, estimators: int, correct: bool = False) -> DataFrame:
+    """Scores of one context: each estimator sees the same rows."""
+    every = context.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))).alias("est"))
+    pred = A.mean(CentroidBackend(estimators).clf_outputs(train, every, test))
+    if correct:
+        classes = train.select(F.col("y").alias("cls")).distinct()
+        own = train.join(context.select("row_id"), "row_id", "left_semi")
+        pred = prior_correct(pred, class_prior(own, classes), class_prior(train, classes))
+    return M.score_classification(pred, test.select("row_id", "y"))
+
+
+def run_coreset(rows: DataFrame, name: str, methods: list[str], budgets: dict[str, float], seeds: list[int], estimators: int = 2) -> DataFrame:
+    """Every method at every budget and seed, full once a seed; methods that shift classes also corrected."""
+    parts = split_rows(rows, 0)
+    train, test = parts.where("part = 'train'").drop("part").cache(), parts.where("part = 'test'").drop("part").cache()
+    n, out = train.count(), None
+    for seed in seeds:
+        todo: list[tuple[str, str, int, Callable]] = [("full", "full", n, lambda: train)]
+        for key, f in budgets.items():
+            b = max(2, round(f * n))
+            for m in methods:
+                pick = (lambda m=m, b=b: U.subsets(train, m, b, 1, seed).join(train, "row_id")) if m in U.PER_ESTIMATOR else (lambda m=m, b=b: S.select_context(train, m, b, seed))
+                todo.append((m, key, b, pick))
+        for m, key, b, pick in todo:
+            for label, correct in [(m, False)] + [(f"{m}_corrected", True)] * (m in S.PRIOR_SHIFTING):
+                role = "reference" if m == "full" else "baseline" if m == "random" else "method"
+                one = evaluate_context(train, test, pick().select("row_id"), estimators, correct).withColumns({"dataset": F.lit(name), "method": F.lit(label), "role": F.lit(role), "budget": F.lit(float(b)), "budget_key": F.lit(key), "n_train": F.lit(n), "seed": F.lit(seed), "n_estimators": F.lit(estimators)})
+                out = one if out is None else out.unionByName(one)
+    return to_results(out, experiment="coreset")
+
+
+def is_oom_error(e: BaseException) -> bool:
+    return "outofmemory" in str(e).lower().replace(" ", "") or isinstance(e, MemoryError)
+
+
+def run_cells(cells: list[str], evaluate: Callable[[str], DataFrame], done: set[str], shard: int = 0, shards: int = 1) -> tuple[DataFrame | None, list[dict]]:
+    """Results of the cells of a shard that aren't done, and the failures of those that break."""
+    out, failures = None, []
+    for i, cell in enumerate(cells):
+        if i % shards != shard or cell in done:
+            continue
+        try:
+            rows = evaluate(cell)
+            out = rows if out is None else out.unionByName(rows)
+        except Exception as e:  # noqa: BLE001  the sweep goes on
+            failures.append({"cell": cell, "error_type": type(e).__name__, "oom": is_oom_error(e), "message": str(e)[:2000]})
+    return out, failures
