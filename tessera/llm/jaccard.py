@@ -254,7 +254,7 @@ def _verify(bands: Bands):
                     near = near[_links(one, [get(f) for f in near.tolist()], bands)]
                     out.append(np.stack([np.full(len(near), a[s]), near], axis=1))
         found = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(found.min(axis=1, initial=2**62)), pa.array(found.max(axis=1, initial=-(2**62)))], schema=_LINK)
+        return pa.Table.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], schema=_LINK)
 
     return run
 
