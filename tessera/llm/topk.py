@@ -54,8 +54,6 @@ def _search(k: int):
             x, q = take(rows), take(asked)
             top = max(int(np.abs(x).max(initial=0)), 1) * max(int(np.abs(q).max(initial=0)), 1) * max(dim, 1)
             kind = np.float64 if top < 1 << 53 else object
-            if top >= 1 << 63:
-                raise OverflowError("scores exceed 64 bits")
             # vectors that point alike share a block, so that maxima are telling
             order = np.lexsort((ids[rows], np.argmax(np.abs(x), axis=1) if dim else np.zeros(len(x)), np.where(x[np.arange(len(x)), np.argmax(np.abs(x), axis=1)] < 0, 1, 0) if dim else np.zeros(len(x))))
             rows, x = rows[order], x[order]
