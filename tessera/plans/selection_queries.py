@@ -168,6 +168,7 @@ def encode_numeric(s, d):
     return E.to_numeric(data.table(s, d, "customer").select(F.col("c_custkey").alias("row_id"), "c_acctbal", "c_nationkey", "c_mktsegment"))
 
 
+# encoders and scalings are fitted on one half of the rows and applied to all: the other half is unseen
 _FT = ["p_size", "p_retailprice"]
 
 

@@ -10,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(text: str) -> T.StructType:
+    """A flat schema; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in text.split(","))])
+
+
 #: Columns of results, timings and failures.
-RESULTS = T._parse_datatype_string("experiment string, dataset string, split string, tier string, task string, seed int, method string, budget double, ratio double, n_train int, metric string, value double, backend string, role string, flags string, split_seed int, n_estimators int, budget_key string, cell string")
-TIMING = T._parse_datatype_string("cell string, dataset string, method string, budget double, n_estimators int, seed int, split_seed int, select_s double, fit_s double, predict_s double, total_s double, ingest_seq long")
-FAILURES = T._parse_datatype_string("cell string, dataset string, split_seed int, seed int, method string, budget double, error_type string, oom boolean, message string, ingest_seq long")
+RESULTS = _schema("experiment string, dataset string, split string, tier string, task string, seed int, method string, budget double, ratio double, n_train int, metric string, value double, backend string, role string, flags string, split_seed int, n_estimators int, budget_key string, cell string")
+TIMING = _schema("cell string, dataset string, method string, budget double, n_estimators int, seed int, split_seed int, select_s double, fit_s double, predict_s double, total_s double, ingest_seq long")
+FAILURES = _schema("cell string, dataset string, split_seed int, seed int, method string, budget double, error_type string, oom boolean, message string, ingest_seq long")
 KEYS = ["experiment", "dataset", "split_seed", "seed", "method", "budget", "n_estimators", "metric", "budget_key"]
 
 
