@@ -15,8 +15,8 @@ from ..operators import statistics as T
 from ..operators import validation as V
 from ..sources import datasets as DS
 from ..sources import results as R
-from . import data
-from .sql import with_
+from . import data, sql
+from .sql import CLF, P, with_
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -266,12 +266,28 @@ query("synthetic_classes")(lambda s, d: DS.make_synthetic(s, 1000, 4, 3, noise=0
 query("synthetic_regression")(lambda s, d: DS.make_synthetic(s, 1000, 4, task="regression", noise=0.1, seed=1, heavy_tail=True).select(F.count("*").alias("n"), F.round(F.avg("y"), 3).alias("mean")))
 
 
-@query("run_aggregation")
+def _run_sql() -> str:
+    ctes, parts = [*CLF, P, "tr AS (SELECT row_id, y FROM test)"], []
+    for k in (1, 4):
+        ctes += [f"o{k} AS (SELECT * FROM outs WHERE est < {k})", f"p{k} AS (SELECT * FROM pr WHERE est < {k})"]
+        ctes += [f"mean{k} AS (SELECT row_id, cls, avg(p) AS p FROM p{k} GROUP BY row_id, cls)", f"lm{k} AS (SELECT row_id, cls, avg(logit) AS logit FROM o{k} GROUP BY row_id, cls)", sql.proba(f"lm{k}", f"logit_mean{k}", "row_id"), f"med{k} AS (SELECT row_id, cls, quantile_cont(p, 0.5) AS p, avg(p) AS q FROM p{k} GROUP BY row_id, cls)", sql.renorm(f"med{k}", f"median{k}")]
+        for rule in ("mean", "logit_mean", "median"):
+            n = f"{rule}{k}"
+            ctes.append(f"t_{n} AS (SELECT row_id, cls AS c, p AS conf FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, cls) AS z FROM {n}) WHERE z = 1)")
+            ctes.append(f"u_{n} AS (SELECT cls, p, (y = cls)::INTEGER AS hit, rank() OVER (PARTITION BY cls ORDER BY p) + (count(*) OVER (PARTITION BY cls, p) - 1) / 2.0::DOUBLE AS r FROM {n} JOIN tr USING (row_id))")
+            ctes.append(f"v_{n} AS (SELECT CASE WHEN sum(hit) > 0 AND sum(hit) < count(*) THEN (sum(r) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0::DOUBLE) / (sum(hit)::DOUBLE * (count(*) - sum(hit))) END AS area FROM u_{n} GROUP BY cls)")
+            ctes.append(f"e_{n} AS (SELECT count(*) AS n, avg((c = y)::INTEGER) AS acc, avg(conf) AS conf FROM t_{n} JOIN tr USING (row_id) GROUP BY least(floor(conf * 15), 14))")
+            head = f"SELECT '{rule}' AS method, {k} AS n_estimators"
+            parts += [f"{head}, 'log_loss' AS metric, round(-avg(ln(least(greatest(p, 1e-15), 1))), 6) AS value FROM {n} JOIN tr ON tr.row_id = {n}.row_id AND tr.y = {n}.cls", f"{head}, 'accuracy', round(avg((c = y)::INTEGER), 6) FROM t_{n} JOIN tr USING (row_id)", f"{head}, 'roc_auc', round(avg(area), 6) FROM v_{n}", f"{head}, 'ece', round(sum(n * abs(acc - conf)) / sum(n), 6) FROM e_{n}"]
+    return with_(*ctes, select=" UNION ALL ".join(parts))
+
+
+@query("run_aggregation", _run_sql())
 def run_aggregation(s, d):
     from .runner import run_aggregation as run
 
     c = data.clf(s, d)
-    return run({"vectors": c}, ["mean", "logit_mean", "median"], [1, 4], [0])
+    return run({"vectors": c}, ["mean", "logit_mean", "median"], [1, 4], [0]).select("method", "n_estimators", "metric", "value")
 
 
 @query("run_coreset")

@@ -260,10 +260,14 @@ def gate_holdout(s, d):
     return R.gate_holdout(data.orders(s, d), 0)
 
 
-@query("gate_fit_grid")
+_GF = [*sql.CLF, _lloyd("train", "ce", "4", "gate"), f"gd AS (SELECT t.row_id, z.c AS est, {_d2('t.f', 'z.v')} AS d2 FROM test t CROSS JOIN ce z)", _near("train", "ce", "na"), "tau AS (SELECT CASE WHEN t > 0 THEN t ELSE 1 END AS t0 FROM (SELECT quantile_cont(d2, 0.5) AS t FROM na))", sql.P, "gs AS (SELECT pr.row_id, pr.est, greatest(-50, ln(greatest(pr.p, 1e-300))) AS s FROM pr JOIN test t ON t.row_id = pr.row_id AND t.y = pr.cls)",
+       "gt AS (SELECT t0 * pow(10, -2 + 4 * i / 40.0::DOUBLE) AS tau FROM tau CROSS JOIN (SELECT unnest(range(41)) AS i))", "gz AS (SELECT tau, row_id, est, exp(-(d2 - min(d2) OVER (PARTITION BY tau, row_id)) / tau) AS w FROM gd CROSS JOIN gt)", "gm AS (SELECT tau, gz.row_id, sum(w * exp(s)) / sum(w) AS m FROM gz JOIN gs ON gs.row_id = gz.row_id AND gs.est = gz.est GROUP BY tau, gz.row_id)", "gl AS (SELECT tau, -avg(ln(m)) AS loss FROM gm GROUP BY tau)"]
+
+
+@query("gate_fit_grid", with_(*_GF, select="SELECT round(arg_min(tau, loss), 6) AS tau, round(min(loss), 6) AS loss FROM gl"))
 def gate_fit_grid(s, d):
     c = data.clf(s, d)
     dist, tau = R.gate_distances(c["train"], c["test"], data.ESTIMATORS, 0)
     score = R.gate_scores(c["out"], c["truth"])
     fit = R.fit_gate(dist, score, tau)
-    return s.createDataFrame([(fit.tau, fit.loss)], "tau double, loss double")
+    return s.createDataFrame([(round(fit.tau, 6), round(fit.loss, 6))], "tau double, loss double")
