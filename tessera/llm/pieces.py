@@ -15,8 +15,10 @@ the model would take for a blank, is sent as bytes.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from ._text import mix, slices
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ways in which one chunk may be cut; chunks remembered at most.
-VARIANTS, REMEMBER = 2, 500_000
+VARIANTS, REMEMBER = 2, 400_000
 #: Characters of a chunk up to which the agenda is a list; level of no candidate.
 SHORT, NONE = 48, 1 << 30
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -176,49 +178,53 @@ class Encoder:
         self.variants = variants if dropout > 0 else 1
         draws = mix(np.arange(_COINS, dtype=np.uint64) + mix(np.array([seed], np.uint64))) >> np.uint64(40)
         self.coins = (draws < np.uint64(int(dropout * (1 << 24)))).astype(np.uint8).tobytes() if dropout > 0 else None
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.sizes = 0
         lit = BLANK.encode()
-        self.literal = [model.byte[b] for b in lit]
+        self.literal = array("i", [model.byte[b] for b in lit]).tobytes()
 
     def key(self, chunk: str, variant: int) -> int:
-        x = (variant + 1) * 2654435761 + int(self.seed) * 97
-        for c in chunk:
-            x = (x * 31 + ord(c)) & 0xFFFFFFFF
-        return (x ^ x >> 15) * 40503 & 0xFFFFFFFF
-
-    def chunk(self, chunk: str, variant: int) -> tuple[int, ...]:
-        own = self.known[variant]
-        got = own.get(chunk)
+        return crc32(chunk.encode(), (variant + 1) * 2654435761 + int(self.seed) * 97 & 0xFFFFFFFF)
+
+    def chunk(self, chunk: str, variant: int) -> bytes:
+        own, old = self.known[variant], self.older[variant]
+        got = old.get(chunk)
         if got is None:
-            got = self.model.encode_chunk(chunk.replace(" ", BLANK), self.coins, self.key(chunk, variant) if self.coins else 0)
-            if len(chunk) <= 64:
-                if self.sizes >= REMEMBER:
-                    for d in self.known:
-                        d.clear()
-                    self.sizes = 0
-                self.sizes += 1
-                own[chunk] = got
+            got = array("i", self.model.encode_chunk(chunk.replace(" ", BLANK), self.coins, self.key(chunk, variant) if self.coins else 0)).tobytes()
+        if len(chunk) <= 64:
+            own[chunk] = got
+            self.sizes += 1
+            if self.sizes >= REMEMBER:
+                # what wasn't met since the last time goes
+                for i, d in enumerate(self.known):
+                    self.older[i], self.known[i] = d, {}
+                self.sizes = 0
         return got
 
-    def encode(self, text: str, document: int) -> list[int]:
+    def encode(self, text: str, document: int) -> bytes:
+        """The ids as 32-bit numbers."""
         if not text:
-            return []
-        out: list[int] = []
+            return b""
+        out: list[bytes] = []
+        known, chunk = self.known, self.chunk
         for k, part in enumerate((" " + text).split(BLANK)):
             if k:
-                out += self.literal
+                out.append(self.literal)
             chunks = _CHUNK.findall(part)
             if self.variants == 1:
-                which = [0] * len(chunks)
+                first = known[0]
+                out += [first.get(c) or chunk(c, 0) for c in chunks]
             else:
                 places = np.arange(len(chunks), dtype=np.uint64) + mix(np.array([document & 0xFFFFFFFFFFFFFFFF, k], np.uint64) + self.seed).sum()
-                which = (mix(places) % np.uint64(self.variants)).tolist()
-            known = self.known
-            for c, v in zip(chunks, which):
-                got = known[v].get(c)
-                out += got if got is not None else self.chunk(c, v)
-        return out
+                out += [known[v].get(c) or chunk(c, v) for c, v in zip(chunks, (mix(places) % np.uint64(self.variants)).tolist())]
+        return b"".join(out)
+
+
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, dropout: float, seed: int) -> Encoder:
+    """One a worker process, so that tasks after the first know its chunks."""
+    return Encoder(_model(data), dropout, seed)
 
 
 _IDS = "doc_id long, n_chars long, ids array<int>, decoded string"
@@ -227,19 +233,19 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", pa
 
 def _run(data: bytes, dropout: float, seed: int):
     def run(batches):
-        model = _model(data)
-        encoder = Encoder(model, dropout, seed)
+        encoder = _encoder(data, dropout, seed)
+        parts = pa.array(encoder.model.bytes, pa.binary())
         for batch in batches:
             for rows in slices(batch, limit=1 << 20):
-                docs = rows.column("doc_id").to_pylist()
-                flat, ends, decoded, chars = [], [0], [], []
-                for d, text in zip(docs, rows.column("text").to_pylist()):
-                    ids = encoder.encode(text or "", d if d is not None else -1)
-                    flat += ids
-                    ends.append(len(flat))
-                    decoded.append(model.decode(ids))
-                    chars.append(len(text or ""))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(chars, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32))), pa.array(decoded, pa.string())], schema=_SCHEMA)
+                docs, own = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+                found = [encoder.encode(text or "", d if d is not None else -1) for d, text in zip(docs, own)]
+                ends = np.cumsum([0] + [len(f) // 4 for f in found])
+                ids = pa.array(np.frombuffer(b"".join(found), np.int32))
+                taken = parts.take(ids)
+                places = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else ends
+                body = taken.buffers()[2].to_pybytes() if len(ids) else b""
+                decoded = [body[a + 1 : b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(t or "") for t in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids), pa.array(decoded, pa.binary()).cast(pa.string())], schema=_SCHEMA)
 
     return run
 
