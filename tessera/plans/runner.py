@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,36 +54,40 @@ def to_results(scores: DataFrame, **fixed) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULTS])
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def run_aggregation(datasets: dict[str, dict[str, DataFrame]], rules: list[str], sizes: list[int], seeds: list[int]) -> DataFrame:
-    """Every rule at every ensemble size, from one fit a dataset: smaller ensembles are prefixes."""
-    out = None
+    """Every rule at every ensemble size, from one fit a dataset (smaller ensembles are prefixes); all
+    predictions of a dataset are scored together."""
+    out = []
     for name, c in datasets.items():
         n = c["train"].count()
         fit = c["out"].cache()
-        for k in sizes:
-            for rule in rules:
-                pred = A.aggregate_clf(rule, A.first_estimators(fit, k))
-                rows = M.score_classification(pred, c["truth"]).withColumns({"dataset": F.lit(name), "method": F.lit(rule), "n_estimators": F.lit(k), "budget": F.lit(None).cast("double"), "budget_key": F.lit("full"), "n_train": F.lit(n), "seed": F.explode(F.array(*[F.lit(x) for x in seeds]))})
-                out = rows if out is None else out.unionByName(rows)
-    return to_results(out, experiment="aggregation")
+        preds = [A.aggregate_clf(rule, A.first_estimators(fit, k)).select(F.lit(rule).alias("method"), F.lit(k).alias("n_estimators"), "row_id", "cls", "p") for k in sizes for rule in rules]
+        scores = M.score_classification(_union(preds).cache(), c["truth"], by=("method", "n_estimators"))
+        out.append(scores.withColumns({"dataset": F.lit(name), "budget": F.lit(None).cast("double"), "budget_key": F.lit("full"), "n_train": F.lit(n), "seed": F.explode(F.array(*[F.lit(x) for x in seeds]))}))
+    return to_results(_union(out), experiment="aggregation")
 
 
-def evaluate_context(train: DataFrame, test: DataFrame, context: DataFrame, estimators: int, correct: bool = False) -> DataFrame:
-    """Scores of one context: each estimator sees the same rows."""
+def context_predictions(train: DataFrame, test: DataFrame, context: DataFrame, estimators: int, correct: bool = False) -> DataFrame:
+    """(row_id, cls, p) of one context: each estimator sees the same rows."""
     every = context.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))).alias("est"))
     pred = A.mean(CentroidBackend(estimators).clf_outputs(train, every, test))
     if correct:
         classes = train.select(F.col("y").alias("cls")).distinct()
         own = train.join(context.select("row_id"), "row_id", "left_semi")
         pred = prior_correct(pred, class_prior(own, classes), class_prior(train, classes))
-    return M.score_classification(pred, test.select("row_id", "y"))
+    return pred
 
 
 def run_coreset(rows: DataFrame, name: str, methods: list[str], budgets: dict[str, float], seeds: list[int], estimators: int = 2) -> DataFrame:
-    """Every method at every budget and seed, full once a seed; methods that shift classes also corrected."""
+    """Every method at every budget and seed, full once a seed; methods that shift classes also
+    corrected.  All predictions are scored together."""
     parts = split_rows(rows, 0)
     train, test = parts.where("part = 'train'").drop("part").cache(), parts.where("part = 'test'").drop("part").cache()
-    n, out = train.count(), None
+    n, preds = train.count(), []
     for seed in seeds:
         todo: list[tuple[str, str, int, Callable]] = [("full", "full", n, lambda: train)]
         for key, f in budgets.items():
@@ -92,10 +97,11 @@ def run_coreset(rows: DataFrame, name: str, methods: list[str], budgets: dict[st
                 todo.append((m, key, b, pick))
         for m, key, b, pick in todo:
             for label, correct in [(m, False)] + [(f"{m}_corrected", True)] * (m in S.PRIOR_SHIFTING):
-                role = "reference" if m == "full" else "baseline" if m == "random" else "method"
-                one = evaluate_context(train, test, pick().select("row_id"), estimators, correct).withColumns({"dataset": F.lit(name), "method": F.lit(label), "role": F.lit(role), "budget": F.lit(float(b)), "budget_key": F.lit(key), "n_train": F.lit(n), "seed": F.lit(seed), "n_estimators": F.lit(estimators)})
-                out = one if out is None else out.unionByName(one)
-    return to_results(out, experiment="coreset")
+                pred = context_predictions(train, test, pick().select("row_id"), estimators, correct)
+                preds.append(pred.select(F.lit(label).alias("method"), F.lit(key).alias("budget_key"), F.lit(float(b)).alias("budget"), F.lit(seed).alias("seed"), "row_id", "cls", "p"))
+    scores = M.score_classification(_union(preds).cache(), test.select("row_id", "y"), by=("method", "budget_key", "budget", "seed"))
+    role = F.when(F.col("method") == "full", "reference").when(F.col("method") == "random", "baseline").otherwise("method")
+    return to_results(scores.withColumns({"dataset": F.lit(name), "role": role, "n_train": F.lit(n), "n_estimators": F.lit(estimators)}), experiment="coreset")
 
 
 def is_oom_error(e: BaseException) -> bool:
