@@ -40,7 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made; nothing may read them any more."""
+    for t in tables:
+        _, path = _paths.pop(id(t), (None, None))
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def groups_for(docs: DataFrame, text: str = "text", size: int = GROUP_BYTES) -> int:
@@ -67,7 +80,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y").where("x <> y")
-        now = written(small.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "star")
+        last, now = now, written(small.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "star")
+        freed(last)
         new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 30) - 1)))).first())
         if new == sign:
             break

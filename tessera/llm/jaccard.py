@@ -14,22 +14,27 @@ after these are linked, what is still apart is compared exactly: sets outside th
 of a cluster against the whole cluster, in blocks of bounded size.  So no link between
 components is lost, and a group of near copies costs about its size, not its square.
 
-Pairs are verified on whole sets of 64-bit shingle hashes.
+Pairs are first held against sketches that can't rule out a link, then verified on whole sets of
+64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import components, groups_for, row_key, written
+from ._tables import components, freed, groups_for, row_key, written
 from ._text import Words, mix, pack, ranges, slices, unpack, utf8, windows
 
 #: Classes under one signature up to which all pairs are tried; rows of a block beyond that.
 FEW, BLOCK = 24, 2048
-_BAND = 1.38
+#: One spare partition for so many needed.
+SPARE = 5
+#: Cells of a sketch.
+CELLS = 128
+_BAND = 1.3
 _S = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6D)]
 _LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 
@@ -79,6 +84,13 @@ def fingerprints(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total[end] - total[end - n] + n.astype(np.uint64) * _S[1]).view(np.int64)
 
 
+def sketches(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall in each of CELLS cells, modulo 256.  The sum of differences
+    between two rows (the shorter way round) is never more than the sets differ by."""
+    cell = (mix(x ^ _S[2]) >> np.uint64(57)).astype(np.int64) + np.repeat(np.arange(len(n)) * CELLS, n)
+    return (np.bincount(cell, minlength=len(n) * CELLS) & 255).astype(np.uint8).reshape(-1, CELLS)
+
+
 def _cells(x: np.ndarray, d: np.ndarray, n1: np.ndarray, seed: int):
     """Content hash and count of each cell: rows are partitions of the sets one after the other."""
     base = np.cumsum(n1) - n1
@@ -110,14 +122,18 @@ def signatures(x: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         who = np.flatnonzero((band <= high) & (bands.k[np.minimum(band, len(bands.k) - 1)] > 0) & (n > 0))
         if not len(who):
             continue
-        size, n1 = n[who], bands.k[band[who]] // 2 + 1
+        need = bands.k[band[who]] // 2 + 1
+        spare = 1 + need // SPARE
+        size, n1 = n[who], need + spare
         d = np.repeat(np.arange(len(who)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[who], size)
         y, own = x[at], np.repeat(np.arange(len(who)), n1)
         sig, empty = _pairs_of_cells(*_cells(y, d, n1, 0), band[who][own])
         sigs.append(sig[~empty]), owners.append(who[np.broadcast_to(own[:, None], sig.shape)[~empty]])
-        if empty.any():
-            lost = np.unique(own[empty.any(axis=1)])
+        light = np.bincount(own[empty.any(axis=1)], minlength=len(who)) > spare
+        if light.any():
+            empty &= light[own][:, None]
+            lost = np.flatnonzero(light)
             again = np.full(len(who), -1)
             again[lost] = np.arange(len(lost))
             keep = again[d] >= 0
@@ -131,7 +147,7 @@ def signatures(x: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray,
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-_MEMBER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+_MEMBER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 _PACKED = pa.schema([("part", pa.int64()), ("data", pa.binary())])
 _TRIED = pa.schema([("kind", pa.int32()), ("vb", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 _SET = pa.schema([("fp", pa.int64()), ("data", pa.binary())])
@@ -143,7 +159,8 @@ def _members(size: int):
         for batch in batches:
             for rows in slices(batch):
                 x, n = shingle_sets(rows.column("text"), size)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), pa.array(fingerprints(x, n), mask=n == 0), pa.array(n, pa.int64())], schema=_MEMBER)
+                whole = sketches(x, n).tobytes()
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), pa.array(fingerprints(x, n), mask=n == 0), pa.array(n, pa.int64()), pa.array([whole[i : i + CELLS] for i in range(0, len(whole), CELLS)], pa.binary())], schema=_MEMBER)
 
     return run
 
@@ -173,24 +190,29 @@ def _sign(size: int, bands: Bands, parts: int):
                 for s, m in zip(starts.tolist(), sizes.tolist()):
                     first, times = ranges(who[s : s + m])
                     y = sig[s : s + m]
-                    out.append((int(part[s]), pack((y >> _32).astype(np.uint16), y.astype(np.uint32), fp[who[s : s + m][first]], times.astype(np.uint32))))
+                    own = who[s : s + m][first]
+                    out.append((int(part[s]), pack((y >> _32).astype(np.uint16), y.astype(np.uint32), fp[own], times.astype(np.uint32), n[own].astype(np.uint32))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], schema=_PACKED)
 
     return run
 
 
-def _try(parts: int):
+def _try(bands: Bands, parts: int):
+    """Rows of kind 0: pairs a < b to try, and the place vb where sets of a group meet; of kind 1: a
+    class b under a signature of many, with the least class a there."""
+
     def run(table: pa.Table) -> pa.Table:
-        sig, fp = [], []
+        sig, fp, size = [], [], []
         for data in table.column("data").to_pylist():
-            high, low, who, times = unpack(data)
-            sig.append((high.astype(np.uint64) << _32) | low), fp.append(np.repeat(who, times))
-        sig, fp = np.concatenate(sig), np.concatenate(fp)
+            high, low, who, times, n = unpack(data)
+            sig.append((high.astype(np.uint64) << _32) | low), fp.append(np.repeat(who, times)), size.append(np.repeat(n, times))
+        sig, fp, size = np.concatenate(sig), np.concatenate(fp), np.concatenate(size).astype(np.int64)
         order = np.lexsort((fp, sig))
-        sig, fp = sig[order], fp[order]
+        sig, fp, size = sig[order], fp[order], size[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])])
-        sig, fp = sig[new], fp[new]
+        sig, fp, size = sig[new], fp[new], size[new]
+        fit = lambda x, y: bands.den * np.minimum(x, y) >= bands.num * np.maximum(x, y)
         starts, sizes = ranges(sig)
         where = lambda f: (mix(f.view(np.uint64) ^ _S[5]) % np.uint64(parts)).astype(np.int64)
         rows = [np.zeros((0, 3), np.int64)]
@@ -199,15 +221,18 @@ def _try(parts: int):
             if len(at):
                 group = fp[at[:, None] + np.arange(m)]
                 i, j = np.triu_indices(m, 1)
-                rows.append(np.stack([np.repeat(where(group[:, 0].copy()), len(i)), group[:, i].reshape(-1), group[:, j].reshape(-1)], axis=1))
+                sizes_ = size[at[:, None] + np.arange(m)]
+                some = fit(sizes_[:, i], sizes_[:, j]).reshape(-1)
+                rows.append(np.stack([np.repeat(where(group[:, 0].copy()), len(i)), group[:, i].reshape(-1), group[:, j].reshape(-1)], axis=1)[some])
         many = [np.zeros((0, 2), np.int64)]
         for s, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
             group = fp[s : s + m]
             for pivot in {int(group[0]), *(int(group[np.argmin(mix(group.view(np.uint64) ^ _S[z]))]) for z in (1, 2))}:
-                rest = group[group != pivot]
+                own = size[s : s + m]
+                rest = group[(group != pivot) & fit(own, own[group == pivot][0])]
                 rows.append(np.stack([where(rest), np.minimum(rest, pivot), np.maximum(rest, pivot)], axis=1))
-            many.append(np.stack([np.full(m, sig[s], np.int64), group], axis=1))
-        pairs, many = np.unique(np.concatenate(rows), axis=0), np.concatenate(many)
+            many.append(np.stack([np.full(m - 1, group[0]), group[1:]], axis=1))
+        pairs, many = np.unique(np.concatenate(rows), axis=0), np.unique(np.concatenate(many), axis=0)
         n, k = len(pairs), len(many)
         zero = np.zeros(k, np.int64)
         return pa.Table.from_arrays([pa.array(np.repeat([0, 1], [n, k]).astype(np.int32)), pa.array(np.append(pairs[:, 0], zero)), pa.array(np.append(pairs[:, 1], many[:, 0])), pa.array(np.append(pairs[:, 2], many[:, 1]))], schema=_TRIED)
@@ -235,6 +260,45 @@ def _links(one: np.ndarray, others: list[np.ndarray], bands: Bands) -> np.ndarra
     return bands.den * both >= bands.num * (len(one) + sizes - both)
 
 
+def _forest(found: np.ndarray) -> np.ndarray:
+    """As few of the links (rows a, b) as connect the same sets."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(found.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return found[keep]
+
+
+def _near(bands: Bands):
+    """Pairs that their sizes and sketches don't rule out."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        names, n = sets.column("fp").to_numpy(), sets.column("n").to_numpy()
+        order = np.argsort(names)
+        names, n = names[order], n[order]
+        flat = np.frombuffer(b"".join(sets.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)[order]
+        out = []
+        for batch in pairs.to_batches(max_chunksize=16384):
+            a, b = np.searchsorted(names, batch.column("a").to_numpy()), np.searchsorted(names, batch.column("b").to_numpy())
+            gap = flat[a] - flat[b]
+            least = np.minimum(gap, -gap).sum(axis=1, dtype=np.int64)
+            both = n[a] + n[b]
+            # differences that linking sets of these sizes have at most
+            out.append(batch.filter(pa.array((bands.den + bands.num) * least <= (bands.den - bands.num) * both)))
+        return pa.Table.from_batches(out, schema=pairs.schema).select(["vb", "a", "b"]) if out else pairs.select(["vb", "a", "b"])
+
+    return run
+
+
 def _verify(bands: Bands):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         by = dict(zip(sets.column("fp").to_pylist(), sets.column("data").to_pylist()))
@@ -253,7 +317,7 @@ def _verify(bands: Bands):
                 if len(near):
                     near = near[_links(one, [get(f) for f in near.tolist()], bands)]
                     out.append(np.stack([np.full(len(near), a[s]), near], axis=1))
-        found = np.concatenate(out)
+        found = _forest(np.concatenate(out))
         return pa.Table.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], schema=_LINK)
 
     return run
@@ -284,7 +348,8 @@ def _compare(bands: Bands):
             if len(hit):
                 _, first = np.unique(comp[hit], return_index=True)
                 out += [(int(fp[i]), int(fp[j])) for j in hit[first].tolist()]
-        return pa.Table.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], schema=_LINK)
+        found = _forest(np.array(out, np.int64).reshape(-1, 2))
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_LINK)
 
     return run
 
@@ -302,19 +367,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bands, n = Bands(num, den), groups_for(plain)
     keyed = plain.withColumn("key", row_key())
-    member = written(keyed.mapInArrow(_members(size), "doc_id long, key long, fp long, n long"), "members")
+    member = written(keyed.mapInArrow(_members(size), "doc_id long, key long, fp long, n long, sketch binary"), "members")
     signed = plain.select("text").mapInArrow(_sign(size, bands, n), "part long, data binary")
-    tried = written(signed.groupBy("part").applyInArrow(_try(n), "kind int, vb long, a long, b long"), "tried")
-    pairs = tried.where("kind = 0").select("vb", "a", "b").distinct()
-    many = tried.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("fp"))
-    wanted = tried.where("kind = 0").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key")).join(wanted, "fp")
-    sets = written(keyed.join(one, "key").select("fp", "text").mapInArrow(_sets(size), "fp long, data binary"), "sets").dropDuplicates(["fp"])
-    asked = tried.where("kind = 0").select(F.col("vb").alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
-    links = written(pairs.groupBy("vb").cogroup(asked.join(sets, "fp").groupBy("at")).applyInArrow(_verify(bands), "a long, b long").distinct(), "links")
+    tried = written(signed.groupBy("part").applyInArrow(_try(bands, n), "kind int, vb long, a long, b long"), "tried")
+    one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    ends = lambda pairs, at: pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
+    # sketches meet where the smaller class is, sets where their group is
+    pairs = tried.where("kind = 0").groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.pmod(F.xxhash64("a"), F.lit(n).cast("long")))
+    sketched = ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
+    near = written(pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(_near(bands), "vb long, a long, b long"), "near")
+    # a class's other least classes hang on the least of them
+    hung = tried.where("kind = 1").select("a", "b").distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    many = written(hung.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "many")
+    freed(tried)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).union(many.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = written(keyed.join(one.select("fp", "key").join(wanted, "fp"), "key").select("fp", "text").mapInArrow(_sets(size), "fp long, data binary"), "sets")
+    whole = sets.dropDuplicates(["fp"])
+    links = written(near.groupBy("vb").cogroup(ends(near, "vb").join(whole, "fp").groupBy("at")).applyInArrow(_verify(bands), "a long, b long").distinct(), "links")
     roots = components(links)
     if not many.isEmpty():
-        roots = _settle(many, links, roots, sets, bands)
+        roots = _settle(many, links, roots, whole, bands)
+    freed(near, many, sets, links)
     low = member.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     rooted = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
@@ -324,8 +397,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """Roots after what signatures with many classes have in common is compared whole."""
-    pivot = many.groupBy("sig").agg(F.min("fp").alias("p"))
-    cluster = components(many.join(pivot, "sig").select(F.col("fp").alias("a"), F.col("p").alias("b")).distinct())
+    cluster = components(many)
     node = cluster.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).join(roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     node = written(node, "clusters")
     sized = node.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
@@ -339,4 +411,6 @@ def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame
     apart = open_.where("comp <> top").select("cluster", salt("nt").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(True).alias("apart"), "fp", "comp", "data")
     whole = open_.select("cluster", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("i"), salt("na").alias("j"), F.lit(False).alias("apart"), "fp", "comp", "data")
     more = apart.unionByName(whole).groupBy("cluster", "i", "j").applyInArrow(_compare(bands), "a long, b long")
-    return components(links.union(more))
+    settled = components(links.union(more))
+    freed(node, open_)
+    return settled
