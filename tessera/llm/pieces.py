@@ -1,14 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A merge-type model joins, again and again, the two neighbouring pieces whose union has the best
-score; candidates wait in an agenda.  With dropout a candidate that comes up is skipped if a keyed
-hash of (seed, variant, chunk, place, union) says so, at the given rate.  The variant of each
-chunk follows from seed, document and place, so a word is cut differently from one place to another,
-and every run gives the same ids.  What is skipped stays in smaller pieces, hence decoding gives
-the same text.
+score; candidates wait in an agenda.  With dropout each candidate that comes up is skipped at the given
+rate: a hash keyed by seed, document and place of the chunk in the text says how many candidates
+come up until the next is skipped (a geometric gap, the same as a coin for each).  So each occurrence
+of a word is cut on its own, and every run gives the same ids.  What is skipped stays in smaller
+pieces, hence decoding gives the same text.
 
 No piece joins a blank to what stands before it, so a text is cut into chunks (blanks and what
-follows) that are encoded apart; each process keeps what it has encoded.  A literal U+2581, which
+follows) that are encoded apart; each process keeps what it has encoded, by chunk and by the numbers
+of the candidates skipped, on which alone a chunk's ids depend.  A literal U+2581, which
 the model would take for a blank, is sent as bytes.
 """
 
@@ -16,9 +17,9 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ from ._text import mix, slices
 #: The model's mark for a blank, and where its file lies.
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Ways in which one chunk may be cut; chunks remembered at most.
-VARIANTS, REMEMBER = 2, 400_000
+#: Cuts remembered at most; characters of a chunk, and skips in it, up to which its cut is remembered.
+REMEMBER, REMEMBER_LONG, REMEMBER_SKIPS = 400_000, 64, 2
+#: Candidates that one draw decides at most; a longer gap is drawn on.
+REACH = 64
 #: Characters of a chunk up to which the agenda is a list; level of no candidate.
 SHORT, NONE = 48, 1 << 30
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -95,10 +98,14 @@ class Pieces:
             self.bytes[i] = bytes([b])
 
     def encode_chunk(self, chunk: str, coins: bytes | None = None, key: int = 0) -> tuple[int, ...]:
-        """Ids of a chunk whose blanks are BLANK.  coins: 1 where the hash says skip."""
+        """Ids of a chunk whose blanks are BLANK.  coins: 1 where the hash of place and union says skip."""
+        return self.cut(chunk, None if coins is None else lambda whole, place: coins[(key + whole * 40503 + place * 9973) & 65535])
+
+    def cut(self, chunk: str, skip=None) -> tuple[int, ...]:
+        """Ids of a chunk whose blanks are BLANK.  skip(union, place): whether to skip the candidate that came up."""
         get = self.id.get
         ids = [get(c, -1) for c in chunk]
-        ids, places = (self._few if len(ids) <= SHORT else self._many)(ids, coins, key)
+        ids, places = (self._few if len(ids) <= SHORT else self._many)(ids, skip)
         if -1 not in ids:
             return tuple(ids)
         out: list[int] = []
@@ -106,7 +113,7 @@ class Pieces:
             out += [self.byte[b] for b in chunk[at].encode()] if i == -1 else [i]
         return tuple(out)
 
-    def _few(self, ids: list[int], coins: bytes | None, key: int) -> tuple[list[int], list[int]]:
+    def _few(self, ids: list[int], skip) -> tuple[list[int], list[int]]:
         """The agenda as a list of levels by place: for short chunks its least is quickly found."""
         level, union, none = self.level, self.union, NONE
         places = list(range(len(ids)))
@@ -117,7 +124,7 @@ class Pieces:
                 break
             i = agenda.index(best)
             whole = union[ids[i]][ids[i + 1]]
-            if coins is not None and coins[(key + whole * 40503 + places[i] * 9973) & 65535]:
+            if skip is not None and skip(whole, places[i]):
                 agenda[i] = none
                 continue
             ids[i] = whole
@@ -128,7 +135,7 @@ class Pieces:
                 agenda[i - 1] = level[ids[i - 1]].get(whole, none)
         return ids, places
 
-    def _many(self, ids: list[int], coins: bytes | None, key: int) -> tuple[list[int], list[int]]:
+    def _many(self, ids: list[int], skip) -> tuple[list[int], list[int]]:
         """The same with a heap."""
         n, level, union = len(ids), self.level, self.union
         agenda = [(level[ids[i]][ids[i + 1]], i, i + 1, ids[i], ids[i + 1]) for i in range(n - 1) if ids[i + 1] in level[ids[i]]]
@@ -139,7 +146,7 @@ class Pieces:
             if gone[i] or gone[j] or ids[i] != a or ids[j] != b or after[i] != j:
                 continue
             whole = union[a][b]
-            if coins is not None and coins[(key + whole * 40503 + i * 9973) & 65535]:
+            if skip is not None and skip(whole, i):
                 continue
             ids[i], gone[j] = whole, 1
             k = after[i] = after[j]
@@ -171,53 +178,112 @@ def load(path: str = MODEL) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with dropout and remembers chunks."""
-
-    def __init__(self, model: Pieces, dropout: float, seed: int, variants: int = VARIANTS):
-        self.model, self.seed = model, np.uint64(seed)
-        self.variants = variants if dropout > 0 else 1
-        draws = mix(np.arange(_COINS, dtype=np.uint64) + mix(np.array([seed], np.uint64))) >> np.uint64(40)
-        self.coins = (draws < np.uint64(int(dropout * (1 << 24)))).astype(np.uint8).tobytes() if dropout > 0 else None
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.sizes = 0
+    """Encodes texts with dropout and remembers cuts."""
+
+    def __init__(self, model: Pieces, dropout: float, seed: int):
+        self.model, self.seed, self.dropout = model, np.uint64(seed), dropout
+        # a draw under limits[i]: one of the next i + 1 candidates is skipped
+        limits = [round((1 - (1 - dropout) ** (i + 1)) * (1 << 32)) for i in range(REACH)]
+        self.limits, self.limits_array = limits, np.array(limits, np.uint64)
+        self.known: dict = {}
+        self.older: dict = {}
         lit = BLANK.encode()
         self.literal = array("i", [model.byte[b] for b in lit]).tobytes()
 
-    def key(self, chunk: str, variant: int) -> int:
-        return crc32(chunk.encode(), (variant + 1) * 2654435761 + int(self.seed) * 97 & 0xFFFFFFFF)
+    @property
+    def coins(self) -> bytes | None:
+        """Coins at the rate of dropout, for ``Pieces.encode_chunk``."""
+        draws = mix(np.arange(_COINS, dtype=np.uint64) + mix(np.array([self.seed], np.uint64))) >> np.uint64(40)
+        return (draws < np.uint64(int(self.dropout * (1 << 24)))).astype(np.uint8).tobytes() if self.dropout > 0 else None
 
-    def chunk(self, chunk: str, variant: int) -> bytes:
-        own, old = self.known[variant], self.older[variant]
-        got = old.get(chunk)
+    def whole(self, chunk: str) -> bytes:
+        """The ids without dropout."""
+        got = self.known.get(chunk) or self.older.get(chunk)
         if got is None:
-            got = array("i", self.model.encode_chunk(chunk.replace(" ", BLANK), self.coins, self.key(chunk, variant) if self.coins else 0)).tobytes()
-        if len(chunk) <= 64:
-            own[chunk] = got
-            self.sizes += 1
-            if self.sizes >= REMEMBER:
+            got = 0, array("i", self.model.cut(chunk.replace(" ", BLANK))).tobytes()
+        self.remember(chunk, chunk, got)
+        return got[1]
+
+    def remember(self, chunk: str, key, got: tuple[int, bytes]) -> None:
+        if len(chunk) <= REMEMBER_LONG:
+            self.known[key] = got
+            if len(self.known) >= REMEMBER:
                 # what wasn't met since the last time goes
-                for i, d in enumerate(self.known):
-                    self.older[i], self.known[i] = d, {}
-                self.sizes = 0
-        return got
+                self.older, self.known = self.known, {}
+
+    def gaps(self, draw: int):
+        """Gaps from a draw of 64 bits on, two a draw."""
+        while True:
+            yield bisect_right(self.limits, draw >> 32)
+            yield bisect_right(self.limits, draw & 0xFFFFFFFF)
+            draw = (draw + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+            draw = ((draw ^ (draw >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+            draw = ((draw ^ (draw >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+            draw ^= draw >> 31
+
+    def numbers(self, draw: int):
+        """Numbers of the candidates to skip, rising."""
+        at = -1
+        for gap in self.gaps(draw):
+            at += min(gap + 1, REACH)
+            if gap < REACH:
+                yield at
+
+    def dropped(self, chunk: str, draw: int) -> bytes:
+        """The ids of a chunk when its candidates are skipped as the draw says."""
+        key, skips, numbers = chunk, (), self.numbers(draw)
+        coming = next(numbers)
+        while (got := self.known.get(key) or self.older.get(key)) is not None:
+            if coming >= got[0]:
+                self.remember(chunk, key, got)
+                return got[1]
+            if len(skips) == REMEMBER_SKIPS:
+                break
+            skips += (coming,)
+            key, coming = (chunk, *skips), next(numbers)
+        # not remembered: cut, and remembered by what was skipped
+        numbers, came, skips = self.numbers(draw), -1, []
+        coming = next(numbers)
+
+        def skip(whole, place):
+            nonlocal came, coming
+            came += 1
+            if came < coming:
+                return False
+            skips.append(came)
+            coming = next(numbers)
+            return True
+
+        ids = array("i", self.model.cut(chunk.replace(" ", BLANK), skip)).tobytes()
+        if len(skips) <= REMEMBER_SKIPS:
+            self.remember(chunk, (chunk, *skips) if skips else chunk, (came + 1, ids))
+        return ids
 
     def encode(self, text: str, document: int) -> bytes:
         """The ids as 32-bit numbers."""
         if not text:
             return b""
         out: list[bytes] = []
-        known, chunk = self.known, self.chunk
+        dropped, whole = self.dropped, self.whole
         for k, part in enumerate((" " + text).split(BLANK)):
             if k:
                 out.append(self.literal)
             chunks = _CHUNK.findall(part)
-            if self.variants == 1:
-                first = known[0]
-                out += [first.get(c) or chunk(c, 0) for c in chunks]
-            else:
-                places = np.arange(len(chunks), dtype=np.uint64) + mix(np.array([document & 0xFFFFFFFFFFFFFFFF, k], np.uint64) + self.seed).sum()
-                out += [known[v].get(c) or chunk(c, v) for c, v in zip(chunks, (mix(places) % np.uint64(self.variants)).tolist())]
+            if not self.dropout:
+                first = self.known
+                out += [first[c][1] if c in first else whole(c) for c in chunks]
+                continue
+            places = np.arange(len(chunks), dtype=np.uint64) + mix(np.array([document & 0xFFFFFFFFFFFFFFFF, k], np.uint64) + self.seed).sum()
+            draws = mix(places)
+            first = np.searchsorted(self.limits_array, draws >> np.uint64(32), "right").tolist()
+            second = np.searchsorted(self.limits_array, draws & np.uint64(0xFFFFFFFF), "right").tolist()
+            known = self.known
+            for i, (c, a, b) in enumerate(zip(chunks, first, second)):
+                # a and b candidates come up before the first and the second skip; most often that is all of them
+                found = known.get(c)
+                if found is not None and a < found[0]:
+                    found, a = known.get((c, a)) if a < REACH else None, a + b + 1
+                out.append(found[1] if found is not None and a >= found[0] else dropped(c, int(draws[i])))
         return b"".join(out)
 
 

@@ -113,6 +113,45 @@ def test_dropout_matches_naive_merging_and_is_lossless(model):
         assert model.decode(np.frombuffer(e.encode(text, 4), np.int32).tolist()) == text
 
 
+def test_each_occurrence_draws_its_own_cut(model):
+    import numpy as np
+
+    word, rate = "international", 0.1
+    e = Encoder(model, rate, 9)
+    one = Counter(array_of(e.encode(" ".join([word] * 3000), 1), model, word))
+    # occurrences of one text, and of many, have far more than two cuts; two documents differ
+    assert len(one) > 20 and one != Counter(array_of(e.encode(" ".join([word] * 3000), 2), model, word))
+    whole = model.cut(BLANK + word)
+    rng = random.Random(3)
+    fair = Counter(model.cut(BLANK + word, lambda whole, place: rng.random() < rate) for _ in range(3000))
+    assert abs(one[whole] - fair[whole]) < 200 and abs(len(one) - len(fair)) < 0.3 * len(fair)
+    # the first skip alone: each candidate has the rate
+    assert abs(sum(next(e.numbers(d * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) == 3 for d in range(20000)) / 20000 - 0.9**3 * 0.1) < 0.01
+    # what is remembered changes nothing, long chunks and high rates included
+    for rate in (0.1, 0.6):
+        rng, kept = random.Random(4), Encoder(model, rate, 9)
+        for d in range(60):
+            text = " ".join("".join(rng.choice("abeinorst") for _ in range(rng.choice([2, 3, 9, 40, 63, 64, 90, 300]))) for _ in range(9))
+            for _ in range(2):
+                got = kept.encode(text, d)
+                assert got == Encoder(model, rate, 9).encode(text, d)
+            assert model.decode(np.frombuffer(got, np.int32).tolist()) == text
+
+
+def array_of(data, model, word):
+    """The cut of each occurrence of a word in what was encoded."""
+    import numpy as np
+
+    out, own, size = [], [], 0
+    for i in np.frombuffer(data, np.int32).tolist():
+        own.append(i)
+        size += len(model.bytes[i])
+        if size == len(word) + 1:
+            out.append(tuple(own))
+            own, size = [], 0
+    return out
+
+
 def test_encode_pieces(odd, odd_rows, empty):
     rows = encode_pieces(odd, 0.2, 5).collect()
     assert Counter((r.doc_id, r.decoded) for r in rows) == Counter((r[0], r[1] or "") for r in odd_rows)
