@@ -1,6 +1,6 @@
 """A corpus pipeline over ``documents``: quality rules, near duplicates, personal data, mixing,
 tokens.  Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and
-returns a DataFrame; all but the last return the columns that came in.
+returns a DataFrame; all but the last return the columns that came in, the last the place in the mix too.
 
 Null and empty texts fail the quality rules, so later stages don't see them when run in order; each
 stage takes them all the same.
@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm._tables import written
 from tessera.llm.jaccard import near_duplicates
-from tessera.llm.mixing import mixed
+from tessera.llm.mixing import mix_positions, mixed
 from tessera.llm.pieces import encode_pieces
 from tessera.llm.pii import redact_personal_data
 from tessera.llm.queries import WEIGHTS
 from tessera.llm.rules import keep, learn_rules
 
+#: The mix, for the stage that orders and for the one that gives each row its place.
+MIX = {"weights": WEIGHTS, "block_rows": 64, "seed": 17}
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the rules keep; the rules are learned from the labels of these rows."""
@@ -41,13 +44,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in the order of the mix: files follow it, and rows inside them."""
-    return mixed(docs, WEIGHTS, block_rows=64, seed=17)
+    return mixed(docs, **MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, ids and whether they decode to the text."""
-    out = encode_pieces(docs, dropout=0.1, seed=29)
-    return out.select("doc_id", "n_chars", "ids", (F.length("decoded") == F.col("n_chars")).alias("whole"), F.sha2("decoded", 256).alias("text_sha256"))
+    """doc_id, position, n_chars, ids and whether they decode to the text.  Files are not read back in
+    the order they were written in, so position (from 0, gapless), worked out anew from the
+    ids and sources, is what says the place in the mix."""
+    placed = mix_positions(docs.select("doc_id", "source", F.col("text").alias("body")), **MIX, keep=("body",))
+    out = encode_pieces(placed, dropout=0.1, seed=29, text="body", keep=("position",))
+    return out.select("doc_id", "position", "n_chars", "ids", (F.length("decoded") == F.col("n_chars")).alias("whole"), F.sha2("decoded", 256).alias("text_sha256"))
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_copies), ("personal data", personal_data), ("mixing", mixing), ("tokens", tokens)]

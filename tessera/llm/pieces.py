@@ -297,7 +297,7 @@ _IDS = "doc_id long, n_chars long, ids array<int>, decoded string"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def _run(data: bytes, dropout: float, seed: int):
+def _run(data: bytes, dropout: float, seed: int, keep: list[str]):
     def run(batches):
         encoder = _encoder(data, dropout, seed)
         parts = pa.array(encoder.model.bytes, pa.binary())
@@ -311,17 +311,18 @@ def _run(data: bytes, dropout: float, seed: int):
                 places = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else ends
                 body = taken.buffers()[2].to_pybytes() if len(ids) else b""
                 decoded = [body[a + 1 : b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(t or "") for t in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids), pa.array(decoded, pa.binary()).cast(pa.string())], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(t or "") for t in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids), pa.array(decoded, pa.binary()).cast(pa.string()), *[rows.column(k) for k in keep]], schema=pa.schema([*_SCHEMA, *[rows.schema.field(k) for k in keep]]))
 
     return run
 
 
-def encode_pieces(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MODEL, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, ids, decoded) for each row: the ids of the whole text and what they decode
+def encode_pieces(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: str = MODEL, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_chars, ids, decoded, *keep) for each row: the ids of the whole text and what they decode
     to, which is the text.  dropout 0: the model's own segmentation.  Null or empty text: no ids,
     decoded empty.  A null id counts as -1 for the hash; repeated rows give the same ids.  No rows in,
     no rows out; other columns are ignored."""
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be in [0, 1)")
-    plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(_run(load(model), dropout, seed), _IDS)
+    plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(k) for k in keep])
+    kept = [f"{k} {plain.schema[k].dataType.simpleString()}" for k in keep]
+    return plain.mapInArrow(_run(load(model), dropout, seed, list(keep)), ", ".join([_IDS, *kept]))

@@ -4,8 +4,9 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+from tessera.llm.mixing import mix_positions
 from tessera.llm.pii import find_spans, fitted, redact
-from tessera.llm.queries import ORACLES, QUERIES
+from tessera.llm.queries import ORACLES, QUERIES, WEIGHTS
 from tessera.llm.rules import judge, learn_rules
 
 
@@ -69,3 +70,16 @@ def test_stages_take_odd_and_empty_tables(spark, sf, odd, empty):
                 assert out.columns == df.columns
             if name in ("personal data", "mixing", "tokens"):
                 assert n == df.count()
+
+
+def test_order_of_the_mix_survives_files(spark, sf, tmp_path):
+    """Several files of different sizes, reread: position gives the mix."""
+    rows = [(i, f"w{i} " * (1 + (i * 7919) % 400), "en", f"src{i % 20}", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r.doc_id for r in mix_positions(docs, WEIGHTS, 64, 17).orderBy("position").collect()]
+    mixed = corpus_pipeline.mixing(spark, docs, sf)
+    assert [r.doc_id for r in mixed.collect()] == want
+    mixed.repartition(6, "doc_id").write.parquet(f"{tmp_path}/mix")
+    last = corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/mix"), sf).select("doc_id", "position").collect()
+    assert sorted(r.position for r in last) == list(range(3000))
+    assert [r.doc_id for r in sorted(last, key=lambda r: r.position)] == want
