@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.seeding import first_by_hash, hash_order, ranked
 from . import cluster
 from .aggregation import softmax
+from .greedy import greedy
 
 SCORE_FLOOR = -50.0
 GRID, WIDE = [10 ** (-2 + 4 * i / 40) for i in range(41)], [10 ** (-4 + 6 * i / 60) for i in range(61)]
@@ -79,24 +80,23 @@ def _herd(k: int, gamma: float):
     return run
 
 
-def crumb(train: DataFrame, test: DataFrame, budget: int, estimators: int, groups: int = 8, seed: int = 0, per_estimator: bool = False, keep: float = 0.7, pool: int = 4000) -> dict[str, DataFrame]:
+def crumb(train: DataFrame, test: DataFrame, budget: int, estimators: int, groups: int = 8, seed: int = 0, per_estimator: bool = False, keep: float = 0.7, one_task: int | None = None) -> dict[str, DataFrame]:
     """Herded contexts: for each test group the rows whose kernel mean follows the group's, chosen one
-    after the other from its ``pool`` nearest rows (one bounded task a group)."""
+    after the other from all training rows (per_estimator: from a part ``keep`` of them each)."""
     centres = test_groups(train, test, groups, seed)
     gamma = 1.0 / (2 * rbf_bandwidth(train, seed) ** 2)
     grouped = cluster.nearest(test, centres).withColumnRenamed("c", "grp")
     out = None
     for g in range(len(centres)):
-        near = first_by_hash(_ranked_by_distance(train, centres[g : g + 1]).where(F.col("k") <= pool).select("row_id"), F.lit(""), pool).join(train, "row_id")
-        mu = kernel_mean(near, grouped.where(F.col("grp") == g), gamma)
-        one = near.join(mu, "row_id").withColumn("grp", F.lit(g)).select("grp", "row_id", "features", "mu")
+        mu = kernel_mean(train, grouped.where(F.col("grp") == g), gamma)
+        one = train.join(mu, "row_id").withColumn("grp", F.lit(g)).select("grp", "row_id", "features", "mu")
         out = one if out is None else out.union(one)
     ests = estimators if per_estimator else 1
-    rows = out.withColumn("est", F.explode(F.sequence(F.lit(0), F.lit(ests - 1))))
+    rows = out.withColumn("est", F.explode(F.sequence(F.lit(0), F.lit(ests - 1)))).withColumn("take", F.lit(budget))
     if per_estimator:
-        share = F.conv(F.substring(hash_order(seed, "crumb", "grp", "est", "row_id"), 1, 8), 16, 10).cast("double") / float(1 << 32)
-        rows = rows.where(share < keep)
-    chosen = rows.groupBy("grp", "est").applyInPandas(_herd(budget, gamma), "grp int, est int, row_id long")
+        kept = max(budget, round(keep * train.count()))
+        rows = ranked(rows, hash_order(seed, "crumb", "grp", "est", "row_id"), "row_id", ("grp", "est")).where(F.col("rn") <= kept).drop("rn")
+    chosen = greedy(rows, ("grp", "est"), "take", 0.0, lambda total, d2: total + F.exp(F.lit(-gamma) * d2), lambda total, t: F.col("mu") - total / F.lit(t + 1), ("row_id",), _herd(budget, gamma), one_task)
     return {"context": chosen, "groups": grouped.select("row_id", "grp")}
 
 

@@ -13,6 +13,7 @@ from ..functions.seeding import hash_order, ranked
 from . import cluster
 from .allocate import allocate, stratified_counts
 from .encode import groups_of
+from .greedy import greedy
 from .selection import _cell_shares, strata
 
 PER_ESTIMATOR: dict[str, Callable] = {}
@@ -69,31 +70,28 @@ def perest_representative(df, budget, estimators, seed, task="classification", n
     return _by_group(rows, _cell_shares(rows, budget, task == "classification"), ("grp", "cell"), estimators, hash_order(seed, "perest_representative", "est", "row_id"))
 
 
-def _kcenter(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "row_id"], kind="stable").reset_index(drop=True)
-        x = np.stack(pdf["features"].to_numpy())
-        n = min(int(pdf["take"].iloc[0]), len(x))
-        chosen, far = [], np.full(len(x), np.inf)
-        for _ in range(n):
-            at = int(far.argmax()) if chosen else 0
-            chosen.append(at)
-            far = np.minimum(far, ((x - x[at]) ** 2).sum(axis=1))
-            far[at] = -1
-        return pdf.loc[chosen, ["est", "row_id"]]
-
-    return run
+def _kcenter(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["h", "row_id"], kind="stable").reset_index(drop=True)
+    x = np.stack(pdf["features"].to_numpy())
+    n = min(int(pdf["take"].iloc[0]), len(x))
+    chosen, far = [], np.full(len(x), np.inf)
+    for _ in range(n):
+        at = int(far.argmax()) if chosen else 0
+        chosen.append(at)
+        far = np.minimum(far, ((x - x[at]) ** 2).sum(axis=1))
+        far[at] = -1
+    return pdf.loc[chosen, ["est", "grp", "row_id"]]
 
 
 @per_estimator("perest_kcenter")
-def perest_kcenter(df, budget, estimators, seed, task="classification", pool=4000):
-    """Greedy farthest-point cover inside each group, from a hash sample of ``pool`` rows a group:
-    each step needs the one before, so a bounded group goes to one task."""
+def perest_kcenter(df, budget, estimators, seed, task="classification", one_task=None):
+    """Greedy farthest-point cover of all rows of each group; the first by hash, of equally far
+    ones too."""
     rows = groups_of(df, task)
     take = allocate(rows.groupBy("grp").agg(F.count("*").alias("n")), budget, min_one=True).select("grp", "take")
-    some = ranked(_each(rows.select("row_id", "grp", "features"), estimators), hash_order(seed, "pool", "est", "row_id"), "row_id", ("est", "grp")).join(F.broadcast(take), "grp").where(F.col("rn") <= F.greatest(F.lit(pool), F.col("take")))
-    some = some.withColumn("h", hash_order(seed, "kcenter", "est", "row_id"))
-    return some.groupBy("est", "grp").applyInPandas(_kcenter(budget), "est int, row_id long")
+    every = _each(rows.select("row_id", "grp", "features"), estimators).join(F.broadcast(take), "grp").where(F.col("take") > 0)
+    every = every.withColumn("h", hash_order(seed, "kcenter", "est", "row_id"))
+    return greedy(every, ("est", "grp"), "take", float("inf"), F.least, lambda far, t: far, ("h", "row_id"), _kcenter, one_task).select("est", "row_id")
 
 
 @per_estimator("cluster_experts")

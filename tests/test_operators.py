@@ -192,3 +192,21 @@ def test_gate_bias_moves_from_a_bad_expert(spark):
     s = spark.createDataFrame([(i, e, -0.1 if e == 0 else -6.0) for i in range(200) for e in (0, 1)], "row_id long, est int, score double")
     plain, fitted = R.fit_gate(d, s, 1.0), R.fit_gate(d, s, 1.0, bias=True)
     assert fitted.loss < plain.loss and fitted.bias[0] > fitted.bias[1]
+
+
+def test_greedy_choice_sees_all_rows_of_large_groups(spark):
+    """More than 4,000 rows a group with far points that a sample of 4,000 mostly misses, and a budget beyond it."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 2)) * 0.01
+    x[8990:] += 50 * rng.normal(size=(10, 2))
+    df = spark.createDataFrame([(i, "a", [float(v) for v in p]) for i, p in enumerate(x)], "row_id long, y string, features array<double>").repartition(4)
+    found = {r.row_id for r in U.subsets(df, "perest_kcenter", 20, 1).collect()}
+    assert len(found) == 20 and set(range(8990, 9000)) <= found
+    # steps over all rows take what one task takes, past a state that is kept
+    whole = U.subsets(df, "perest_kcenter", 20, 2, one_task=10000).collect()
+    assert {tuple(r) for r in U.subsets(df, "perest_kcenter", 20, 2, one_task=1).collect()} == {tuple(r) for r in whole}
+    train, test = df.where("row_id < 200 or row_id >= 8990"), df.where("row_id between 200 and 260")
+    one = {tuple(r) for r in R.crumb(train, test, 20, 2, groups=2, per_estimator=True)["context"].collect()}
+    assert len(one) == 80 and one == {tuple(r) for r in R.crumb(train, test, 20, 2, groups=2, per_estimator=True, one_task=1)["context"].collect()}
+    some = df.where("row_id < 4100")
+    assert R.crumb(some, test, 4050, 1, groups=1, one_task=5000)["context"].count() == 4050
