@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are cut into blocks; one block is sent in each slot.  Weights are whole parts
-of a period.  Block j (from 1) of a source of weight w is released at floor((j - 1) / w) and due
+Each source's rows are cut into blocks; one block is sent in each slot.  Weights are fractions, not
+rounded beyond what a float is (0.1 is a tenth).  Block j (from 1) of a source of weight w is released at floor((j - 1) / w) and due
 at ceil(j / w); of the released blocks the one due first is sent.  On one line of slots with
 weights that add up to 1 every block meets its window, so at any slot a source has had less than
-one block more or less than its share.  The schedule repeats each period, hence one period
-is a table of PERIOD rows at most, joined to all blocks.
+one block more or less than its share.  The schedule repeats after as many slots as the weights' common
+denominator, hence one period, or all slots if they are fewer, is a table joined to all blocks.
 
 When a source runs out, a new phase starts with the weights of those left.  Every row is sent once.
 """
@@ -13,14 +13,17 @@ When a source runs out, a new phase starts with the weights of those left.  Ever
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Slots of a period; weights are rounded to parts of it (one part at least).
+#: Slots of a period that weights are rounded to, where that is asked for.
 PERIOD = 512
+#: Rows of a table that goes into the plan as a literal, at most.
+LITERAL_ROWS = 50_000
 #: Buckets that a source's rows are ranked in, at most: a source may hold most rows.
 RANK_BUCKETS = 4096
 OTHER = "__other__"
@@ -40,14 +43,36 @@ def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(parts: dict[str, int]) -> list[str]:
-    """One period: the source sent in each slot, earliest due block among the released first."""
+def exact(weight) -> Fraction:
+    """The simplest fraction that a float stands for, its last bits being rounding (0.03 + 0.006 is 9/250)."""
+    own = Fraction(weight)
+    for digits in range(1, 17 if isinstance(weight, float) else 0):
+        near = own.limit_denominator(10**digits)
+        if abs(near - own) <= 4 * math.ulp(weight):
+            return near
+    return own
+
+
+def exact_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Whole parts in the proportion of the weights, the least there are."""
+    if not weights or any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    shares = {k: exact(w) for k, w in weights.items()}
+    scale = math.lcm(*(v.denominator for v in shares.values()))
+    parts = {k: int(v * scale) for k, v in shares.items()}
+    common = math.gcd(*parts.values())
+    return {k: v // common for k, v in parts.items()}
+
+
+def schedule(parts: dict[str, int], slots: int | None = None) -> list[str]:
+    """One period, or its first ``slots``: the source sent in each slot, earliest due block among
+    the released first."""
     period = sum(parts.values())
     waiting = [(0, k, 1) for k in parts]
     heapq.heapify(waiting)
     ready: list = []
     out = []
-    for slot in range(period):
+    for slot in range(period if slots is None else min(period, slots)):
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-j * period // parts[k]), k, j))
@@ -59,14 +84,16 @@ def schedule(parts: dict[str, int]) -> list[str]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """Spans (phase, source, first block, blocks, first slot, parts, slots a period) and patterns
-    (phase, source, index in the period, slot in the period): bounded by sources and period."""
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Weights are exact, or rounded to parts of ``period``.  Spans (phase, source, first block, blocks, first slot, parts, slots a period) and patterns
+    (phase, source, index in the period, slot in the period): bounded by sources and the period or the blocks, if they are fewer."""
     left, sent = {k: n for k, n in blocks.items() if n}, {k: 0 for k in blocks}
     spans, patterns, slot, phase = [], [], 0, 0
     while left:
-        parts = parts_of({k: weights[k] for k in left}, max(period, len(left)))
-        order = schedule(parts)
+        own = {k: weights[k] for k in left}
+        parts = exact_parts(own) if period is None else parts_of(own, max(period, len(left)))
+        # a source ends within all blocks, so a longer period isn't gone through
+        order = schedule(parts, sum(left.values()))
         whole = min(left[k] // parts[k] for k in left)
         take = {k: whole * parts[k] for k in left}
         length = whole * len(order)
@@ -77,11 +104,11 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
                 if take[k] == left[k]:
                     break
         at: dict[str, int] = {}
-        for place, k in enumerate(order):
+        for place, k in enumerate(order if whole else order[:length]):
             patterns.append((phase, k, at.get(k, 0), place))
             at[k] = at.get(k, 0) + 1
         for k in left:
-            spans.append((phase, k, sent[k], take[k], slot, parts[k], len(order)))
+            spans.append((phase, k, sent[k], take[k], slot, parts[k], sum(parts.values())))
             sent[k] += take[k]
         left = {k: left[k] - take[k] for k in left if left[k] > take[k]}
         slot += length
@@ -90,7 +117,9 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Driver rows as a plan without Python: parsed from one JSON literal."""
+    """Driver rows as a plan without Python: parsed from one JSON literal, unless they are many."""
+    if len(rows) > LITERAL_ROWS:
+        return spark.createDataFrame(rows, schema)
     fields = T._parse_datatype_string(schema)
     text = "[" + ",".join("{" + ",".join(f'"{f.name}":' + (str(v) if not isinstance(v, str) else _quoted(v)) for f, v in zip(fields, r)) + "}" for r in rows) + "]"
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(fields))))
@@ -117,6 +146,7 @@ def mix_positions(docs: DataFrame, weights: dict[str, float], block_rows: int =
     ties in any order.  Empty input: no rows.
     """
     spark = docs.sparkSession
+    weights = {k: exact(w) for k, w in weights.items()}
     weights = {OTHER: sum(weights.values()) / len(weights), **weights}
     base = docs.select(F.col(id).cast("long").alias("doc_id"), lane(F.col(source), weights).alias("lane"), *[F.col(k) for k in keep])
     order = F.xxhash64(F.lit(seed), "doc_id")

@@ -10,6 +10,7 @@ import pytest
 from tessera.llm.chat import CONTROL, examples, formatted, turns_of
 from tessera.llm.mixing import OTHER, mix_positions, mixed, parts_of, phases, schedule
 from tessera.llm.pieces import BLANK, MODEL, Encoder, Pieces, encode_pieces, load
+from tessera.llm.queries import WEIGHTS
 from tessera.llm.pii import base_spans, examples as made, find_personal_data, fitted, luhn, redact, redact_personal_data
 from tessera.llm.sharding import pack, pack_into, shard
 from tessera.llm.topk import top_k
@@ -38,6 +39,29 @@ def test_phases_send_every_block_once():
     assert slots == set(range(138))
 
 
+def test_mix_keeps_to_the_target_weights():
+    """Less than a block from the target weights at every slot of a long phase, small weights included."""
+    from fractions import Fraction
+
+    for weights in (WEIGHTS, {"a": 0.7, "b": 0.2999, "c": 0.0001}, {"a": 0.1234567, "b": 1 / 3, "c": 0.7}):
+        shares = {k: Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for k, w in weights.items()}
+        blocks = {k: max(1, int(30000 * w)) for k, w in shares.items()}
+        spans, patterns = phases(blocks, weights)
+        where = {(p, k, i): s for p, k, i, s in patterns}
+        sent, slots = {k: [] for k in weights}, []
+        for phase, k, first, n, at, parts, period in spans:
+            own = [at + turn * period + where[phase, k, i] for turn, i in (divmod(j, parts) for j in range(n))]
+            slots += own
+            sent[k] += own if phase == 0 else []
+        assert sorted(slots) == list(range(sum(blocks.values())))
+        end = max(max(own) for own in sent.values() if own)
+        assert end > 0.9 * sum(blocks.values())
+        assert weights is not WEIGHTS or {r[6] for r in spans if r[0] == 0} == {525}
+        for k, own in sent.items():
+            # before and after each block of the source
+            assert all(shares[k] * slot - j < 1 and abs(j + 1 - shares[k] * (slot + 1)) < 1 for j, slot in enumerate(own))
+
+
 def test_mix_positions(odd, odd_rows, empty):
     weights = {"src0": 0.5, "src1": 0.25}
     rows = mix_positions(odd, weights, block_rows=4, seed=3).collect()
