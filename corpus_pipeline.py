@@ -29,11 +29,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component (five words, similarity of 0.8 or more) the row of the least id stays;
-    rows equal in id and text are one.  Rows without words stay; a row of null id goes."""
-    found = near_duplicates(docs, size=5, num=80, den=100)
-    first = found.where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, docs["doc_id"] == first["__id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each component (five words, similarity of 0.8 or more) one row stays: of the least id, a null
+    id being the last, then of the least hash of id and text.  Rows equal in id and text are one.
+    Rows without words stay."""
+    found = near_duplicates(docs, size=5, num=80, den=100).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("component_key").isNull(), F.col("key"))
+    first = found.groupBy("component_key", alone.alias("alone")).agg(F.min("key").alias("__key")).select("__key")
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return docs.join(first, key == first["__key"], "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

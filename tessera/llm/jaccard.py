@@ -355,13 +355,15 @@ def _compare(bands: Bands):
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row of ``docs``.
+    """(doc_id, n_shingles, class_id, component_id, key, component_key) for each row of ``docs``.
 
     Words of the text with A-Z in lower case; distinct shingles of ``size`` words, or all words
     as one shingle if there are fewer.  Two rows link if den * intersection >= num * union.
     class_id: the least id of the rows with an equal set; component_id: the least id that links
     reach.  Null or empty text or only blanks: no shingle, linked with nothing, both ids its own.
     Null id: takes part in links, never the least id unless no row of the component has one.
+    key: a hash of id and text (``row_key``); component_key: the same for all rows of a component,
+    whatever their ids, null for a row without shingles.
     Repeated rows are rows of one class.  Empty input: no rows.  Other columns are ignored.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -391,8 +393,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     low = member.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     rooted = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "class_id", "component_id")
-    return member.join(classes, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = rooted.join(least, "root").select("fp", "class_id", "component_id", F.col("root").alias("component_key"))
+    return member.join(classes, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "component_key")
 
 
 def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:

@@ -83,3 +83,16 @@ def test_order_of_the_mix_survives_files(spark, sf, tmp_path):
     last = corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/mix"), sf).select("doc_id", "position").collect()
     assert sorted(r.position for r in last) == list(range(3000))
     assert [r.doc_id for r in sorted(last, key=lambda r: r.position)] == want
+
+
+def test_near_copies_keep_one_row_of_each_component_whatever_its_id(spark, sf):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = lambda k: text[k] + " more"
+    rows = [(None, text["a"]), (None, text["b"]), (None, near("b")), (None, text["c"]), (None, text["c"]), (5, near("c")), (6, text["d"]), (7, near("d")), (7, text["e"]), (8, text["f"]), (8, near("f")), (None, None), (None, ""), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "src0", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, sf).collect()]
+    words = {(t[0], d) for d, t in got if t and t[0] not in "bf"}
+    # 7 goes as a copy of 6 and stays as the text of its own
+    assert words == {("a", None), ("c", 5), ("d", 6), ("e", 7)} and len(got) == 4 + 2 + 3
+    assert [d for d, t in got if t and t[0] == "b"] == [None] and [d for d, t in got if t and t[0] == "f"] == [8]
+    assert sorted((r for r in got if not r[1]), key=str) == sorted([(None, None), (None, ""), (9, "")], key=str)
