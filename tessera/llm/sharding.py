@@ -7,7 +7,8 @@ the tightest bin as far as it fits, then the next.  Sizes of EXACT and more are
 leading bits, which bounds the histogram by some 100,000 classes whatever the data; it is all
 that the driver sees.  Groups then find their bin by class and rank, rows by group.
 
-With a given number of shards the capacity is the least for which the packing needs no more.
+With a given number of shards a group of more than the mean has a shard of its own; for the rest the
+capacity is the least for which the packing needs no more than the other shards.
 """
 
 from __future__ import annotations
@@ -99,19 +100,28 @@ def pack(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -
 
 
 def pack_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """The packing of least capacity that needs ``shards`` bins at most."""
-    if not sizes:
-        return []
-    total = sum(s * n for s, n in sizes)
-    low = high = max(sizes[0][0], -(-total // shards))
+    """Groups above the mean of what is left get a bin each, by falling size; the rest the packing of
+    least capacity that needs no more than the other bins."""
+    total, alone = sum(s * n for s, n in sizes), []
+    for size, n in sizes:
+        first = 0
+        while first < n and size * shards > total:
+            alone.append((size, first, first + 1, len(alone)))
+            first, total, shards = first + 1, total - size, shards - 1
+        if first < n:
+            break
+    else:
+        return alone
+    rest = [(size, n - first), *sizes[[s for s, _ in sizes].index(size) + 1 :]]
+    low = high = -(-total // shards)
     step = max(1, low >> 12)
-    while (found := pack(sizes, high, shards)) is None:
+    while (found := pack(rest, high, shards)) is None:
         low, high, step = high + 1, high + step, step * 2
     while low < high:
         mid = (low + high) // 2
-        tried = pack(sizes, mid, shards)
+        tried = pack(rest, mid, shards)
         low, high, found = (mid + 1, high, found) if tried is None else (low, mid, tried)
-    return found
+    return alone + [(s, a + first * (s == size), b + first * (s == size), bin_ + len(alone)) for s, a, b, bin_ in found]
 
 
 def _size_class(size):

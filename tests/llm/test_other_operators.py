@@ -310,3 +310,22 @@ def test_personal_data_tables(odd, odd_rows, empty, spark):
     assert wide.columns == odd.columns and wide.count() == len(odd_rows)
     assert find_personal_data(empty).count() == redact_personal_data(empty).count() == 0
     assert redact("abcdef", [("email", 1, 4, True), ("phone", 2, 5, False)]) == "a[EMAIL]f"
+
+
+def test_one_large_group_leaves_the_other_shards_equal(spark):
+    sizes = [(50_000, 1), (9_000, 2), (100, 600), (37, 900)]
+    runs = pack_into(sizes, 24)
+    load, seen = Counter(), defaultdict(set)
+    for size, a, b, shard_ in runs:
+        load[shard_] += size * (b - a)
+        assert not seen[size] & set(range(a, b))
+        seen[size] |= set(range(a, b))
+    assert {s: len(v) for s, v in seen.items()} == dict(sizes) and set(load) == set(range(24))
+    top = sorted(load.values(), reverse=True)
+    assert top[:3] == [50_000, 9_000, 9_000] and top[3] - top[-1] < 0.1 * top[3]
+    assert len({r[3] for r in pack_into([(7, 3)], 3)}) == 3
+    assert {r[3] for r in pack_into([(9, 2), (1, 1)], 24)} == {0, 1, 2} and pack_into([], 3) == []
+    # a text whose copies are a third of all bytes
+    docs = spark.createDataFrame([(i, "x" * 92 if i < 500 else f"{i:092d}") for i in range(1500)], "doc_id long, text string")
+    own = Counter(r.shard for r in shard(docs, shards=24).collect())
+    assert max(own.values()) == 500 and len(own) == 24 and sorted(own.values())[-2] == 44  # of 1,000 / 23, rounded up
