@@ -2,43 +2,39 @@
 
 A merge-type model joins, again and again, the two neighbouring pieces whose union has the best
 score; candidates wait in an agenda.  With dropout each candidate that comes up is skipped at the given
-rate: a hash keyed by seed, document and place of the chunk in the text says how many candidates
-come up until the next is skipped (a geometric gap, the same as a coin for each).  So each occurrence
-of a word is cut on its own, and every run gives the same ids.  What is skipped stays in smaller
-pieces, hence decoding gives the same text.
+rate: a hash of seed, document, place of the chunk in the text, place in the chunk and union is its
+coin.  So each occurrence of a word is cut on its own, and every run gives the same ids.  What is skipped
+stays in smaller pieces, hence decoding gives the same text.
 
 No piece joins a blank to what stands before it, so a text is cut into chunks (blanks and what
-follows) that are encoded apart; each process keeps what it has encoded, by chunk and by the numbers
-of the candidates skipped, on which alone a chunk's ids depend.  A literal U+2581, which
-the model would take for a blank, is sent as bytes.
+follows) with an agenda each.  All chunks of a slice of texts go through their agendas together: in
+each round every chunk's best candidate comes up, as NumPy arrays over the slice.  Nothing is
+remembered from one slice to the next.  Chunks longer than LONG go through a heap one by one.  A literal
+U+2581, which the model would take for a blank, is sent as bytes.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
-from bisect import bisect_right
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, slices
+from ._text import give_back, mix, slices, utf8
 
 #: The model's mark for a blank, and where its file lies.
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Cuts remembered at most; characters of a chunk, and skips in it, up to which its cut is remembered.
-REMEMBER, REMEMBER_LONG, REMEMBER_SKIPS = 400_000, 64, 2
-#: Candidates that one draw decides at most; a longer gap is drawn on.
-REACH = 64
-#: Characters of a chunk up to which the agenda is a list; level of no candidate.
-SHORT, NONE = 48, 1 << 30
-_CHUNK = re.compile(r" *[^ ]+| +")
-_COINS = 1 << 16
+#: Characters of a chunk that goes through the rounds (LONG at most), bits of a place in it, bytes of a slice.
+LONG, PLACE_BITS, SLICE = 48, 6, 128 << 10
+_NONE = np.int32(0x7FFFFFFF)
+#: Factors of a coin's place and union.
+_AT, _OF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
 def _fields(data: bytes):
@@ -85,78 +81,88 @@ class Pieces:
             raise ValueError("the model has no bytes to fall back on")
         # best score first; of equal scores the first in the chunk
         levels = {x: r for r, x in enumerate(sorted({scores[i] for i in self.id.values()}, reverse=True))}
-        # by left piece: right piece to level and to union; the last entry is that of unknown characters
-        self.level: list[dict[int, int]] = [{} for _ in range(len(self.pieces) + 1)]
-        self.union: list[dict[int, int]] = [{} for _ in range(len(self.pieces) + 1)]
+        self.unknown = len(self.pieces)
+        self.width = self.unknown + 1
+        self.bits = self.width.bit_length()
+        # pair of pieces to level and union
+        self.join: dict[int, int] = {}
         for piece, i in self.id.items():
             for cut in range(1, len(piece)):
                 left, right = self.id.get(piece[:cut]), self.id.get(piece[cut:])
                 if left is not None and right is not None:
-                    self.level[left][right], self.union[left][right] = levels[scores[i]], i
+                    self.join[left * self.width + right] = levels[scores[i]] << self.bits | i
+        self._hash(np.array(list(self.join), np.uint64), np.array(list(self.join.values()), np.int64))
+        self.of_char = np.full(0x110000, self.unknown, np.int64)
+        for piece, i in self.id.items():
+            if len(piece) == 1 and piece != BLANK:
+                self.of_char[ord(piece)] = i
+        self.of_char[32] = self.id.get(BLANK, self.unknown)
         self.bytes = [p.replace(BLANK, " ").encode() for p in self.pieces]
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
-
-    def encode_chunk(self, chunk: str, coins: bytes | None = None, key: int = 0) -> tuple[int, ...]:
-        """Ids of a chunk whose blanks are BLANK.  coins: 1 where the hash of place and union says skip."""
-        return self.cut(chunk, None if coins is None else lambda whole, place: coins[(key + whole * 40503 + place * 9973) & 65535])
-
-    def cut(self, chunk: str, skip=None) -> tuple[int, ...]:
-        """Ids of a chunk whose blanks are BLANK.  skip(union, place): whether to skip the candidate that came up."""
-        get = self.id.get
-        ids = [get(c, -1) for c in chunk]
-        ids, places = (self._few if len(ids) <= SHORT else self._many)(ids, skip)
-        if -1 not in ids:
-            return tuple(ids)
-        out: list[int] = []
-        for i, at in zip(ids, places):
-            out += [self.byte[b] for b in chunk[at].encode()] if i == -1 else [i]
-        return tuple(out)
-
-    def _few(self, ids: list[int], skip) -> tuple[list[int], list[int]]:
-        """The agenda as a list of levels by place: for short chunks its least is quickly found."""
-        level, union, none = self.level, self.union, NONE
-        places = list(range(len(ids)))
-        agenda = [level[a].get(b, none) for a, b in zip(ids, ids[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
+        self.of_byte = np.array([self.byte[b] for b in range(256)], np.int64)
+
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A table without collisions: keys of a bucket are moved by a distance that suits them all."""
+        bits = max(4, int(2 * len(keys)).bit_length())
+        few, size = bits - 2, 1 << bits
+        self.shift, self.mask = np.uint64(64 - few), np.uint64(size - 1)
+        for turn in range(1000):
+            # a factor that keeps keys of one bucket apart
+            self.factor = _FACTOR + np.uint64(2 * turn)
+            h = keys * self.factor
+            place, bucket = (h >> np.uint64(24)) & self.mask, h >> self.shift
+            if len(np.unique(bucket << np.uint64(bits) | place)) == len(keys):
                 break
-            i = agenda.index(best)
-            whole = union[ids[i]][ids[i + 1]]
-            if skip is not None and skip(whole, places[i]):
-                agenda[i] = none
-                continue
-            ids[i] = whole
-            del ids[i + 1], places[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = level[whole].get(ids[i + 1], none)
-            if i:
-                agenda[i - 1] = level[ids[i - 1]].get(whole, none)
-        return ids, places
-
-    def _many(self, ids: list[int], skip) -> tuple[list[int], list[int]]:
-        """The same with a heap."""
-        n, level, union = len(ids), self.level, self.union
-        agenda = [(level[ids[i]][ids[i + 1]], i, i + 1, ids[i], ids[i + 1]) for i in range(n - 1) if ids[i + 1] in level[ids[i]]]
+        self.keys, self.codes, self.moves = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(1 << few, np.uint64)
+        buckets: dict[int, list[int]] = {}
+        for k, b in enumerate(bucket.tolist()):
+            buckets.setdefault(b, []).append(k)
+        place, taken = place.tolist(), bytearray(size)
+        for b, own in sorted(buckets.items(), key=lambda x: -len(x[1])):
+            at = [place[k] for k in own]
+            move = next(d for d in range(size) if not any(taken[(x + d) & (size - 1)] for x in at))
+            self.moves[b] = move
+            for k in own:
+                x = (place[k] + move) & (size - 1)
+                taken[x], self.keys[x], self.codes[x] = 1, int(keys[k]), values[k]
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Level and union of pairs, -1 where they don't make a piece."""
+        key = left * self.width + right
+        h = key.view(np.uint64) * self.factor
+        at = (((h >> np.uint64(24)) + self.moves.take(h >> self.shift)) & self.mask).view(np.int64)
+        return np.where(self.keys.take(at) == key, self.codes.take(at), -1)
+
+    def cut(self, ids: list[int], skip=None) -> tuple[list[int], list[int]]:
+        """Pieces, and their places, that the characters ``ids`` of one chunk come to; the agenda is a heap.
+        skip(union, place): whether to skip the candidate that came up."""
+        n, join, width, low = len(ids), self.join, self.width, (1 << self.bits) - 1
+        ids, agenda = list(ids), []
+        for i in range(n - 1):
+            code = join.get(ids[i] * width + ids[i + 1])
+            if code is not None:
+                agenda.append((code >> self.bits, i, i + 1, ids[i], ids[i + 1], code & low))
         heapify(agenda)
         after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
         while agenda:
-            _, i, j, a, b = heappop(agenda)
+            _, i, j, a, b, whole = heappop(agenda)
             if gone[i] or gone[j] or ids[i] != a or ids[j] != b or after[i] != j:
                 continue
-            whole = union[a][b]
             if skip is not None and skip(whole, i):
                 continue
             ids[i], gone[j] = whole, 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if ids[k] in level[whole]:
-                    heappush(agenda, (level[whole][ids[k]], i, k, whole, ids[k]))
+                code = join.get(whole * width + ids[k])
+                if code is not None:
+                    heappush(agenda, (code >> self.bits, i, k, whole, ids[k], code & low))
             h = before[i]
-            if h >= 0 and whole in level[ids[h]]:
-                heappush(agenda, (level[ids[h]][whole], h, i, ids[h], whole))
+            if h >= 0:
+                code = join.get(ids[h] * width + whole)
+                if code is not None:
+                    heappush(agenda, (code >> self.bits, h, i, ids[h], whole, code & low))
         places = [i for i in range(n) if not gone[i]]
         return [ids[i] for i in places], places
 
@@ -178,118 +184,128 @@ def load(path: str = MODEL) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with dropout and remembers cuts."""
+    """Encodes slices of texts with dropout."""
 
     def __init__(self, model: Pieces, dropout: float, seed: int):
-        self.model, self.seed, self.dropout = model, np.uint64(seed), dropout
-        # a draw under limits[i]: one of the next i + 1 candidates is skipped
-        limits = [round((1 - (1 - dropout) ** (i + 1)) * (1 << 32)) for i in range(REACH)]
-        self.limits, self.limits_array = limits, np.array(limits, np.uint64)
-        self.known: dict = {}
-        self.older: dict = {}
-        lit = BLANK.encode()
-        self.literal = array("i", [model.byte[b] for b in lit]).tobytes()
-
-    @property
-    def coins(self) -> bytes | None:
-        """Coins at the rate of dropout, for ``Pieces.encode_chunk``."""
-        draws = mix(np.arange(_COINS, dtype=np.uint64) + mix(np.array([self.seed], np.uint64))) >> np.uint64(40)
-        return (draws < np.uint64(int(self.dropout * (1 << 24)))).astype(np.uint8).tobytes() if self.dropout > 0 else None
-
-    def whole(self, chunk: str) -> bytes:
-        """The ids without dropout."""
-        got = self.known.get(chunk) or self.older.get(chunk)
-        if got is None:
-            got = 0, array("i", self.model.cut(chunk.replace(" ", BLANK))).tobytes()
-        self.remember(chunk, chunk, got)
-        return got[1]
-
-    def remember(self, chunk: str, key, got: tuple[int, bytes]) -> None:
-        if len(chunk) <= REMEMBER_LONG:
-            self.known[key] = got
-            if len(self.known) >= REMEMBER:
-                # what wasn't met since the last time goes
-                self.older, self.known = self.known, {}
-
-    def gaps(self, draw: int):
-        """Gaps from a draw of 64 bits on, two a draw."""
+        self.model, self.dropout = model, dropout
+        self.seed, self.limit = mix(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64))[0], np.uint64(min(round(dropout * 2**64), 2**64 - 1))
+
+    def skipped(self, draw: np.ndarray, place: np.ndarray, union: np.ndarray) -> np.ndarray:
+        """The coin of each candidate: ``draw`` is its chunk's, of seed, document and place in the text."""
+        return mix(draw + place.astype(np.uint64) * _AT + union.astype(np.uint64) * _OF) < self.limit
+
+    def draws(self, documents: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return mix(mix(documents.astype(np.int64).view(np.uint64) + self.seed) + places.astype(np.uint64) * _AT)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes and offsets) one after the other, and where each text's begin."""
+        model = self.model
+        full = np.flatnonzero(np.diff(offsets))
+        # a blank in front of each text that isn't empty
+        data = np.insert(data, offsets[:-1][full], 32)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        n, ends = len(chars), np.zeros(len(offsets), np.int64)
+        ends[full + 1] = 1
+        ends = np.searchsorted(lead, offsets + np.cumsum(ends))
+        blank = chars == 32
+        first = np.ones(n + 1, bool)
+        first[1:n] = blank[1:] & ~blank[:-1]
+        first[ends] = True
+        base = np.flatnonzero(first)
+        size, base = np.diff(base), base[:-1]
+        text = np.searchsorted(ends, base, "right") - 1
+        row_first = np.searchsorted(base, ends[:-1])
+        draw = self.draws(documents[text], np.arange(len(base)) - row_first[text])
+        ids = model.of_char.take(chars.astype(np.int64))
+        alive = np.ones(n, bool)
+        for c in np.flatnonzero(size > LONG).tolist():
+            own, at = ids[base[c] : base[c] + size[c]], int(base[c])
+            skip = (lambda whole, place, d=draw[c : c + 1]: bool(self.skipped(d, np.array([place]), np.array([whole]))[0])) if self.dropout else None
+            got, places = model.cut(own.tolist(), skip)
+            alive[at : at + size[c]] = False
+            alive[np.array(places) + at] = True
+            ids[np.array(places) + at] = got
+        few = np.flatnonzero((size > 1) & (size <= LONG))
+        if len(few):
+            self._rounds(ids, alive, base[few], size[few], draw[few])
+        # unknown characters as bytes
+        at = np.flatnonzero(alive)
+        out = ids[at]
+        odd = np.flatnonzero(out == model.unknown)
+        counts = np.cumsum(np.concatenate([[0], alive]))[ends]
+        if len(odd):
+            width = np.diff(np.append(lead, len(data)))[at[odd]]
+            many = np.ones(len(out), np.int64)
+            many[odd] = width
+            whole, place = np.repeat(out, many), np.concatenate([[0], np.cumsum(many)])
+            run = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            whole[np.repeat(place[odd], width) + run] = model.of_byte[data[np.repeat(lead[at[odd]], width) + run]]
+            out, counts = whole, place[counts]
+        return out.astype(np.int32), counts
+
+    def _rounds(self, ids: np.ndarray, alive: np.ndarray, base: np.ndarray, size: np.ndarray, draw: np.ndarray) -> None:
+        """The agendas of chunks, all at once: in each round the best candidate of every chunk comes up.
+        ids and alive are changed.  Where half of the chunks are done, the others are moved together."""
+        model, dropout = self.model, self.dropout > 0
+        bits, low = model.bits, (1 << model.bits) - 1
+        # the chunks' characters one after the other, and one that joins with nothing
+        own = np.cumsum(size) - size
+        total = int(size.sum())
+        slot = np.repeat(base - own, size) + np.arange(total)
+        here, live = np.append(ids[slot], model.unknown), np.ones(total, bool)
+        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+        stop = np.zeros(total + 1, bool)
+        stop[own] = stop[total] = True
+        # of each piece that has a next one: level and union of the two; level and place, to find the best
+        codes = model.joined(here[:-1], here[1:])
+        codes[stop[1:]] = -1
+        ranks = lambda code, place: np.where(code >= 0, (code >> bits << PLACE_BITS) | place, _NONE)
+        best = ranks(codes, np.arange(total) - np.repeat(own, size)).astype(np.int32)
+        there = len(own)
         while True:
-            yield bisect_right(self.limits, draw >> 32)
-            yield bisect_right(self.limits, draw & 0xFFFFFFFF)
-            draw = (draw + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-            draw = ((draw ^ (draw >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-            draw = ((draw ^ (draw >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-            draw ^= draw >> 31
-
-    def numbers(self, draw: int):
-        """Numbers of the candidates to skip, rising."""
-        at = -1
-        for gap in self.gaps(draw):
-            at += min(gap + 1, REACH)
-            if gap < REACH:
-                yield at
-
-    def dropped(self, chunk: str, draw: int) -> bytes:
-        """The ids of a chunk when its candidates are skipped as the draw says."""
-        key, skips, numbers = chunk, (), self.numbers(draw)
-        coming = next(numbers)
-        while (got := self.known.get(key) or self.older.get(key)) is not None:
-            if coming >= got[0]:
-                self.remember(chunk, key, got)
-                return got[1]
-            if len(skips) == REMEMBER_SKIPS:
-                break
-            skips += (coming,)
-            key, coming = (chunk, *skips), next(numbers)
-        # not remembered: cut, and remembered by what was skipped
-        numbers, came, skips = self.numbers(draw), -1, []
-        coming = next(numbers)
-
-        def skip(whole, place):
-            nonlocal came, coming
-            came += 1
-            if came < coming:
-                return False
-            skips.append(came)
-            coming = next(numbers)
-            return True
-
-        ids = array("i", self.model.cut(chunk.replace(" ", BLANK), skip)).tobytes()
-        if len(skips) <= REMEMBER_SKIPS:
-            self.remember(chunk, (chunk, *skips) if skips else chunk, (came + 1, ids))
-        return ids
-
-    def encode(self, text: str, document: int) -> bytes:
-        """The ids as 32-bit numbers."""
-        if not text:
-            return b""
-        out: list[bytes] = []
-        dropped, whole = self.dropped, self.whole
-        for k, part in enumerate((" " + text).split(BLANK)):
-            if k:
-                out.append(self.literal)
-            chunks = _CHUNK.findall(part)
-            if not self.dropout:
-                first = self.known
-                out += [first[c][1] if c in first else whole(c) for c in chunks]
-                continue
-            places = np.arange(len(chunks), dtype=np.uint64) + mix(np.array([document & 0xFFFFFFFFFFFFFFFF, k], np.uint64) + self.seed).sum()
-            draws = mix(places)
-            first = np.searchsorted(self.limits_array, draws >> np.uint64(32), "right").tolist()
-            second = np.searchsorted(self.limits_array, draws & np.uint64(0xFFFFFFFF), "right").tolist()
-            known = self.known
-            for i, (c, a, b) in enumerate(zip(chunks, first, second)):
-                # a and b candidates come up before the first and the second skip; most often that is all of them
-                found = known.get(c)
-                if found is not None and a < found[0]:
-                    found, a = known.get((c, a)) if a < REACH else None, a + b + 1
-                out.append(found[1] if found is not None and a >= found[0] else dropped(c, int(draws[i])))
-        return b"".join(out)
+            top = np.minimum.reduceat(best, own)
+            go = np.flatnonzero(top != _NONE)
+            if len(go) < len(own):
+                own, draw, size, top = own[go], draw[go], size[go], top[go]
+            if not len(own) or (2 * len(own) < there and total > 4096):
+                ids[slot], alive[slot] = here[:-1], live
+                if not len(own):
+                    return
+                at = np.repeat(own - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                own, end = np.cumsum(size) - size, np.repeat(np.cumsum(size), size)
+                shift = at - np.arange(len(at))
+                after = np.where(stop[after[at]], end, after[at] - shift)
+                here, live, before, codes, best, slot = np.append(here[at], model.unknown), live[at], before[at] - shift, codes[at], best[at], slot[at]
+                there, total = len(own), len(at)
+                stop = np.zeros(total + 1, bool)
+                stop[own] = stop[total] = True
+            place = (top & ((1 << PLACE_BITS) - 1)).astype(np.int64)
+            i, begin = own + place, own
+            whole = codes.take(i) & low
+            if dropout:
+                skip = self.skipped(draw, place, whole)
+                best[i[skip]] = _NONE
+                stay = np.flatnonzero(~skip)
+                i, place, whole, begin = i[stay], place[stay], whole[stay], own[stay]
+            j = after.take(i)
+            k = after.take(j)
+            here[i], live[j], best[j], after[i] = whole, False, _NONE, k
+            before[np.minimum(k, total - 1)] = i
+            code = model.joined(whole, here.take(k))
+            code[stop.take(k)] = -1
+            codes[i], best[i] = code, ranks(code, place)
+            inner = np.flatnonzero(place)
+            h = before.take(i[inner])
+            code = model.joined(here.take(h), whole[inner])
+            codes[h], best[h] = code, ranks(code, h - begin[inner])
 
 
 @lru_cache(maxsize=1)
 def _encoder(data: bytes, dropout: float, seed: int) -> Encoder:
-    """One a worker process, so that tasks after the first know its chunks."""
+    """One a worker process: the model's tables, some 15 MB."""
     return Encoder(_model(data), dropout, seed)
 
 
@@ -302,16 +318,15 @@ def _run(data: bytes, dropout: float, seed: int, keep: list[str]):
         encoder = _encoder(data, dropout, seed)
         parts = pa.array(encoder.model.bytes, pa.binary())
         for batch in batches:
-            for rows in slices(batch, limit=1 << 20):
-                docs, own = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
-                found = [encoder.encode(text or "", d if d is not None else -1) for d, text in zip(docs, own)]
-                ends = np.cumsum([0] + [len(f) // 4 for f in found])
-                ids = pa.array(np.frombuffer(b"".join(found), np.int32))
-                taken = parts.take(ids)
+            for rows in slices(batch, limit=SLICE):
+                docs = rows.column("doc_id")
+                ids, ends = encoder.encode(*utf8(rows.column("text")), docs.fill_null(-1).to_numpy())
+                taken = parts.take(pa.array(ids))
                 places = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else ends
                 body = taken.buffers()[2].to_pybytes() if len(ids) else b""
-                decoded = [body[a + 1 : b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(t or "") for t in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids), pa.array(decoded, pa.binary()).cast(pa.string()), *[rows.column(k) for k in keep]], schema=pa.schema([*_SCHEMA, *[rows.schema.field(k) for k in keep]]))
+                decoded = pa.array([body[a + 1 : b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([docs, pc.fill_null(pc.utf8_length(rows.column("text")), 0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), decoded, *[rows.column(k) for k in keep]], schema=pa.schema([*_SCHEMA, *[rows.schema.field(k) for k in keep]]))
+        give_back()
 
     return run
 
