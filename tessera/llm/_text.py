@@ -8,6 +8,7 @@ all work is done on bytes.  Hashes are 64 bits wide and the same in every proces
 from __future__ import annotations
 
 import ctypes
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,29 @@ def give_back() -> None:
         pass
 
 
+def spared(run):
+    """A task function that gives memory back when its task, or its group, is done."""
+
+    def over_batches(batches):
+        yield from run(batches)
+        give_back()
+
+    def over_group(*tables):
+        out = run(*tables)
+        give_back()
+        return out
+
+    def over_two(one, other):
+        return over_group(one, other)
+
+    def over_one(table):
+        return over_group(table)
+
+    if inspect.isgeneratorfunction(run):
+        return over_batches
+    return over_two if len(inspect.signature(run).parameters) == 2 else over_one
+
+
 def slices(batch, text: str = "text", limit: int = SLICE_BYTES):
     """Cut a batch or table into runs of rows with about ``limit`` bytes of text each (one row at least)."""
     tables = [batch] if isinstance(batch, pa.RecordBatch) else batch.to_batches()

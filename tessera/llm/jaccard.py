@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import components, freed, groups_for, row_key, written
-from ._text import Words, mix, pack, ranges, slices, unpack, utf8, windows
+from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8, windows
 
 #: Classes under one signature up to which all pairs are tried; rows of a block beyond that.
 FEW, BLOCK = 24, 2048
@@ -369,23 +369,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bands, n = Bands(num, den), groups_for(plain)
     keyed = plain.withColumn("key", row_key())
-    member = written(keyed.mapInArrow(_members(size), "doc_id long, key long, fp long, n long, sketch binary"), "members")
-    signed = plain.select("text").mapInArrow(_sign(size, bands, n), "part long, data binary")
-    tried = written(signed.groupBy("part").applyInArrow(_try(bands, n), "kind int, vb long, a long, b long"), "tried")
+    member = written(keyed.mapInArrow(spared(_members(size)), "doc_id long, key long, fp long, n long, sketch binary"), "members")
+    signed = plain.select("text").mapInArrow(spared(_sign(size, bands, n)), "part long, data binary")
+    tried = written(signed.groupBy("part").applyInArrow(spared(_try(bands, n)), "kind int, vb long, a long, b long"), "tried")
     one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     ends = lambda pairs, at: pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
     # sketches meet where the smaller class is, sets where their group is
     pairs = tried.where("kind = 0").groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.pmod(F.xxhash64("a"), F.lit(n).cast("long")))
     sketched = ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
-    near = written(pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(_near(bands), "vb long, a long, b long"), "near")
+    near = written(pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(spared(_near(bands)), "vb long, a long, b long"), "near")
     # a class's other least classes hang on the least of them
     hung = tried.where("kind = 1").select("a", "b").distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
     many = written(hung.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "many")
     freed(tried)
     wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).union(many.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
-    sets = written(keyed.join(one.select("fp", "key").join(wanted, "fp"), "key").select("fp", "text").mapInArrow(_sets(size), "fp long, data binary"), "sets")
+    sets = written(keyed.join(one.select("fp", "key").join(wanted, "fp"), "key").select("fp", "text").mapInArrow(spared(_sets(size)), "fp long, data binary"), "sets")
     whole = sets.dropDuplicates(["fp"])
-    links = written(near.groupBy("vb").cogroup(ends(near, "vb").join(whole, "fp").groupBy("at")).applyInArrow(_verify(bands), "a long, b long").distinct(), "links")
+    links = written(near.groupBy("vb").cogroup(ends(near, "vb").join(whole, "fp").groupBy("at")).applyInArrow(spared(_verify(bands)), "a long, b long").distinct(), "links")
     roots = components(links)
     if not many.isEmpty():
         roots = _settle(many, links, roots, whole, bands)
@@ -412,7 +412,7 @@ def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame
     salt = lambda k: F.pmod(F.xxhash64("fp"), F.col(k).cast("long")).cast("int")
     apart = open_.where("comp <> top").select("cluster", salt("nt").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(True).alias("apart"), "fp", "comp", "data")
     whole = open_.select("cluster", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("i"), salt("na").alias("j"), F.lit(False).alias("apart"), "fp", "comp", "data")
-    more = apart.unionByName(whole).groupBy("cluster", "i", "j").applyInArrow(_compare(bands), "a long, b long")
+    more = apart.unionByName(whole).groupBy("cluster", "i", "j").applyInArrow(spared(_compare(bands)), "a long, b long")
     settled = components(links.union(more))
     freed(node, open_)
     return settled

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import groups_for, row_key
-from ._text import Words, mix, pack, ranges, slices, unpack, utf8
+from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8
 
 ALPHA = 0.4
 #: Text bytes of a bucket; scoring holds some 60 times that.
@@ -134,6 +134,6 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id: str = "doc_id", te
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = groups_for(plain, size=BUCKET_BYTES)
     keyed = plain.withColumn("bucket", F.pmod(row_key(), F.lit(n).cast("long"))).groupBy("bucket")
-    asked = keyed.applyInArrow(_ask(n), _SENT)
-    told = asked.groupBy("part").applyInArrow(_count(), _SENT).groupBy("bucket")
-    return keyed.cogroup(told).applyInArrow(_score(alpha), "doc_id long, n_words long, n_backed_off long, n_unseen long, log_score double")
+    asked = keyed.applyInArrow(spared(_ask(n)), _SENT)
+    told = asked.groupBy("part").applyInArrow(spared(_count()), _SENT).groupBy("bucket")
+    return keyed.cogroup(told).applyInArrow(spared(_score(alpha)), "doc_id long, n_words long, n_backed_off long, n_unseen long, log_score double")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import give_back, mix, slices, utf8
+from ._text import mix, slices, spared, utf8
 
 #: The model's mark for a blank, and where its file lies.
 BLANK = "▁"
@@ -326,7 +326,6 @@ def _run(data: bytes, dropout: float, seed: int, keep: list[str]):
                 body = taken.buffers()[2].to_pybytes() if len(ids) else b""
                 decoded = pa.array([body[a + 1 : b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([docs, pc.fill_null(pc.utf8_length(rows.column("text")), 0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), decoded, *[rows.column(k) for k in keep]], schema=pa.schema([*_SCHEMA, *[rows.schema.field(k) for k in keep]]))
-        give_back()
 
     return run
 
@@ -340,4 +339,4 @@ def encode_pieces(docs: DataFrame, dropout: float = 0.1, seed: int = 0, model: s
         raise ValueError("dropout must be in [0, 1)")
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(k) for k in keep])
     kept = [f"{k} {plain.schema[k].dataType.simpleString()}" for k in keep]
-    return plain.mapInArrow(_run(load(model), dropout, seed, list(keep)), ", ".join([_IDS, *kept]))
+    return plain.mapInArrow(spared(_run(load(model), dropout, seed, list(keep))), ", ".join([_IDS, *kept]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices
+from ._text import slices, spared
 
 #: Kinds in the order that results list them.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -385,7 +385,7 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text")
     ids are kept, repeated rows are scanned each, no rows in, no rows out; other columns are
     ignored."""
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(_scan(fitted(), False), f"doc_id long, text string, spans {_SPANS}").select("doc_id", "spans")
+    return plain.mapInArrow(spared(_scan(fitted(), False)), f"doc_id long, text string, spans {_SPANS}").select("doc_id", "spans")
 
 
 def redact_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -395,4 +395,4 @@ def redact_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     at = names.index(text)
     plain = docs.toDF(*[f"c{i}" if i != at else "text" for i in range(len(names))])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(_scan(fitted(), True), f"{fields}, spans {_SPANS}").drop("spans").toDF(*names)
+    return plain.mapInArrow(spared(_scan(fitted(), True)), f"{fields}, spans {_SPANS}").drop("spans").toDF(*names)

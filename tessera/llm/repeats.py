@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import groups_for, row_key
-from ._text import Words, pack, ranges, slices, texts, unpack, utf8
+from ._text import Words, pack, ranges, slices, spared, texts, unpack, utf8
 
 #: Period and cover: every difference modulo 7 is one of two members of {0, 1, 3}.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -246,8 +246,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
     n = groups_for(plain)
     keyed = plain.withColumn("key", row_key()).withColumn("bucket", F.pmod("key", F.lit(n).cast("long")))
     by_row = keyed.groupBy("bucket")
-    found = plain.withColumn("key", row_key()).mapInArrow(_find_anchors(window, n, n), _SENT)
-    near = found.groupBy("part").applyInArrow(_shared_anchors(n), _SENT).groupBy("part")
-    whole = by_row.cogroup(near).applyInArrow(_windows(window, n, n), _SENT)
-    later = whole.groupBy("part").applyInArrow(_later_windows(n), _SENT).groupBy("part")
-    return by_row.cogroup(later).applyInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,last:long>>")
+    found = plain.withColumn("key", row_key()).mapInArrow(spared(_find_anchors(window, n, n)), _SENT)
+    near = found.groupBy("part").applyInArrow(spared(_shared_anchors(n)), _SENT).groupBy("part")
+    whole = by_row.cogroup(near).applyInArrow(spared(_windows(window, n, n)), _SENT)
+    later = whole.groupBy("part").applyInArrow(spared(_later_windows(n)), _SENT).groupBy("part")
+    return by_row.cogroup(later).applyInArrow(spared(_kept(window)), "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,last:long>>")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, ranges, slices, texts, utf8
+from ._text import Words, ranges, slices, spared, texts, utf8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_distinct"]
 #: Rates that conditions are about: numerator, denominator.
@@ -77,7 +77,7 @@ def text_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def _counted(rows: DataFrame, text: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    stats = rows.mapInArrow(_stats, f"{fields}, " + ", ".join(f"{c} long" for c in COUNTS))
+    stats = rows.mapInArrow(spared(_stats), f"{fields}, " + ", ".join(f"{c} long" for c in COUNTS))
     return stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

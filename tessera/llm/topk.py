@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import spared
+
 RANGE_ROWS, BLOCK_ROWS, CHUNK_ROWS = 16384, 128, 2048
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -107,6 +109,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id
     left = base.select(at(ranges, 1).alias("r"), every(chunks).alias("c"), F.lit(False).alias("ask"), "vec_id", "v")
     right = asked.select(every(ranges).alias("r"), at(chunks, 2).alias("c"), F.lit(True).alias("ask"), "vec_id", "v")
     both = left.union(right).withColumn("dim", F.size("v"))
-    hits = both.groupBy("r", "c").applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    hits = both.groupBy("r", "c").applyInArrow(spared(_search(k)), "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
