@@ -35,8 +35,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, size=5, num=80, den=100).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("component_key").isNull(), F.col("key"))
     first = found.groupBy("component_key", alone.alias("alone")).agg(F.min("key").alias("__key")).select("__key")
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    return docs.join(first, key == first["__key"], "left_semi").dropDuplicates(["doc_id", "text"])
+    # dealt by key for the join, rows are already where their repeats are
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    chosen = keyed.join(first.withColumnRenamed("__key", name), name, "left_semi")
+    return chosen.dropDuplicates([name, "doc_id", "text"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
