@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import freed, written
 from . import distribution as D
 
 CLF: dict[str, Callable] = {}
@@ -49,9 +50,10 @@ def softmax(value: Column, keys: list[str], temperature: float | Column = 1.0) -
 
 
 def proba(out: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """(row_id, est, cls, p): softmax of each estimator, at the temperature."""
+    """(row_id, est, cls, p): softmax of each estimator, at the temperature.  Rows are dealt by row_id alone, which
+    serves every later grouping of a row's estimators and classes: one shuffle for a rule."""
     w = Window.partitionBy("row_id", "est")
-    z = out.withColumn("z", F.exp((F.col("logit") - F.max("logit").over(w)) / F.lit(float(temperature))))
+    z = out.repartition("row_id").withColumn("z", F.exp((F.col("logit") - F.max("logit").over(w)) / F.lit(float(temperature))))
     return z.select("row_id", "est", "cls", (F.col("z") / F.sum("z").over(w)).alias("p"))
 
 
@@ -148,6 +150,7 @@ def temperature_grid(n: int = 25, low: float = 0.05, high: float = 20.0) -> list
 
 def fit_temperature(val_out: DataFrame, val_truth: DataFrame, temperature: float = 1.0, refine: int = 2) -> float:
     """The scale of least loss: on a log grid (1 is always in it), then on finer ones around the best."""
+    val_out = written(val_out, "held")
     at = _mean_loss_at(val_out, val_truth, temperature, temperature_grid())
     width = 0.3
     for _ in range(refine):
@@ -155,6 +158,7 @@ def fit_temperature(val_out: DataFrame, val_truth: DataFrame, temperature: float
         near = [best * math.exp(width * i / 4) for i in range(-4, 5)]
         at |= _mean_loss_at(val_out, val_truth, temperature, near)
         width /= 4
+    freed(val_out)
     return min(at, key=lambda s: (at[s], abs(math.log(s))))
 
 

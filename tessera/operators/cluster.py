@@ -9,8 +9,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.seeding import first_by_hash, hash_order
+from ..functions.seeding import first_by_hash, first_each, hash_order
 
 FIT_ROWS, MAX_CLUSTERS, ROUNDS = 4000, 128, 5
 
@@ -34,6 +35,24 @@ def fit(df: DataFrame, k: int, seed: int, features: str = "features", tie: str =
     return lloyd(points, min(k, MAX_CLUSTERS)) if len(points) else np.zeros((0, 0))
 
 
+def fit_groups(df: DataFrame, k: dict, seed: int, features: str = "features", tag: str = "kmeans") -> DataFrame:
+    """(grp, centres) for each group of ``k``: the samples of all groups come in one job."""
+    rows = df.where(F.col("grp").isin(list(k)))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    some = first_each(rows.select("grp", "row_id", features), hash_order(seed, tag, "row_id"), FIT_ROWS, ("grp",), sizes)
+    by: dict = {}
+    for r in some.withColumn("h", hash_order(seed, tag, "row_id")).orderBy("h", "row_id").collect():
+        by.setdefault(r["grp"], []).append(r[features])
+    found = [(g, [(i, [float(x) for x in c]) for i, c in enumerate(lloyd(np.array(x, float), min(k[g], MAX_CLUSTERS)))]) for g, x in by.items()]
+    return df.sparkSession.createDataFrame(found, T.StructType([df.schema["grp"], *T._parse_datatype_string("centres array<struct<c:int,v:array<double>>>").fields]))
+
+
+def nearest_in_group(df: DataFrame, centres: DataFrame, features: str = "features") -> DataFrame:
+    """``df`` with the nearest centre c of its own group, and d2."""
+    best = F.array_min(F.transform("centres", lambda c: F.struct(distance2(F.col(features), c["v"]).alias("d2"), c["c"].alias("c"))))
+    return df.join(F.broadcast(centres), "grp").withColumn("__b", best).withColumns({"c": F.col("__b.c"), "d2": F.col("__b.d2")}).drop("__b", "centres")
+
+
 def distance2(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 

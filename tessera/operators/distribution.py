@@ -6,8 +6,9 @@ With ``tails`` the outer bins are half-normal: scale is width / 0.67449.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TAIL = 0.67449
@@ -81,3 +82,55 @@ def translate(p: DataFrame, frm: DataFrame, to: DataFrame, keys: tuple[str, ...]
     t = to.withColumn("first", F.col("bin") == F.min("bin").over(w)).withColumn("last", F.col("bin") == F.max("bin").over(w)).select(F.col("bin").alias("tb"), F.when(F.col("first"), float("-inf")).otherwise(F.col("lo")).alias("lo"), F.when(F.col("last"), float("inf")).otherwise(F.col("hi")).alias("hi"))
     share = f.join(F.broadcast(t), (F.col("a") < F.col("hi")) & (F.col("b") > F.col("lo"))).withColumn("share", (F.least("b", "hi") - F.greatest("a", "lo")) / (F.col("b") - F.col("a")))
     return p.withColumnRenamed("bin", "fb").join(F.broadcast(share.select("fb", "tb", "share")), "fb").groupBy(*keys, F.col("tb").alias("bin")).agg(F.sum(F.col("p") * F.col("share")).alias("p"))
+
+
+#: Kinds of densities: uniform in every bin, or with half-normal tails.
+KINDS = {"bar": False, "full_support": True}
+
+
+@dataclass(frozen=True)
+class Distribution:
+    """Bins and whether their ends have tails; the functions above with both filled in."""
+
+    kind: str
+    bins: DataFrame
+
+    @property
+    def tails(self) -> bool:
+        return KINDS[self.kind]
+
+    def mean(self, p: DataFrame, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+        return mean(p, self.bins, keys, self.tails)
+
+    def quantiles(self, p: DataFrame, levels: list[float], keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+        return quantiles(p, self.bins, levels, keys)
+
+    def log_density(self, p: DataFrame, truth: DataFrame) -> DataFrame:
+        return log_density(p, self.bins, truth, self.tails)
+
+    def to_row(self) -> dict:
+        """What ``from_row`` takes: the kind and the borders, which are few."""
+        rows = self.bins.orderBy("bin").collect()
+        return {"kind": self.kind, "borders": [float(r["lo"]) for r in rows] + [float(rows[-1]["hi"])]}
+
+
+def make_distribution(spark: SparkSession, kind: str, edges: list[float]) -> Distribution:
+    if kind not in KINDS:
+        raise ValueError(f"unknown distribution {kind}; there are {', '.join(sorted(KINDS))}")
+    if len(edges) < 2 or any(b <= a for a, b in zip(edges, edges[1:])):
+        raise ValueError("borders must rise")
+    return Distribution(kind, spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, lo double, hi double"))
+
+
+def from_row(spark: SparkSession, row: dict) -> Distribution:
+    return make_distribution(spark, row["kind"], row["borders"])
+
+
+def to_arrays(out: DataFrame, value: str, axis: str) -> DataFrame:
+    """Long outputs (row_id, est, axis, value) as one array a row and estimator, in the order of ``axis``."""
+    packed = out.groupBy("row_id", "est").agg(F.sort_array(F.collect_list(F.struct(axis, value))).alias("x"))
+    return packed.select("row_id", "est", F.transform("x", lambda s: s[axis]).alias(axis), F.transform("x", lambda s: s[value]).alias(value))
+
+
+def from_arrays(arrays: DataFrame, value: str, axis: str) -> DataFrame:
+    return arrays.select("row_id", "est", F.inline(F.arrays_zip(axis, value)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seeding import hash_order, ranked
+from ..functions.seeding import digits_for, first_by_hash, hash_order, ranked
 from .allocate import allocate
 
 MISSING_LOGIT = -50.0
@@ -62,6 +62,36 @@ def apply_features(df: DataFrame, fitted: DataFrame, columns: list[str], id: str
     return df.join(F.broadcast(row)).select(id, scaled.alias("features"))
 
 
+def fit_projection(features: DataFrame, seed: int = 0, dims: int = 50, rows: int = 5000):
+    """Principal components of standardised features (id, features) wider than ``dims``, fitted on a hash sample of
+    at most ``rows``; None if they aren't wider."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    width = features.select(F.size("features")).first()
+    if width is None or width[0] <= dims:
+        return None
+    id = features.columns[0]
+    some = first_by_hash(features, hash_order(seed, "pca", id), rows, id).withColumn("v", array_to_vector("features"))
+    return PCA(k=dims, inputCol="v", outputCol="p").fit(some)
+
+
+def apply_projection(features: DataFrame, model) -> DataFrame:
+    """(id, features) on the components; unchanged without a model."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    if model is None:
+        return features
+    return model.transform(features.withColumn("v", array_to_vector("features"))).withColumn("features", vector_to_array("p")).drop("v", "p")
+
+
+def feature_transform(fit: DataFrame, columns: list[str], seed: int = 0, dims: int = 50, id: str = "row_id"):
+    """A map from rows to (id, features): medians, scales and components are those of ``fit``."""
+    scales = fit_features(fit, columns)
+    model = fit_projection(apply_features(fit, scales, columns, id), seed, dims)
+    return lambda rows: apply_projection(apply_features(rows, scales, columns, id), model)
+
+
 def split_rows(df: DataFrame, seed: int, test_size: float = 0.3, label: str | None = "y", tie: str = "row_id") -> DataFrame:
     """``df`` with part 'train' or 'test': ceil(test_size * n) test rows, by class in proportion if
     every class has two rows or more (or ``label`` is None: over all)."""
@@ -70,9 +100,9 @@ def split_rows(df: DataFrame, seed: int, test_size: float = 0.3, label: str | No
         small, total = sizes.agg(F.min("n"), F.sum("n")).first()
         if total and small >= 2:
             take = allocate(sizes, _ceil(test_size * total)).select(F.col("grp").alias(label), "take")
-            return ranked(df, hash_order(seed, "split", tie), tie, (label,)).join(F.broadcast(take), label).withColumn("part", F.when(F.col("rn") <= F.col("take"), "test").otherwise("train")).select(*df.columns, "part")
+            return ranked(df, hash_order(seed, "split", tie), tie, (label,), digits=digits_for(total)).join(F.broadcast(take), label).withColumn("part", F.when(F.col("rn") <= F.col("take"), "test").otherwise("train")).select(*df.columns, "part")
     total = df.count()
-    return ranked(df, hash_order(seed, "split", tie), tie).withColumn("part", F.when(F.col("rn") <= _ceil(test_size * total), "test").otherwise("train")).select(*df.columns, "part")
+    return ranked(df, hash_order(seed, "split", tie), tie, digits=digits_for(total)).withColumn("part", F.when(F.col("rn") <= _ceil(test_size * total), "test").otherwise("train")).select(*df.columns, "part")
 
 
 def _ceil(x: float) -> int:
@@ -109,5 +139,7 @@ def prior_correct(pred: DataFrame, context: DataFrame, target: DataFrame) -> Dat
 
 
 def split_hash(test: DataFrame) -> DataFrame:
-    """A short digest of the test ids in order."""
-    return test.agg(F.substring(F.sha1(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("row_id")), lambda x: x.cast("string")))), 1, 16).alias("test_hash"), F.count("*").alias("n"))
+    """A short digest of the test ids: of the sums of two parts of each id's hash, whatever their order."""
+    h = F.md5(F.col("row_id").cast("string"))
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+    return test.agg(F.substring(F.sha1(F.concat_ws(":", F.count("*").cast("string"), part(1), part(13))), 1, 16).alias("test_hash"), F.count("*").alias("n"))

@@ -13,17 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import freed, written
 from .cluster import distance2
 
 #: Rows of a group that one task takes; steps after which the state of all rows is worked out and kept.
 ONE_TASK, KEEP_EVERY = 4000, 16
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` worked out, its lineage cut."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def greedy(rows: DataFrame, by: tuple[str, ...], steps: str, start: float, update: Callable[[Column, Column], Column], score: Callable[[Column, int], Column], tie: tuple[str, ...], one_task: Callable, limit: int | None = None) -> DataFrame:
     """(by, row_id) of the rows chosen; rows: (by, row_id, features, ...).
 
@@ -32,7 +28,7 @@ def greedy(rows: DataFrame, by: tuple[str, ...], steps: str, start: float, updat
     update(state, squared distance to the row taken).  one_task does the same for a pandas group.
     """
     limit = ONE_TASK if limit is None else limit
-    spark, rows = rows.sparkSession, cut(rows)
+    spark, rows = rows.sparkSession, written(rows, "candidates")
     schema = T.StructType([rows.schema[k] for k in (*by, "row_id")])
     sized = rows.groupBy(*by).agg(F.count("*").alias("n"), F.first(steps).alias("steps")).collect()
     left = {tuple(r[k] for k in by): min(r["n"], r["steps"]) for r in sized if r["n"] > limit}
@@ -42,7 +38,7 @@ def greedy(rows: DataFrame, by: tuple[str, ...], steps: str, start: float, updat
         return rows.groupBy(*by).applyInPandas(one_task, schema)
     large = F.broadcast(keys(list(left), []))
     small = rows.join(large, same(rows, large), "left_anti").groupBy(*by).applyInPandas(one_task, schema)
-    state = cut(rows.join(large, same(rows, large), "left_semi").withColumns({"state": F.lit(float(start)), "taken": F.lit(False)}))
+    state = written(rows.join(large, same(rows, large), "left_semi").withColumns({"state": F.lit(float(start)), "taken": F.lit(False)}), "state")
     picks = T.StructField("picks", T.ArrayType(T.StructType([T.StructField("id", rows.schema["row_id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType()))])))
     chosen, new = [], {k: [] for k in left}
     for t in range(max(left.values())):
@@ -50,8 +46,8 @@ def greedy(rows: DataFrame, by: tuple[str, ...], steps: str, start: float, updat
         now = state.join(sent, same(state, sent)).drop(*[f"__{k}" for k in by])
         now = now.withColumns({"state": F.aggregate("picks", F.col("state"), lambda s, p: update(s, distance2(F.col("features"), p["v"]))), "taken": F.col("taken") | F.exists("picks", lambda p: p["id"] == F.col("row_id"))}).drop("picks")
         if t and t % KEEP_EVERY == 0:
-            last, state = state, cut(now)
-            last.unpersist()
+            last, state = state, written(now, "state")
+            freed(last)
             now, new = state, {k: [] for k in left}
         best = now.where(~F.col("taken")).groupBy(*by).agg(F.min_by(F.struct("row_id", "features"), F.struct(-score(F.col("state"), t), *tie)).alias("b"))
         for r in best.collect():

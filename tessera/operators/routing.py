@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seeding import first_by_hash, hash_order, ranked
+from ..functions.seeding import digits_for, first_by_hash, first_each, hash_order, least_each, ranked, unit
+from ..functions.tables import written
 from . import cluster
 from .aggregation import softmax
+from .coverage import cover_classes
 from .greedy import greedy
 
 SCORE_FLOOR = -50.0
@@ -25,26 +27,27 @@ def test_groups(train: DataFrame, test: DataFrame, groups: int, seed: int) -> np
     return cluster.fit(test, groups, seed, tag="groups")
 
 
-def _ranked_by_distance(train: DataFrame, centres: np.ndarray, name: str = "grp") -> DataFrame:
-    d = cluster.distances(train, cluster.centres_table(train.sparkSession, centres)).withColumnRenamed("c", name)
-    return d.withColumn("k", F.row_number().over(Window.partitionBy(name).orderBy("d2", "row_id")))
-
-
-def local_mix(train: DataFrame, test: DataFrame, budget: int, estimators: int, ratio: float, groups: int = 8, pool_factor: int = 2, seed: int = 0) -> dict[str, DataFrame]:
+def local_mix(train: DataFrame, test: DataFrame, budget: int, estimators: int, ratio: float, groups: int = 8, pool_factor: int = 2, seed: int = 0, task: str = "classification") -> dict[str, DataFrame]:
     """context (grp, est, row_id): round(ratio * budget) rows from the nearest pool_factor times as
-    many of each group, the rest at random from all others; groups (row_id, grp) of test rows."""
+    many of each group, the rest at random from all others, a row of each class swapped in where one is missing;
+    groups (row_id, grp) of test rows."""
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be in [0, 1]")
-    local = round(ratio * budget)
+    local, n = round(ratio * budget), train.count()
     centres = test_groups(train, test, groups, seed)
     est = F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))).alias("est")
-    # the filter on k is pushed under the window as a group limit, so only pools are ranked by distance
-    pool = _ranked_by_distance(train, centres).where(F.col("k") <= pool_factor * local).select("grp", "row_id", est)
-    own = ranked(pool, hash_order(seed, "local", "grp", "est", "row_id"), "row_id", ("grp", "est")).where(F.col("rn") <= local).select("grp", "est", "row_id")
-    every = train.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("grp")).select("grp", "row_id", est)
-    left = every.join(own, ["grp", "est", "row_id"], "left_anti")
-    rest = ranked(left, hash_order(seed, "global", "grp", "est", "row_id"), "row_id", ("grp", "est")).where(F.col("rn") <= budget - local).select("grp", "est", "row_id")
-    return {"context": own.union(rest), "groups": cluster.nearest(test, centres).select("row_id", F.col("c").alias("grp"))}
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("grp")
+    d = cluster.distances(train, cluster.centres_table(train.sparkSession, centres)).withColumnRenamed("c", "grp")
+    pool = least_each(d, F.col("d2"), max(1, pool_factor * local), ("grp",)).select("grp", "row_id", est).where(F.lit(local > 0))
+    place = lambda tag: F.row_number().over(Window.partitionBy("grp", "est").orderBy(hash_order(seed, tag, "grp", "est", "row_id"), "row_id"))
+    own = pool.withColumn("p", place("local")).where(F.col("p") <= local).select("grp", "est", "row_id")
+    # the first ``budget`` rows of all hold the first budget - local of those outside
+    sizes = train.sparkSession.range(1).select(each).select("grp", est).withColumn("n", F.lit(n))
+    first = first_each(train.select("row_id", each).select("grp", "row_id", est), hash_order(seed, "global", "grp", "est", "row_id"), budget, ("grp", "est"), sizes)
+    rest = first.join(own, ["grp", "est", "row_id"], "left_anti").withColumn("p", place("global")).where(F.col("p") <= budget - local).select("grp", "est", "row_id")
+    context = own.withColumn("protected", F.lit(1)).unionByName(rest.withColumn("protected", F.lit(0)))
+    context = cover_classes(train, context, ("grp", "est"), seed) if task == "classification" else context.drop("protected")
+    return {"context": context.select("grp", "est", "row_id"), "groups": cluster.nearest(test, centres).select("row_id", F.col("c").alias("grp"))}
 
 
 def rbf_bandwidth(df: DataFrame, seed: int, rows: int = 1000) -> float:
@@ -65,22 +68,24 @@ def kernel_mean(candidates: DataFrame, target: DataFrame, gamma: float, block: i
 
 
 def _herd(k: int, gamma: float):
+    """The same as the steps of ``greedy``, for a group in one task: after t rows the score of a row is its kernel
+    mean less the mean, over t + 1, of its kernel with the rows taken."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id").reset_index(drop=True)
-        x, mu = np.stack(pdf["features"].to_numpy()), pdf["mu"].to_numpy()
-        total, chosen = np.zeros(len(x)), []
-        for t in range(min(k, len(x))):
-            gain = mu - total / (t + 1)
-            gain[chosen] = -np.inf
-            at = int(gain.argmax())
-            chosen.append(at)
-            total += np.exp(-gamma * ((x - x[at]) ** 2).sum(axis=1))
-        return pdf.loc[chosen, ["grp", "est", "row_id"]]
+        rows = pdf.sort_values("row_id", ignore_index=True)
+        points, wanted = np.vstack(rows["features"].to_list()), rows["mu"].to_numpy(float)
+        kernel = np.zeros((min(k, len(points)), len(points)))
+        order: list[int] = []
+        for row in kernel:
+            score = np.ma.masked_array(wanted - kernel.sum(axis=0) / (len(order) + 1), mask=np.isin(np.arange(len(points)), order))
+            order.append(int(np.ma.argmax(score)))
+            row[:] = np.exp(-gamma * np.square(points - points[order[-1]]).sum(axis=1))
+        return rows.loc[order, ["grp", "est", "row_id"]]
 
     return run
 
 
-def crumb(train: DataFrame, test: DataFrame, budget: int, estimators: int, groups: int = 8, seed: int = 0, per_estimator: bool = False, keep: float = 0.7, one_task: int | None = None) -> dict[str, DataFrame]:
+def crumb(train: DataFrame, test: DataFrame, budget: int, estimators: int, groups: int = 8, seed: int = 0, per_estimator: bool = False, keep: float = 0.7, one_task: int | None = None, task: str = "classification") -> dict[str, DataFrame]:
     """Herded contexts: for each test group the rows whose kernel mean follows the group's, chosen one
     after the other from all training rows (per_estimator: from a part ``keep`` of them each)."""
     centres = test_groups(train, test, groups, seed)
@@ -95,8 +100,10 @@ def crumb(train: DataFrame, test: DataFrame, budget: int, estimators: int, group
     rows = out.withColumn("est", F.explode(F.sequence(F.lit(0), F.lit(ests - 1)))).withColumn("take", F.lit(budget))
     if per_estimator:
         kept = max(budget, round(keep * train.count()))
-        rows = ranked(rows, hash_order(seed, "crumb", "grp", "est", "row_id"), "row_id", ("grp", "est")).where(F.col("rn") <= kept).drop("rn")
+        rows = ranked(rows, hash_order(seed, "crumb", "grp", "est", "row_id"), "row_id", ("grp", "est"), digits=digits_for(kept)).where(F.col("rn") <= kept).drop("rn")
     chosen = greedy(rows, ("grp", "est"), "take", 0.0, lambda total, d2: total + F.exp(F.lit(-gamma) * d2), lambda total, t: F.col("mu") - total / F.lit(t + 1), ("row_id",), _herd(budget, gamma), one_task)
+    if task == "classification":
+        chosen = cover_classes(train, written(chosen.withColumn("protected", F.lit(0)), "herded"), ("grp", "est"), seed)
     return {"context": chosen, "groups": grouped.select("row_id", "grp")}
 
 
@@ -117,8 +124,13 @@ def gate_weights(d: DataFrame, tau: float, bias: list[float] | None = None) -> D
     return z.select("row_id", "est", softmax(F.col("z"), ["row_id"]).alias("w"))
 
 
-def gate_scores(out: DataFrame, truth: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """(row_id, est, score): log-likelihood of the true class, SCORE_FLOOR at least."""
+def gate_scores(out: DataFrame, truth: DataFrame, temperature: float = 1.0, bins: DataFrame | None = None) -> DataFrame:
+    """(row_id, est, score): log-likelihood of the true class, SCORE_FLOOR at least; with ``bins`` the predicted
+    mean and the true value y, for a gate on squared error."""
+    if bins is not None:
+        from . import distribution as D
+
+        return D.mean(out, bins, keys=("row_id", "est")).join(truth.select("row_id", "y"), "row_id").select("row_id", "est", F.col("mean").alias("score"), "y")
     from .aggregation import proba
 
     p = proba(out, temperature).join(truth.select("row_id", F.col("y").alias("cls")), ["row_id", "cls"])
@@ -133,10 +145,15 @@ class Gate:
 
 
 def gate_loss(d: DataFrame, score: DataFrame, taus: list[float]) -> dict[float, float]:
-    """Mixture loss at each tau: one job for the grid."""
+    """Loss of the mixture at each tau, one job for the grid: the mean negative log-likelihood, or, where the scores
+    have a true y, the squared error of the mixture's mean over the variance of y (1 if that is 0)."""
     w = Window.partitionBy("tau", "row_id")
     rows = d.join(score, ["row_id", "est"]).withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
     z = rows.withColumn("z", -(F.col("d2") - F.min("d2").over(w)) / F.col("tau"))
+    if "y" in score.columns:
+        mixed = z.groupBy("tau", "row_id").agg((F.sum(F.exp("z") * F.col("score")) / F.sum(F.exp("z")) - F.first("y")).alias("e"), F.first("y").alias("y"))
+        spread = F.when(F.var_pop("y") > 0, F.var_pop("y")).otherwise(1.0)
+        return {r["tau"]: r["loss"] for r in mixed.groupBy("tau").agg((F.avg(F.col("e") * F.col("e")) / spread).alias("loss")).collect()}
     mixed = z.groupBy("tau", "row_id").agg((F.sum(F.exp("z") * F.exp("score")) / F.sum(F.exp("z"))).alias("m"))
     return {r["tau"]: r["loss"] for r in mixed.groupBy("tau").agg((-F.avg(F.ln("m"))).alias("loss")).collect()}
 
@@ -144,20 +161,28 @@ def gate_loss(d: DataFrame, score: DataFrame, taus: list[float]) -> dict[float,
 def fit_gate(d: DataFrame, score: DataFrame, tau0: float, bias: bool = False, ridge: float = 0.01, wide: bool = False, rows: int = 2000) -> Gate:
     """tau by grid (of losses equal to 1e-12 the multiplier nearest 1); optionally a bias an estimator by
     gradient steps on the held-out slice (at most ``rows``), kept only if better."""
+    d, score = written(d, "gate"), written(score, "scores")
     losses = gate_loss(d, score, [tau0 * m for m in (WIDE if wide else GRID)])
     least = min(losses.values())
     tau = min((t for t, v in losses.items() if v <= least + 1e-12), key=lambda t: abs(math.log(t / tau0)))
     best = Gate(tau, [], losses[tau])
     if not bias:
         return best
-    local = first_by_hash(d.join(score, ["row_id", "est"]).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("est", "d2", "score"))).alias("x")), hash_order(0, "gate", "row_id"), rows).collect()
+    local = first_by_hash(d.join(score, ["row_id", "est"]).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("est", "d2", "score", *(["y"] if "y" in score.columns else [])))).alias("x")), hash_order(0, "gate", "row_id"), rows).collect()
     d2, s = np.array([[e["d2"] for e in r["x"]] for r in local]), np.array([[e["score"] for e in r["x"]] for r in local])
     z0, b = -(d2 - d2.min(1, keepdims=True)) / tau, np.zeros(d2.shape[1])
 
+    y = np.array([r["x"][0]["y"] for r in local]) if "y" in score.columns else None
+    spread = float(y.var()) or 1.0 if y is not None else 1.0
+
     def loss(b):
         z = z0 + b
         w = np.exp(z - z.max(1, keepdims=True))
         w /= w.sum(1, keepdims=True)
+        if y is not None:
+            e = (w * s).sum(1) - y
+            slope = 2 * e[:, None] * w * (s - (w * s).sum(1, keepdims=True)) / spread
+            return (e**2).mean() / spread + ridge * (b**2).sum(), slope.mean(0) + 2 * ridge * b
         m = (w * np.exp(s)).sum(1)
         post = w * np.exp(s) / m[:, None]
         return -np.log(m).mean() + ridge * (b**2).sum(), (w - post).mean(0) + 2 * ridge * b
@@ -196,28 +221,57 @@ class ExpertPlan:
     context: DataFrame
     neighbours: DataFrame
     tau: float
+    scale: np.ndarray | None = None
+
+
+def feature_importance(train: DataFrame, seed: int, task: str = "classification", rows: int = 5000, trees: int = 50) -> np.ndarray:
+    """Importances of a forest fitted on a hash sample of at most ``rows`` training rows; equal shares if it finds none."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+
+    some = first_by_hash(train, hash_order(seed, "importance", "row_id"), rows).withColumn("v", array_to_vector("features"))
+    if task == "classification":
+        some = some.withColumn("y_text", F.col("y").cast("string"))
+        some = StringIndexer(inputCol="y_text", outputCol="label", stringOrderType="alphabetAsc").fit(some).transform(some)
+        model = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, minInstancesPerNode=5, seed=seed).fit(some)
+    else:
+        model = RandomForestRegressor(featuresCol="v", labelCol="y", numTrees=trees, minInstancesPerNode=5, seed=seed).fit(some)
+    found = model.featureImportances.toArray()
+    return found if np.isfinite(found).all() and found.sum() > 0 else np.full(len(found), 1 / len(found))
+
+
+def scaled(rows: DataFrame, scale: np.ndarray | None) -> DataFrame:
+    """``rows`` with each feature times its scale."""
+    if scale is None:
+        return rows
+    return rows.withColumn("features", F.zip_with("features", F.array(*[F.lit(float(x)) for x in scale]), lambda x, s: x * s))
 
 
-def expert_plan(train: DataFrame, budget: int, estimators: int, seed: int, coverage: float = 1.0, clusters: int | None = None, most: int = cluster.MAX_CLUSTERS) -> ExpertPlan:
+def expert_plan(train: DataFrame, budget: int, estimators: int, seed: int, coverage: float = 1.0, clusters: int | None = None, most: int = cluster.MAX_CLUSTERS, weighted: bool = False, task: str = "classification") -> ExpertPlan:
     """max(estimators, min(most, ceil(coverage * n / budget))) centres; for each the budget nearest rows
-    (its own first, by hash), and its ``estimators`` nearest centres, itself first."""
+    (its own first, by hash), and its ``estimators`` nearest centres, itself first.  weighted: distances in
+    features scaled by importance for the target."""
+    scale = supervised_scale(feature_importance(train, seed, task)) if weighted else None
+    train = scaled(train, scale)
     k = clusters or max(estimators, min(most, math.ceil(coverage * train.count() / budget)))
     centres = cluster.fit(train, k, seed, tag="experts")
     table = cluster.centres_table(train.sparkSession, centres)
     rows = cluster.nearest(train, centres).withColumnRenamed("c", "own").drop("d2")
     every = cluster.distances(rows, table, keep=("row_id", "own")).withColumnRenamed("c", "grp").withColumn("h", hash_order(seed, "expert", "grp", "row_id"))
-    home = F.col("own") == F.col("grp")
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.when(home, 0).otherwise(1), F.when(home, F.col("h")), "d2", "row_id"))
-    context = every.withColumn("p", place).where(F.col("p") <= budget).select("grp", "row_id")
+    score = F.when(F.col("own") == F.col("grp"), unit(F.col("h")) - 1).otherwise(F.col("d2"))
+    context = least_each(every, score, budget, ("grp",)).select("grp", "row_id")
     d = ((centres[:, None] - centres[None]) ** 2).sum(axis=2)
     order = [sorted(range(len(centres)), key=lambda o, c=c: (o != c, d[c, o], o))[:estimators] for c in range(len(centres))]
     neighbours = train.sparkSession.createDataFrame([(c, i, o) for c, own in enumerate(order) for i, o in enumerate(own)], "c int, slot int, expert int")
     tau = cluster.nearest(train, centres).agg(F.percentile("d2", F.lit(0.5))).first()[0]
-    return ExpertPlan(centres, context, neighbours, float(tau) if tau and tau > 0 else 1.0)
+    return ExpertPlan(centres, context, neighbours, float(tau) if tau and tau > 0 else 1.0, scale)
 
 
 def expert_route(plan: ExpertPlan, rows: DataFrame) -> DataFrame:
     """(row_id, slot, expert, d2): the experts of each row's nearest centre."""
+    rows = scaled(rows, plan.scale)
     table = cluster.centres_table(rows.sparkSession, plan.centres).withColumnRenamed("c", "expert")
     home = cluster.nearest(rows, plan.centres).drop("d2")
     return home.join(F.broadcast(plan.neighbours), "c").join(F.broadcast(table), "expert").select("row_id", "slot", "expert", cluster.distance2("features", "centre").alias("d2"))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.seeding import first_by_hash, hash_order, ranked
+from ..functions.seeding import first_by_hash, hash_order, least_each, ranked, unit
+from ..functions.tables import written
 from . import cluster
 from .allocate import allocate
+from .coverage import cover_classes
 from .encode import groups_of
 
 SELECTORS: dict[str, Callable] = {}
@@ -69,10 +72,17 @@ def balanced(df, budget, seed, task="classification"):
     """As equal as sizes allow: levels of one row a group, the last level in a seeded group order."""
     rows = groups_of(df, task)
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).withColumn("g", hash_order(seed, "group", "grp"))
-    # the level all groups reach, and how many get one more, from the small table of sizes
-    level = sizes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(budget).cast("long")))).alias("level"), "grp", "g")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("level", "g"))
-    take = level.withColumn("place", place).where(F.col("place") <= budget).groupBy("grp").agg(F.count("*").alias("take"))
+    # groups (few) by size: those up to one are taken whole while the rest can have as many rows each
+    one = Window.partitionBy(F.lit(0))
+    up = one.orderBy("n", "g")
+    below = F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.count("*").over(one) - F.row_number().over(up) + 1
+    each = sizes.select("grp", "g", "n", below.alias("below"), rest.alias("rest"))
+    level = F.max(F.when(F.col("below") + F.col("n") * F.col("rest") > budget, F.floor((F.lit(budget) - F.col("below")) / F.col("rest"))).otherwise(F.col("n"))).over(one)
+    each = each.withColumn("level", F.greatest(level, F.lit(0)))
+    each = each.withColumn("left", F.lit(budget) - F.sum(F.least("n", "level")).over(one))
+    each = each.withColumn("more", F.row_number().over(one.orderBy(F.when(F.col("n") > F.col("level"), 0).otherwise(1), "g")))
+    take = each.select("grp", (F.least("n", "level") + F.when((F.col("n") > F.col("level")) & (F.col("more") <= F.col("left")), 1).otherwise(0)).alias("take"))
     return _taken(rows, take, hash_order(seed, "balanced", "row_id"), ("grp",), df.columns)
 
 
@@ -92,14 +102,10 @@ def strata(df: DataFrame, budget: int, seed: int, task: str, n_cells: int = 32)
     budget has CELL_ROWS rows for.  Groups are few (classes, or ten bins)."""
     rows = groups_of(df, task)
     sizes = allocate(rows.groupBy("grp").agg(F.count("*").alias("n")), budget, min_one=task == "classification").where("take > 0").collect()
-    out = None
-    for grp, n, take in sorted(((r["grp"], r["n"], r["take"]) for r in sizes), key=str):
-        own = rows.where(F.col("grp") == F.lit(grp))
-        k = max(1, min(n_cells, take // CELL_ROWS, n))
-        centres = cluster.fit(own, k, seed, tag="cells")
-        own = cluster.nearest(own, centres).withColumnRenamed("c", "cell").drop("d2")
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else rows.withColumn("cell", F.lit(0))
+    cells = {r["grp"]: max(1, min(n_cells, r["take"] // CELL_ROWS, r["n"])) for r in sizes}
+    if not cells:
+        return rows.withColumn("cell", F.lit(0))
+    return cluster.nearest_in_group(rows, cluster.fit_groups(rows, cells, seed, tag="cells")).withColumnRenamed("c", "cell").drop("d2")
 
 
 def _cell_shares(rows: DataFrame, budget: int, min_one: bool) -> DataFrame:
@@ -127,26 +133,37 @@ def kmeans_stratified(df, budget, seed, task="classification"):
     rows = groups_of(df, task)
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
     take = {r["grp"]: r["take"] for r in allocate(sizes, budget, min_one=True).collect()}
-    out = None
-    for grp in sorted(take, key=str):
-        own = rows.where(F.col("grp") == F.lit(grp))
-        own = cluster.nearest(own, cluster.fit(own, max(1, take[grp]), seed, tag="kmeans"))
-        nearest_ = F.row_number().over(Window.partitionBy("c").orderBy("d2", "row_id"))
-        own = own.withColumn("late", F.when(nearest_ == 1, 0).otherwise(1)).withColumn("h", hash_order(seed, "fill", "row_id"))
-        own = own.orderBy("late", "h", "row_id").limit(int(take[grp])).select(*df.columns)
-        out = own if out is None else out.unionByName(own)
-    return out
+    own = cluster.nearest_in_group(rows, cluster.fit_groups(rows, {g: max(1, t) for g, t in take.items()}, seed, tag="kmeans"))
+    own = own.withColumn("h", hash_order(seed, "fill", "row_id"))
+    lead = own.groupBy("grp", "c").agg(F.min(F.struct("d2", "row_id")).alias("m")).select("grp", F.col("m.row_id").alias("lead"))
+    near = F.broadcast(lead.groupBy("grp").agg(F.collect_list("lead").alias("leads")))
+    own = own.join(near, "grp").withColumn("late", F.when(F.array_contains("leads", F.col("row_id")), 0).otherwise(1))
+    taken = df.sparkSession.createDataFrame([(g, int(t)) for g, t in take.items()], T.StructType([own.schema["grp"], T.StructField("take", T.LongType())]))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("late", "h", "row_id"))
+    # a group's later rows are known by hash alone, so only so many of them can be among its budget
+    most = max(take.values(), default=1)
+    some = least_each(own, F.col("late") + unit(F.col("h")), most, ("grp",)) if most else own
+    return some.withColumn("p", place).join(F.broadcast(taken), "grp").where(F.col("p") <= F.col("take")).select(*df.columns)
+
+
+def embedded(df: DataFrame, seed: int, task: str, pilot: int = 1000, backend: object = None, estimators: int = 1) -> DataFrame:
+    """``df`` with features as the backend sees them: fitted on a pilot sample, the mean over estimators."""
+    some = first_by_hash(df, hash_order(seed, "embed", "row_id"), pilot)
+    seen = backend.embed(some, df, seed, task, estimators)
+    return df.drop("features").join(seen.select("row_id", "features"), "row_id").select(*df.columns)
 
 
 @selector("embedding_kmeans")
-def embedding_kmeans(df, budget, seed, task="classification"):
+def embedding_kmeans(df, budget, seed, task="classification", pilot=1000, backend=None, estimators=1):
     """One cluster a row of the budget (MAX_CLUSTERS at most) over the embedding, classes apart or not."""
-    own = cluster.nearest(df, cluster.fit(df, budget, seed, tag="embedding"))
-    place = F.row_number().over(Window.partitionBy("c").orderBy("d2", "row_id"))
-    own = own.withColumn("late", F.when(place == 1, 0).otherwise(1)).withColumn("h", hash_order(seed, "fill", "row_id"))
-    cover = F.row_number().over(Window.partitionBy("y").orderBy("h", "row_id"))
-    own = own.withColumn("cover", F.when(F.lit(task == "classification") & (cover == 1), 0).otherwise(1))
-    return own.orderBy("cover", "late", "h", "row_id").limit(budget).select(*df.columns)
+    rows = df if backend is None else embedded(df, seed, task, pilot, backend, estimators)
+    own = cluster.nearest(rows, cluster.fit(rows, budget, seed, tag="embedding")).withColumn("h", hash_order(seed, "fill", "row_id"))
+    ids = lambda key, first: F.broadcast(own.groupBy(key).agg(F.min(first).alias("m")).agg(F.collect_list("m.row_id").alias(f"{key}_ids")))
+    own = own.join(ids("c", F.struct("d2", "row_id"))).withColumn("late", F.when(F.array_contains("c_ids", F.col("row_id")), 0).otherwise(1))
+    own = own.join(ids("y", F.struct("h", "row_id"))) if task == "classification" else own.withColumn("y_ids", F.array().cast("array<long>"))
+    own = own.withColumn("cover", F.when(F.array_contains("y_ids", F.col("row_id")), 0).otherwise(1))
+    kept = own.orderBy("cover", "late", "h", "row_id").limit(budget)
+    return kept.select(*df.columns) if backend is None else df.join(kept.select("row_id"), "row_id", "left_semi")
 
 
 def uncertainty(df: DataFrame, seed: int, task: str, pilot: int = 500, trees: int = 20) -> DataFrame:
@@ -170,10 +187,14 @@ def uncertainty(df: DataFrame, seed: int, task: str, pilot: int = 500, trees: in
 
 @selector("uncertainty_mix")
 def uncertainty_mix(df, budget, seed, task="classification", frac_hard=0.5, pilot=500):
-    """The rows a pilot forest is least sure of, and a random rest."""
+    """The rows a pilot forest is least sure of, and a random rest; every class is in."""
     hard = uncertainty(df, seed, task, pilot).orderBy(F.desc("score"), "row_id").limit(round(frac_hard * budget)).select("row_id")
     rest = first_by_hash(df.select("row_id").join(hard, "row_id", "left_anti"), hash_order(seed, "rest", "row_id"), budget - round(frac_hard * budget))
-    return df.join(hard.union(rest), "row_id", "left_semi")
+    chosen = hard.withColumn("protected", F.lit(1)).union(rest.withColumn("protected", F.lit(0)))
+    if task == "classification":
+        # the forest is not fitted again for each side of the swap
+        chosen = cover_classes(df, written(chosen, "uncertain"), (), seed)
+    return df.join(chosen.select("row_id"), "row_id", "left_semi")
 
 
 def canary_shuffled(df: DataFrame, budget: int, seed: int) -> DataFrame:

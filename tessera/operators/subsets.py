@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seeding import hash_order, ranked
+from ..functions.seeding import digits_for, first_each, hash_order, least_each, ranked, unit
 from . import cluster
 from .allocate import allocate, stratified_counts
 from .encode import groups_of
@@ -39,7 +39,8 @@ def _each(df: DataFrame, estimators: int) -> DataFrame:
 
 @per_estimator("perest_random")
 def perest_random(df, budget, estimators, seed, task="classification", tag="est"):
-    return ranked(_each(df.select("row_id"), estimators), hash_order(seed, tag, "est", "row_id"), "row_id", ("est",)).where(F.col("rn") <= budget).select("est", "row_id")
+    sizes = df.sparkSession.range(estimators).select(F.col("id").cast("int").alias("est"), F.lit(df.count()).alias("n"))
+    return first_each(_each(df.select("row_id"), estimators), hash_order(seed, tag, "est", "row_id"), budget, ("est",), sizes).select("est", "row_id")
 
 
 @per_estimator("perest_partition")
@@ -49,12 +50,13 @@ def perest_partition(df, budget, estimators, seed, task="classification"):
     if budget >= n:
         return _each(df.select("row_id"), estimators).select("est", "row_id")
     step = n / estimators if estimators * budget >= n else float(budget)
-    rows = _each(ranked(df.select("row_id"), hash_order(seed, "partition", "row_id")), estimators)
+    rows = _each(ranked(df.select("row_id"), hash_order(seed, "partition", "row_id"), digits=digits_for(n)), estimators)
     return rows.where(F.pmod(F.col("rn") - 1 - F.floor(F.col("est").cast("double") * step), F.lit(n)) < budget).select("est", "row_id")
 
 
 def _by_group(rows: DataFrame, take: DataFrame, by: tuple[str, ...], estimators: int, order) -> DataFrame:
-    return ranked(_each(rows.select("row_id", *by), estimators), order, "row_id", ("est", *by)).join(F.broadcast(take), list(by)).where(F.col("rn") <= F.col("take")).select("est", "row_id")
+    sizes = _each(rows.groupBy(*by).agg(F.count("*").alias("n")).join(F.broadcast(take), list(by)), estimators)
+    return first_each(_each(rows.select("row_id", *by), estimators), order, F.col("take"), ("est", *by), sizes).select("est", "row_id")
 
 
 @per_estimator("perest_stratified")
@@ -102,13 +104,13 @@ def cluster_experts(df, budget, estimators, seed, task="classification"):
     every = cluster.distances(rows, cluster.centres_table(df.sparkSession, centres), keep=("row_id", "y", "own")).withColumnRenamed("c", "est")
     every = every.withColumn("h", hash_order(seed, "experts", "est", "row_id"))
     home = F.col("own") == F.col("est")
-    order = [F.when(home, 0).otherwise(1), F.when(home, F.col("h")), F.when(~home, F.col("d2")), "row_id"]
-    cover = F.lit(1)
+    score = F.when(home, unit(F.col("h")) - 1).otherwise(F.col("d2"))
     if task == "classification":
-        cover = F.when(F.row_number().over(Window.partitionBy("est", "y").orderBy("h", "row_id")) == 1, 0).otherwise(1)
-    every = every.withColumn("cover", cover)
-    place = F.row_number().over(Window.partitionBy("est").orderBy("cover", *order))
-    return every.withColumn("place", place).where(F.col("place") <= budget).select("est", "row_id")
+        first = every.groupBy("est", "y").agg(F.min(F.struct("h", "row_id")).alias("m")).select("est", F.col("m.row_id").alias("id"))
+        cover = F.broadcast(first.groupBy("est").agg(F.collect_list("id").alias("cover")))
+        every = every.join(cover, "est")
+        score = F.when(F.array_contains("cover", F.col("row_id")), score - 1e18).otherwise(score)
+    return least_each(every, score, budget, ("est",)).select("est", "row_id")
 
 
 def passes(n: int, k: int, estimators: int) -> list[tuple[int, int, int, int]]:
@@ -138,7 +140,7 @@ def pool_draws(df: DataFrame, k: int, estimators: int, seed: int, tag: str = "po
     ids, out, tail = df.select("row_id"), None, None
     for number in sorted({p[0] for p in plan}):
         left = ids.join(tail, "row_id", "left_anti") if tail is not None else ids
-        order = ranked(left, hash_order(seed, f"{tag}{number}", "row_id"))
+        order = ranked(left, hash_order(seed, f"{tag}{number}", "row_id"), digits=digits_for(n))
         own = [p for p in plan if p[0] == number]
         spans = F.array(*[F.struct(F.lit(e).alias("est"), F.lit(a).alias("a"), F.lit(b).alias("b")) for _, e, a, b in own])
         drawn = order.withColumn("s", F.explode(F.filter(spans, lambda s: (s["a"] < F.col("rn")) & (F.col("rn") <= s["b"])))).select(F.col("s.est").alias("est"), "row_id")
@@ -188,5 +190,8 @@ def emulate_subsample(df: DataFrame, k: int | float, method: str, estimators: in
 
 
 def context_key(contexts: DataFrame) -> DataFrame:
-    """(est, key): a digest of each estimator's rows, for cache keys."""
-    return contexts.groupBy("est").agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("row_id")), lambda x: x.cast("string"))), 256).alias("key"), F.count("*").alias("n"))
+    """(est, key): a digest of each estimator's rows, for cache keys: sums of two parts of each id's hash, so rows
+    add up where they are."""
+    h = F.md5(F.col("row_id").cast("string"))
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+    return contexts.groupBy("est").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(1), part(13)), 256).alias("key")).select("est", "key", "n")

@@ -13,6 +13,7 @@ from ..operators import effects as X
 from ..operators import grid as G
 from ..operators import statistics as T
 from ..operators import validation as V
+from ..functions.tables import written
 from ..sources import datasets as DS
 from ..sources import results as R
 from . import data, sql
@@ -62,9 +63,17 @@ def results_ctes(engine: str) -> list[str]:
 D = results_ctes("duckdb")
 
 
+_kept: dict = {}
+
+
 def results(s, d):
-    data.table(s, d, "orders").createOrReplaceTempView("orders_for_results")
-    return s.sql(with_(*[c.replace(" FROM orders)", " FROM orders_for_results)") for c in results_ctes("spark")], select="SELECT * FROM results"))
+    """The results table, worked out once a session and written: every report reads it from there."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _kept:
+        data.table(s, d, "orders").createOrReplaceTempView("orders_for_results")
+        made = s.sql(with_(*[c.replace(" FROM orders)", " FROM orders_for_results)") for c in results_ctes("spark")], select="SELECT * FROM results"))
+        _kept[key] = written(made.coalesce(1), "results")
+    return _kept[key]
 
 
 def family(s):

@@ -70,7 +70,7 @@ def cluster_experts_tuned(s, d):
     return _p(X.tuned_cluster_experts(train, test, 100, 3, 0, bias=True))
 
 
-@query("local_mix_predictions", with_(*_LM, "lc AS (SELECT (grp * 100000 + est) AS est, row_id FROM (SELECT grp, est, row_id FROM lo UNION ALL SELECT * FROM re))", "tn AS (SELECT * EXCLUDE (k) FROM (SELECT t.row_id, g.grp, row_number() OVER (PARTITION BY t.row_id ORDER BY " + _d2("t.f", "g.v") + ", g.grp) AS k FROM test t CROSS JOIN gr g) WHERE k = 1)", _fit("lc", "eo"), "own AS (SELECT eo.* FROM eo JOIN tn USING (row_id) WHERE est // 100000 = grp)", sql.proba("own", "pr"), select="SELECT row_id, cls, round(avg(p), 6) AS p FROM pr GROUP BY row_id, cls"))
+@query("local_mix_predictions", with_(*_LM, "lc AS (SELECT (grp * 100000 + est) AS est, row_id FROM lm)", "tn AS (SELECT * EXCLUDE (k) FROM (SELECT t.row_id, g.grp, row_number() OVER (PARTITION BY t.row_id ORDER BY " + _d2("t.f", "g.v") + ", g.grp) AS k FROM test t CROSS JOIN gr g) WHERE k = 1)", _fit("lc", "eo"), "own AS (SELECT eo.* FROM eo JOIN tn USING (row_id) WHERE est // 100000 = grp)", sql.proba("own", "pr"), select="SELECT row_id, cls, round(avg(p), 6) AS p FROM pr GROUP BY row_id, cls"))
 def local_mix_predictions(s, d):
     train, test = _parts(s, d)
     return _p(X.local_predictions(train, test, R.local_mix(train, test, 50, 2, ratio=0.8, groups=2, seed=0)))

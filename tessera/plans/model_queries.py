@@ -98,7 +98,7 @@ UNION ALL SELECT 'ece', round(sum(n * abs(acc - conf)) / sum(n), 6) FROM ec"""
 @query("metric_classification", with_(*CLF, P, MEAN, _T, _TOP, _AUC, _ECE, select=_SCORES))
 def metric_classification(s, d):
     c = data.clf(s, d)
-    pred = A.mean(c["out"]).cache()
+    pred = A.mean(c["out"])
     return M.score_classification(pred, c["truth"]).select("metric", F.round("value", 6).alias("value"))
 
 

@@ -106,7 +106,7 @@ query("sub_perest_stratified", with_(ORD, _E3, _SZ, sql.allocate("t", "sz", "301
 query("sub_perest_representative", with_(VECTORS, _E3, _SZ, sql.allocate("t", "sz", "100", True), _lloyd("base", "ce", _CK, "cells", "y"), _near("base", "ce", "na", "s.y"), _CELL, select=_each("perest_representative", "y, c", "take", "na b JOIN ct ON grp = y AND cell = c")))(_sub("perest_representative", data.vectors, 100, n_cells=4))
 query("sub_perest_kcenter")(_sub("perest_kcenter", data.vectors, 40))
 query("sub_cluster_experts", with_(VECTORS, _lloyd("base", "ce", "3", "experts"), _near("base", "ce", "na"), f"x AS (SELECT n.row_id, n.y, n.c AS own, z.c AS est, {_d2('n.f', 'z.v')} AS dd, {h(0, 'experts', 'z.c', 'n.row_id')} AS hh FROM na n CROSS JOIN ce z)", "v AS (SELECT *, (row_number() OVER (PARTITION BY est, y ORDER BY hh, row_id) > 1)::INTEGER AS cover FROM x)", "o AS (SELECT *, row_number() OVER (PARTITION BY est ORDER BY cover, (own <> est)::INTEGER, CASE WHEN own = est THEN hh END NULLS FIRST, CASE WHEN own <> est THEN dd END NULLS FIRST, row_id) AS p FROM v)", select="SELECT est, row_id FROM o WHERE p <= 120"))(_sub("cluster_experts", data.vectors, 120))
-query("sub_context_key", with_(ORD, _E3, "x AS (" + _each("est") + ")", select="SELECT est, sha256(string_agg(row_id::VARCHAR, ',' ORDER BY row_id)) AS key, count(*) AS n FROM x GROUP BY est"))(lambda s, d: U.context_key(U.subsets(data.orders(s, d), "perest_random", 500, 3, 0)))
+query("sub_context_key", with_(ORD, _E3, "x AS (" + _each("est") + ")", select="SELECT est, sha256(" + sql.digest('row_id') + ") AS key, count(*) AS n FROM x GROUP BY est"))(lambda s, d: U.context_key(U.subsets(data.orders(s, d), "perest_random", 500, 3, 0)))
 
 
 def _pool(n: int, k: int, estimators: int, tag: str, src: str, name: str) -> list[str]:
@@ -181,7 +181,7 @@ def feature_transform(s, d):
 
 query("split_stratified", with_(ORD, sql.split("base", "p", 0), select="SELECT row_id, part FROM p"))(lambda s, d: E.split_rows(data.orders(s, d), 0).select("row_id", "part"))
 query("split_plain", with_(PRI, sql.split("base", "p", 3, strata=False), select="SELECT row_id, part FROM p"))(lambda s, d: E.split_rows(data.prices(s, d), 3, label=None).select("row_id", "part"))
-query("split_hash", with_(ORD, sql.split("base", "p", 0), select="SELECT substr(sha1(string_agg(row_id::VARCHAR, ',' ORDER BY row_id)), 1, 16) AS test_hash, count(*) AS n FROM p WHERE part = 'test'"))(lambda s, d: E.split_hash(E.split_rows(data.orders(s, d), 0).where("part = 'test'")))
+query("split_hash", with_(ORD, sql.split("base", "p", 0), select="SELECT substr(sha1(" + sql.digest('row_id') + "), 1, 16) AS test_hash, count(*) AS n FROM p WHERE part = 'test'"))(lambda s, d: E.split_hash(E.split_rows(data.orders(s, d), 0).where("part = 'test'")))
 query("target_bins", with_(PRI, _EDGE(10), select="SELECT row_id, g AS grp FROM gb"))(lambda s, d: E.groups_of(data.prices(s, d), "regression").select("row_id", F.col("grp").cast("long").alias("grp")))
 query("allocate_budget", with_(ORD, _SZ, sql.allocate("t", "sz", "97", True), select="SELECT grp, n, take FROM t"))(lambda s, d: allocate(data.orders(s, d).groupBy(F.col("y").alias("grp")).agg(F.count("*").alias("n")), 97, True))
 query("class_prior", with_(LAB, select="SELECT k.y AS cls, round(count(b.y) / (SELECT count(*) FROM base WHERE row_id % 2 = 0)::DOUBLE, 6) AS prior FROM (SELECT DISTINCT y FROM base) k LEFT JOIN base b ON b.y = k.y AND b.row_id % 2 = 0 GROUP BY k.y"))(lambda s, d: E.class_prior(data.graded(s, d).where("row_id % 2 = 0"), data.graded(s, d).select(F.col("y").alias("cls")).distinct()).select("cls", F.round("prior", 6).alias("prior")))
@@ -219,10 +219,11 @@ def gate_weights(s, d):
 
 _LM = [*_SPLITV, _lloyd("test", "tg", "2", "groups"), "gr AS (SELECT c AS grp, v FROM tg)", f"po AS (SELECT * FROM (SELECT grp, t.row_id, row_number() OVER (PARTITION BY grp ORDER BY {_d2('t.f', 'v')}, t.row_id) AS k FROM train t CROSS JOIN gr))", "e AS (SELECT unnest([0, 1])::INTEGER AS est)",
        f"lo AS (SELECT grp, est, row_id FROM (SELECT grp, est, row_id, row_number() OVER (PARTITION BY grp, est ORDER BY {h(0, 'local', 'grp', 'est', 'row_id')}, row_id) AS rn FROM po CROSS JOIN e WHERE k <= 80) WHERE rn <= 40)",
-       f"re AS (SELECT grp, est, row_id FROM (SELECT p.grp, e.est, p.row_id, row_number() OVER (PARTITION BY p.grp, e.est ORDER BY {h(0, 'global', 'p.grp', 'e.est', 'p.row_id')}, p.row_id) AS rn FROM po p CROSS JOIN e WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.grp = p.grp AND lo.est = e.est AND lo.row_id = p.row_id)) WHERE rn <= 10)"]
+       f"re AS (SELECT grp, est, row_id FROM (SELECT p.grp, e.est, p.row_id, row_number() OVER (PARTITION BY p.grp, e.est ORDER BY {h(0, 'global', 'p.grp', 'e.est', 'p.row_id')}, p.row_id) AS rn FROM po p CROSS JOIN e WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.grp = p.grp AND lo.est = e.est AND lo.row_id = p.row_id)) WHERE rn <= 10)",
+       "lc0 AS (SELECT grp, est, row_id, 1 AS protected FROM lo UNION ALL SELECT grp, est, row_id, 0 FROM re)", sql.cover("lm", "lc0", "train", "grp, est")]
 
 
-@query("local_mix", with_(*_LM, select="SELECT grp, est, row_id FROM lo UNION ALL SELECT * FROM re"))
+@query("local_mix", with_(*_LM, select="SELECT grp, est, row_id FROM lm"))
 def local_mix(s, d):
     train, test = _parts(s, d)
     return R.local_mix(train, test, 50, 2, ratio=0.8, groups=2, seed=0)["context"]

@@ -23,6 +23,24 @@ def allocate(name: str, sizes: str, budget: str, min_one: bool = False) -> str:
 """
 
 
+def digest(id: str) -> str:
+    part = lambda at: f"sum(('0x' || substr(md5({id}::VARCHAR), {at}, 12))::UBIGINT)::VARCHAR"
+    return f"concat_ws(':', count(*)::VARCHAR, {part(1)}, {part(13)})"
+
+
+def cover(name: str, chosen: str, rows: str, by: str, seed: int = 0) -> str:
+    """Contexts (by, row_id, protected) with a row of each missing class swapped in."""
+    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in by.split(","))
+    hash_ = lambda t: h(seed, "cover", *[f"{'k' if t == 'b' else t}.{k.strip()}" for k in by.split(",")], f"{t}.row_id")
+    return f"""
+{name}_c AS (SELECT c.*, b.y, {hash_('c')} AS hh, count(*) OVER (PARTITION BY {by}) AS size FROM {chosen} c JOIN {rows} b USING (row_id)),
+{name}_k AS (SELECT * FROM (SELECT DISTINCT {by}, size FROM {name}_c) k CROSS JOIN (SELECT DISTINCT y FROM {rows}) l WHERE size >= (SELECT count(DISTINCT y) FROM {rows}) AND NOT EXISTS (SELECT 1 FROM {name}_c c WHERE {on('c', 'k')} AND c.y = l.y)),
+{name}_n AS (SELECT {by}, row_id FROM (SELECT {', '.join('k.' + x.strip() for x in by.split(','))}, b.row_id, row_number() OVER (PARTITION BY {', '.join('k.' + x.strip() for x in by.split(','))}, k.y ORDER BY {hash_('b')}, b.row_id) AS r FROM {name}_k k JOIN {rows} b ON b.y = k.y) WHERE r = 1),
+{name}_s AS (SELECT {by}, row_id, row_number() OVER (PARTITION BY {by} ORDER BY protected, hh, row_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY {by}, y ORDER BY protected DESC, hh DESC, row_id DESC) AS z FROM {name}_c) WHERE z > 1),
+{name}_o AS (SELECT s.* FROM {name}_s s JOIN (SELECT {by}, count(*) AS m FROM {name}_k GROUP BY {by}) m ON {on('s', 'm')} WHERE r <= m),
+{name} AS (SELECT {by}, row_id FROM {name}_c c WHERE NOT EXISTS (SELECT 1 FROM {name}_o o WHERE {on('o', 'c')} AND o.row_id = c.row_id) UNION ALL SELECT {by}, row_id FROM {name}_n)"""
+
+
 VECTORS = "base AS (SELECT vec_id AS row_id, label AS y, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings)"
 
 
