@@ -1,6 +1,6 @@
-"""python -m tessera.cli VERB: datasets, aggregation, coreset, validate, merge, analyze, plan.
+"""python -m tessera.cli VERB: datasets, aggregation, coreset, scaling, validate, merge, analyze, plan.
 
-Exit codes: 0 fine, 1 problems found, 2 a plan without enough power (unless --force).
+Runs resume: cells that have results are left out.  Exit codes: 0 fine, 1 problems or failures found, 2 a plan without enough power (unless --force).
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def load_config(path: str) -> dict:
@@ -32,101 +31,85 @@ def parse_shard(text: str | None) -> tuple[int, int]:
     return i, n
 
 
-def analyze(spark: SparkSession, path: str, out: str | None = None) -> dict:
-    """Tables of a results path: comparisons, effects and curves of each method, or rule by rule."""
-    from .operators import effects as X
-    from .operators import statistics as T
-    from .sources.results import read_results, table_name
-
-    rows = read_results(spark, path).cache()
-    baseline = "random" if rows.where("method = 'random'").limit(1).count() else "mean"
-    family = rows.where(~F.col("method").isin(baseline, "full")).select("method", F.lit(baseline).alias("baseline"), "budget_key", "metric").distinct()
-    tables = {"family": T.compare(X.annotate_saturation(rows) if baseline == "random" else rows, family)}
-    if baseline == "random":
-        for m, metric in [(r["method"], r["metric"]) for r in family.select("method", "metric").distinct().collect()]:
-            e = X.effect_sizes(rows, m, metric)
-            tables[f"effects_{m}_{metric}"] = e
-            tables[f"curve_{m}_{metric}"] = X.ratio_curve(e)
-    for name, t in tables.items():
-        if out:
-            t.write.mode("overwrite").parquet(table_name(out, f"analysis.{name}"))
-        else:
-            print(name)
-            t.show(truncate=False)
-    return tables
-
-
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tessera", description=__doc__)
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb in ("aggregation", "coreset", "datasets"):
+    for verb in ("aggregation", "coreset", "scaling", "datasets"):
         v = sub.add_parser(verb)
         v.add_argument("--config", required=True)
         v.add_argument("--out")
         v.add_argument("--shard")
+        v.add_argument("--log")
     for verb in ("validate", "analyze"):
         v = sub.add_parser(verb)
         v.add_argument("--results", required=True)
         v.add_argument("--out")
     v = sub.add_parser("merge")
     v.add_argument("--out", required=True)
-    v.add_argument("shards", nargs="+")
+    v.add_argument("shards", nargs="*")
     v = sub.add_parser("plan")
     for name, kind in (("datasets", int), ("seeds", int), ("effect", float), ("sd-dataset", float), ("sd-seed", float)):
-        v.add_argument(f"--{name}", type=kind, required=True)
+        v.add_argument(f"--{name}", type=kind)
+    v.add_argument("--config")
+    v.add_argument("--pilot")
     v.add_argument("--force", action="store_true")
     a = p.parse_args(args)
     if a.verb == "plan":
-        from .operators.effects import plan
-
-        got = plan(a.datasets, a.seeds, a.effect, a.sd_dataset, a.sd_seed)
-        print(json.dumps(got))
-        return 0 if got["enough"] or a.force else 2
+        return _plan(p, a)
     spark = SparkSession.builder.getOrCreate()
     if a.verb == "analyze":
+        from .plans.analysis import analyze
+
         analyze(spark, a.results, a.out)
         return 0
-    if a.verb == "validate":
-        from .operators.validation import validate
-        from .sources.results import read_results
-
-        problems = validate(read_results(spark, a.results))
+    if a.verb in ("validate", "merge"):
+        from .operators.validation import validate_path
+        from .sources.results import merge
+
+        path = a.results if a.verb == "validate" else a.out
+        if a.verb == "merge":
+            merge(spark, path, a.shards)
+        problems = validate_path(spark, path)
         print("\n".join(problems) or "no problems")
         return int(bool(problems))
-    if a.verb == "merge":
-        from .operators.validation import validate
-        from .sources.results import merge_shards, merged_in_order, read_results
-
-        merged = merged_in_order(merge_shards([read_results(spark, s) for s in a.shards]))
-        merged.write.mode("overwrite").parquet(a.out)
-        problems = validate(read_results(spark, a.out))
-        print("\n".join(problems) or "no problems")
-        return int(bool(problems))
-    from .plans.runner import normalize_config, run_aggregation, run_coreset
-    from .sources.datasets import describe, load_dataset
-    from .sources.results import append
-
-    config = normalize_config(load_config(a.config))
+    from .plans.config import normalize
+    from .plans.runner import run_experiment
+    from .sources.datasets import describe_all
+    from .sources.results import setup_logging, table_name
+
+    given = load_config(a.config)
+    if a.verb == "datasets":
+        table = describe_all(spark, normalize(given, given.get("experiment", "coreset")))
+        table.show(1000, truncate=False)
+        return int(bool(table.where("problems <> ''").limit(1).count()))
+    setup_logging(file=a.log)
     shard, shards = parse_shard(a.shard)
-    for i, spec in enumerate(config["datasets"]):
-        if i % shards != shard:
-            continue
-        rows = load_dataset(spark, spec)
-        if a.verb == "datasets":
-            describe(rows, spec.get("target", "y"), [c for c in rows.columns if c != spec.get("target", "y")]).show()
-        elif a.verb == "coreset":
-            append(run_coreset(rows, spec["name"], config["methods"], config["budgets"], config["seeds"]), a.out)
-        else:
-            from .operators.backends import CentroidBackend
-            from .operators.encode import split_rows
-            from .operators.subsets import subsets
-
-            parts = split_rows(rows, 0, config["test_size"])
-            train, test = parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
-            k = max(config["n_estimators"])
-            fit = CentroidBackend(k).clf_outputs(train, subsets(train, "perest_random", config.get("context", 200), k), test)
-            append(run_aggregation({spec["name"]: {"train": train, "out": fit, "truth": test.select("row_id", "y")}}, config["methods"], config["n_estimators"], config["seeds"]), a.out)
-    return 0
+    out = a.out or given.get("out") or given.get("out_csv")
+    if not out:
+        p.error("--out, or out in the configuration, says where results go")
+    failed = run_experiment(spark, given, a.verb, table_name(out, "results", shard if a.shard else None), shard, shards)
+    return int(bool(failed))
+
+
+def _plan(p: argparse.ArgumentParser, a: argparse.Namespace) -> int:
+    from .operators.effects import plan, plan_from_config
+
+    if a.config:
+        from .plans.config import normalize
+
+        pilot = None
+        if a.pilot:
+            from .sources.results import read_results
+
+            pilot = read_results(SparkSession.builder.getOrCreate(), a.pilot)
+        got = plan_from_config(normalize(load_config(a.config), "coreset"), pilot)
+    else:
+        values = (a.datasets, a.seeds, a.effect, a.sd_dataset, a.sd_seed)
+        if None in values:
+            p.error("plan needs --config, or --datasets, --seeds, --effect, --sd-dataset and --sd-seed")
+        got = plan(*values)
+    print(json.dumps(got))
+    return 0 if got["enough"] or a.force else 2
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +39,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch():
+    """Tables written inside are deleted at its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        freed(*_scopes.pop())
+
+
+_scopes: list[list[DataFrame]] = []
+
+
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 

@@ -170,6 +170,27 @@ def plan(datasets: int, seeds: int, effect: float, sd_dataset: float, sd_seed: f
     return {"datasets": datasets, "seeds": seeds, "effect": effect, "power": got, "enough": got >= power, "min_effect": min_detectable_effect(datasets, seeds, sd_dataset, sd_seed, alpha, power), "min_effect_approx": min_effect_approx(datasets, seeds, sd_dataset, sd_seed, alpha, power)}
 
 
+def plan_from_config(config: dict, pilot: DataFrame | None = None) -> dict:
+    """``plan`` for a configuration's confirm datasets and seeds; noise from a pilot's results (the largest over methods), or
+    from the configuration's planning."""
+    datasets = sum(d["split"] == "confirm" for d in config["datasets"])
+    seeds = len(config["split_seeds"]) * len(config["selection_seeds"])
+    if pilot is None:
+        given = config.get("planning", {})
+        sd_dataset, sd_seed = float(given.get("sd_dataset", 0.02)), float(given.get("sd_seed", 0.02))
+    else:
+        found = []
+        for task, metric in (("classification", "log_loss"), ("regression", "rmse")):
+            own = pilot.where(F.col("task") == task)
+            methods = own.where(F.col("role") == "method").select("method").distinct().collect()
+            found += [estimate_noise(own, r["method"], "random", metric).first() for r in methods]
+        found = [r for r in found if r["sd_dataset"] is not None and math.isfinite(r["sd_dataset"])]
+        if not found:
+            raise ValueError("the pilot has no pairs of a method and random to estimate noise from")
+        sd_dataset, sd_seed = max(r["sd_dataset"] for r in found), max(r["sd_seed"] for r in found)
+    return plan(datasets, seeds, float(config.get("min_detectable_effect", 0.01)), sd_dataset, sd_seed, float(config.get("alpha", 0.05)))
+
+
 def tune(results: DataFrame, metric: str, params: list[str]) -> DataFrame:
     """The best parameters on the dev split: mean over seeds, then over datasets.  Other splits are an error."""
     if results.where("split <> 'dev'").limit(1).count():

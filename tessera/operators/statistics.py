@@ -5,16 +5,18 @@ All comparisons of a report run as one job: groups are (method, baseline, budget
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import special
 from ..functions.seeding import hash_order
 from .metrics import METRICS
 
 ALIGN = ["dataset", "split_seed", "seed", "budget", "n_estimators"]
+#: Differences up to which the signed-rank test is exact.
+WILCOXON_EXACT = 50
 GROUP = ["method", "baseline", "budget_key", "metric"]
 
 
@@ -26,8 +28,10 @@ def clean(results: DataFrame) -> DataFrame:
     return results.withColumns(nan | text)
 
 
-def has_flag(flags: Column, flag: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(flags, F.lit("")), ","), flag)
+def has_flag(flags: Column, flag: str, exact: bool = True) -> Column:
+    """Whether a list of flags has the flag, or, not ``exact``, has it in any of its names."""
+    text = F.coalesce(flags, F.lit(""))
+    return F.array_contains(F.split(text, ","), flag) if exact else F.contains(text, F.lit(flag))
 
 
 def add_flag(flags: Column, flag: str) -> Column:
@@ -77,14 +81,65 @@ def bootstrap_ci(values: DataFrame, by: list[str], value: str = "value", tie: st
     return q.select(*by, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _wilcoxon(d: pd.Series) -> pd.Series:
-    return d.map(lambda x: special.wilcoxon(list(x)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _paired_t(d: pd.Series) -> pd.Series:
-    return d.map(lambda x: special.paired_t(list(x)))
+def _sum_of_terms(first: Column, count: Column, ratio) -> Column:
+    """first + first * ratio(1) + first * ratio(1) * ratio(2) + ...: ``count`` terms."""
+    zero = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda a, k: F.struct((a["term"] * ratio(k)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    return F.aggregate(F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>")), zero, step)["sum"]
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t for a whole number of degrees of freedom, by its finite sum."""
+    angle, df = F.atan(F.abs(t) / F.sqrt(df.cast("double"))), df.cast("int")
+    sin, cos2 = F.sin(angle), F.cos(angle) * F.cos(angle)
+    odd = 2 / math.pi * (angle + sin * _sum_of_terms(F.cos(angle), F.floor((df - 1) / 2).cast("int"), lambda k: cos2 * (2 * k) / (2 * k + 1)))
+    even = sin * _sum_of_terms(F.lit(1.0), F.floor(df / 2).cast("int"), lambda k: cos2 * (2 * k - 1) / (2 * k))
+    return F.greatest(F.lit(0.0), 1 - F.when(F.pmod(df, F.lit(2)) == 1, odd).otherwise(even))
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the normal distribution: a series near the middle, a continued fraction beyond."""
+    x = F.abs(z) / math.sqrt(2)
+    series = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * _sum_of_terms(x, F.lit(80), lambda k: 2 * x * x / (2 * k + 1))
+    far = F.greatest(x, F.lit(1.0))
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), F.lit(1.0), lambda t, k: 1 + k / (2 * far * far) / t)
+    return F.least(F.lit(1.0), F.when(x < 2.5, series).otherwise(F.exp(-far * far) / (far * math.sqrt(math.pi)) / fraction))
+
+
+def paired_t(d: Column) -> Column:
+    """p of the two-sided paired t-test of an array of differences; null for fewer than two or no spread."""
+    n = F.size(d).cast("double")
+    mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / n
+    ss = F.aggregate(d, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    ok = (n >= 2) & (ss > 0)
+    t = mean / F.sqrt(F.when(ok, ss / (n - 1) / n).otherwise(1.0))
+    return F.when(ok, t_tail(t, F.greatest(n - 1, F.lit(1.0))))
+
+
+def wilcoxon(d: Column) -> Column:
+    """p of the two-sided signed-rank test of an array of differences: nulls and infinities don't count, zeros are left
+    out, ties get mid-ranks; exact up to WILCOXON_EXACT differences without ties or zeros, else normal with tie
+    correction; no differences: 1."""
+    known = F.filter(d, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    x = F.array_sort(F.transform(F.filter(known, lambda v: v != 0), lambda v: F.struct(F.abs(v).alias("a"), (v > 0).alias("up"))))
+    n = F.size(x)
+    less = lambda v: F.size(F.filter(x, lambda o: o["a"] < v["a"]))
+    same = lambda v: F.size(F.filter(x, lambda o: o["a"] == v["a"]))
+    ranks = F.transform(x, lambda v: F.struct((less(v) + (same(v) + 1) / 2.0).alias("r"), v["up"].alias("up"), same(v).cast("double").alias("t")))
+    total = lambda f: F.aggregate(ranks, F.lit(0.0), lambda s, v: s + f(v))
+    plus = total(lambda v: F.when(v["up"], v["r"]).otherwise(0.0))
+    least = F.least(plus, n * (n + 1) / 2.0 - plus)
+    ties = total(lambda v: v["t"] * v["t"] - 1)
+    # ways to reach each rank sum, one rank after the other
+    width = (least + 1).cast("int")
+    start = F.transform(F.sequence(F.lit(0), least.cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    grow = lambda w, k: F.transform(w, lambda v, i: v + F.when(i >= k, F.get(w, (i - k).cast("int"))).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.slice(start, F.lit(1), width), grow)
+    exact = F.least(F.lit(1.0), 2.0 * F.aggregate(ways, F.lit(0.0), lambda s, v: s + v) / F.pow(F.lit(2.0), n.cast("double")))
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)
+    z = (least - n * (n + 1) / 4.0) / F.when(sd > 0, sd).otherwise(1.0)
+    rough = F.when(sd > 0, normal_tail(z)).otherwise(1.0)
+    return F.when(n == 0, 1.0).when((n <= WILCOXON_EXACT) & (ties == 0) & (n == F.size(known)), exact).otherwise(rough)
 
 
 def holm(rows: DataFrame, p: str = "p_sign", by: list[str] = (), tie: list[str] = GROUP) -> DataFrame:
@@ -98,7 +153,7 @@ def holm(rows: DataFrame, p: str = "p_sign", by: list[str] = (), tie: list[str]
 def compare(results: DataFrame, family: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, exclude: tuple[str, ...] = ("saturated",)) -> DataFrame:
     """One row for each member of the family: n_datasets, mean_diff, improvement (more is better),
     interval, p_sign, p_wilcoxon, win_rate, significant, p_holm, significant_holm."""
-    d = paired(results, family, exclude).withColumn("imp", F.col("diff") * orientation(F.col("metric"))).cache()
+    d = paired(results, family, exclude).withColumn("imp", F.col("diff") * orientation(F.col("metric")))
     one = d.groupBy(*GROUP).agg(
         F.count("*").alias("n_datasets"), F.avg("diff").alias("mean_diff"), F.avg("imp").alias("improvement"), F.count_if(F.col("imp") > 0).alias("wins"), F.count_if(F.col("imp") < 0).alias("losses"), F.transform(F.sort_array(F.collect_list(F.struct("dataset", "imp"))), lambda s: s["imp"]).alias("imps")
     )
@@ -108,7 +163,7 @@ def compare(results: DataFrame, family: DataFrame, n_boot: int = 2000, alpha: fl
     for g in GROUP:
         on = on & F.col(g).eqNullSafe(F.col(f"r_{g}"))
     both = one.join(right, on).withColumn("p_sign", sign_p(F.col("wins"), F.col("losses")))
-    both = both.withColumn("win_rate", (F.col("wins") + 0.5 * (F.col("n_datasets") - F.col("wins") - F.col("losses"))) / F.col("n_datasets")).withColumn("p_wilcoxon", _wilcoxon("imps"))
+    both = both.withColumn("win_rate", (F.col("wins") + 0.5 * (F.col("n_datasets") - F.col("wins") - F.col("losses"))) / F.col("n_datasets")).withColumn("p_wilcoxon", wilcoxon(F.col("imps")))
     clear = (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
     both = holm(both.withColumn("significant", (F.col("n_datasets") >= 2) & clear & (F.col("p_sign") < alpha)))
     return both.select(*GROUP, "n_datasets", "mean_diff", "improvement", "ci_low", "ci_high", "p_sign", "p_wilcoxon", "win_rate", "significant", "p_holm", ((F.col("p_holm") < alpha) & clear).alias("significant_holm"))
@@ -142,7 +197,7 @@ def paired_t_by_dataset(results: DataFrame, baseline: str, metric: str) -> DataF
     b = own.where(F.col("method") == baseline).select("dataset", F.col("split_seed").alias("s0"), F.col("seed").alias("s1"), F.col("budget").alias("s2"), F.col("value").alias("vb"))
     m = own.where(F.col("method") != baseline).alias("m")
     j = m.join(b.alias("b"), (F.col("m.dataset") == F.col("b.dataset")) & F.col("split_seed").eqNullSafe(F.col("s0")) & F.col("seed").eqNullSafe(F.col("s1")) & F.col("m.budget").eqNullSafe(F.col("s2")))
-    d = j.groupBy(F.col("m.dataset").alias("dataset"), "method").agg(F.count("*").alias("n"), F.avg(F.col("value") - F.col("vb")).alias("mean_diff"), F.collect_list(F.col("value") - F.col("vb")).alias("d"))
-    d = d.withColumn("p_t", _paired_t("d")).drop("d")
+    d = j.groupBy(F.col("m.dataset").alias("dataset"), "method").agg(F.count("*").alias("n"), F.avg(F.col("value") - F.col("vb")).alias("mean_diff"), F.sort_array(F.collect_list(F.col("value") - F.col("vb"))).alias("d"))
+    d = d.withColumn("p_t", paired_t(F.col("d"))).drop("d")
     tested = holm(d.where("p_t is not null"), "p_t", ["dataset"], ["method"])
     return tested.unionByName(d.where("p_t is null").withColumn("p_holm", F.lit(None).cast("double")))

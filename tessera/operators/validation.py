@@ -104,3 +104,28 @@ def validate(results: DataFrame, failures: DataFrame | None = None, expected: Da
         if n:
             out.append(f"{n} {name}, such as {[r.asDict() for r in rows.limit(3).collect()]}")
     return out
+
+
+def validate_path(spark, path: str) -> list[str]:
+    """All problems of a results path, held against what its meta expects: cells, baselines, budgets, open failures
+    and, for scaling, timings."""
+    from ..sources.results import FAILURES, open_failures, read_meta, read_results, read_side, read_timing, table_name
+
+    results = read_results(spark, path)
+    try:
+        meta = read_meta(spark, table_name(path, "meta"))
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        meta = {}
+    failures = open_failures(read_side(spark, FAILURES, table_name(path, "failures")), results)
+    expected = meta.get("expected")
+    kind = meta.get("experiment")
+    wanted = spark.createDataFrame([tuple(e) for e in expected], "dataset string, split_seed int, seed int, method string, budget_key string") if expected else None
+    methods = meta.get("config", {}).get("coreset_methods", [])
+    out = validate(results, failures, wanted, [b for b in meta.get("baselines", []) if b != "full"], 6 if kind == "coreset" and "random" in methods else 0)
+    if kind == "scaling":
+        bad = timing_problems(read_timing(spark, path), results)
+        n = bad.count()
+        out += [f"{n} timing problems, such as {[r.asDict() for r in bad.limit(3).collect()]}"] * bool(n)
+    return out

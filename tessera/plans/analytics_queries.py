@@ -299,8 +299,131 @@ def run_aggregation(s, d):
     return run({"vectors": c}, ["mean", "logit_mean", "median"], [1, 4], [0]).select("method", "n_estimators", "metric", "value")
 
 
-@query("run_coreset")
+def _seeds_sql() -> str:
+    ctes, parts = [*CLF, "tr AS (SELECT row_id, y FROM test)"], []
+    for seed in (0, 1):
+        ctes += [sql.context("train", f"cx{seed}", data.CONTEXT, data.ESTIMATORS, seed), sql.centroid("train", "test", f"cx{seed}", f"os{seed}"), sql.proba(f"os{seed}", f"ps{seed}"), f"ms{seed} AS (SELECT row_id, cls, avg(p) AS p FROM ps{seed} GROUP BY row_id, cls)", sql.scores(f"ms{seed}", f"sc{seed}")]
+        parts.append(f"SELECT {seed} AS seed, metric, value FROM sc{seed}")
+    return with_(*ctes, select=" UNION ALL ".join(parts))
+
+
+@query("run_aggregation_seeds", _seeds_sql())
+def run_aggregation_seeds(s, d):
+    """Each seed has contexts and a fit of its own."""
+    from ..operators.backends import CentroidBackend
+    from ..operators.subsets import subsets
+    from .runner import run_aggregation as run
+
+    c = data.clf(s, d)
+    fit = lambda c, seed: CentroidBackend(data.ESTIMATORS).clf_outputs(c["train"], subsets(c["train"], "perest_random", data.CONTEXT, data.ESTIMATORS, seed), c["test"])
+    return run({"vectors": c}, ["mean"], [data.ESTIMATORS], [0, 1], fit).select("seed", "metric", "value")
+
+
+def _coreset_sql() -> str:
+    ctes, parts = [*CLF, "tr AS (SELECT row_id, y FROM test)", "e2 AS (SELECT unnest([0, 1])::INTEGER AS est)", "nn AS (SELECT count(*) AS n FROM train)", "zt AS (SELECT y AS grp, count(*) AS n FROM train GROUP BY y)"], []
+    for method, key, f in [("full", "full", None), ("random", "f0.2", 0.2), ("random", "f0.5", 0.5), ("stratified", "f0.2", 0.2), ("stratified", "f0.5", 0.5)]:
+        n = f"{method}{key[1:].replace('.', '') if f else ''}"
+        budget = f"(SELECT greatest(2, round_even(n * {f}::DOUBLE, 0)::BIGINT) FROM nn)"
+        if method == "full":
+            ctes.append(f"c_{n} AS (SELECT est, row_id FROM train CROSS JOIN e2)")
+        elif method == "random":
+            ctes.append(f"c_{n} AS (SELECT est, row_id FROM (SELECT row_id, row_number() OVER (ORDER BY {sql.h(0, 'random', 'row_id')}, row_id) AS k FROM train) CROSS JOIN e2 WHERE k <= {budget})")
+        else:
+            ctes += [sql.allocate(f"a_{n}", "zt", budget, True), f"c_{n} AS (SELECT est, row_id FROM (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY {sql.h(0, 'stratified', 'row_id')}, row_id) AS k FROM train) JOIN a_{n} ON grp = y CROSS JOIN e2 WHERE k <= take)"]
+        ctes += [sql.centroid("train", "test", f"c_{n}", f"o_{n}", 2), sql.proba(f"o_{n}", f"p_{n}"), f"m_{n} AS (SELECT row_id, cls, avg(p) AS p FROM p_{n} GROUP BY row_id, cls)", sql.scores(f"m_{n}", f"s_{n}")]
+        b = "(SELECT n FROM nn)" if f is None else budget
+        parts.append(f"SELECT '{method}' AS method, '{key}' AS budget_key, {b}::DOUBLE AS budget, metric, value FROM s_{n}")
+    return with_(*ctes, select=" UNION ALL ".join(parts))
+
+
+@query("run_coreset", _coreset_sql())
 def run_coreset(s, d):
     from .runner import run_coreset as run
 
-    return run(data.vectors(s, d), "vectors", ["random", "stratified"], {"f0.2": 0.2, "f0.5": 0.5}, [0])
+    return run(data.vectors(s, d), "vectors", ["random", "stratified"], {"f0.2": 0.2, "f0.5": 0.5}, [0]).select("method", "budget_key", "budget", "metric", "value")
+
+
+@query("run_coreset_methods")
+def run_coreset_methods(s, d):
+    """Contexts that differ between estimators or rows, with the rows that go with them."""
+    from .runner import run_coreset as run
+
+    return run(data.vectors(s, d), "vectors", ["perest_random", "cluster_experts", "local_mix_r0.9"], {"f0.2": 0.2}, [0], combined_aggregators=["median"], local_groups=2).select("method", "budget_key", "role", "flags", "metric", "value")
+
+
+# reports: three seeds, so paired differences have two degrees of freedom
+_T2 = "CASE WHEN n >= 2 AND sd > 0 THEN " + sql.t_tail2("(m / (sd / sqrt(n)))") + " END"
+_SIGN = "CASE WHEN metric = 'accuracy' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+
+
+def _holm_sql(src: str, tie: str) -> str:
+    return f"hx AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, {tie}) + 1) * p) AS a FROM {src} WHERE p IS NOT NULL), hy AS (SELECT * EXCLUDE (a), max(a) OVER (ORDER BY p, {tie} ROWS UNBOUNDED PRECEDING) AS p_holm FROM hx UNION ALL SELECT *, NULL FROM {src} WHERE p IS NULL)"
+
+
+_DEV = [
+    *D, f"dp AS (SELECT r.dataset, r.budget, r.metric, r.method, r.value, CASE WHEN r.method <> 'random' THEN (r.value - b.value) * {_SIGN.replace('metric', 'r.metric')} END AS imp FROM results r LEFT JOIN results b ON b.method = 'random' AND b.dataset = r.dataset AND b.budget = r.budget AND b.metric = r.metric AND b.seed = r.seed)",
+    "da AS (SELECT dataset, budget, metric, method, count(value) AS nv, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS se, count(imp) AS n, avg(imp) AS m, stddev_samp(imp) AS sd FROM dp GROUP BY ALL)",
+    f"db AS (SELECT *, {_T2} AS p FROM da)", _holm_sql("db", "dataset, budget, metric, method"),
+]
+
+
+@query("dev_table", with_(*_DEV, select="SELECT dataset, budget, metric, method, nv AS n, round(mean, 5) AS mean, round(se, 5) AS se, CASE WHEN n >= 2 THEN round(m, 5) END AS improvement, round(p, 5) AS p, round(p_holm, 4) AS p_holm FROM hy"))
+def dev_table(s, d):
+    from . import analysis
+
+    out = analysis.dev_table(results(s, d))
+    return out.select("dataset", "budget", "metric", "method", "n", *[F.round(c, 5).alias(c) for c in ("mean", "se", "improvement", "p")], F.round("p_holm", 4).alias("p_holm"))
+
+
+_STEP = [
+    *D, "lv AS (SELECT dataset, method, metric, budget, lead(budget) OVER (PARTITION BY dataset, method, metric ORDER BY budget) AS nx FROM (SELECT DISTINCT dataset, method, metric, budget FROM results))",
+    f"sp AS (SELECT a.dataset, a.method, a.metric, a.budget, lv.nx, a.value AS va, b.value AS vb, (b.value - a.value) * {_SIGN.replace('metric', 'a.metric')} AS imp FROM results a JOIN lv ON lv.dataset = a.dataset AND lv.method = a.method AND lv.metric = a.metric AND lv.budget = a.budget JOIN results b ON b.dataset = a.dataset AND b.method = a.method AND b.metric = a.metric AND b.budget = lv.nx AND b.seed = a.seed)",
+    "sa AS (SELECT dataset, method, metric, budget, nx, count(*) AS n, avg(va) AS va, avg(vb) AS vb, avg(imp) AS m, stddev_samp(imp) AS sd FROM sp GROUP BY ALL)", f"sb AS (SELECT *, {_T2} AS p FROM sa)",
+]
+
+
+@query("step_table", with_(*_STEP, select="SELECT dataset, method, metric, budget AS budget_from, nx AS budget_to, n AS n_seeds, round(va, 5) AS value_from, round(vb, 5) AS value_to, round(m, 5) AS improvement, round(sd / sqrt(n), 5) AS se, round(p, 5) AS p FROM sb"))
+def step_table(s, d):
+    from . import analysis
+
+    out = analysis.step_table(results(s, d), "budget")
+    return out.select("dataset", "method", "metric", "budget_from", "budget_to", "n_seeds", *[F.round(c, 5).alias(c) for c in ("value_from", "value_to", "improvement", "se", "p")])
+
+
+_RANKS = [
+    *D, _FAM, _PAIR, f"sg AS (SELECT *, diff * {_SIGN} AS imp FROM pd)", "nz AS (SELECT *, rank() OVER w + (count(*) OVER v - 1) / 2.0 AS r, count(*) OVER u AS n, count(*) OVER v AS t FROM sg WHERE imp <> 0 WINDOW u AS (PARTITION BY method, baseline, budget_key, metric), w AS (PARTITION BY method, baseline, budget_key, metric ORDER BY abs(imp)), v AS (PARTITION BY method, baseline, budget_key, metric, abs(imp)))",
+    "wr AS (SELECT method, baseline, budget_key, metric, n, sum(CASE WHEN imp > 0 THEN r ELSE 0 END) AS w, max(t) AS t, list(r ORDER BY r) AS rs FROM nz GROUP BY ALL)",
+    "wp AS (SELECT w.*, (SELECT count(*) FROM (SELECT unnest(range(0, (1 << w.n)::BIGINT)) AS b) x WHERE (SELECT coalesce(sum(i), 0) FROM (SELECT unnest(range(1, w.n + 1)) AS i) y WHERE (x.b >> (i - 1)::BIGINT) & 1 = 1) <= least(w, n * (n + 1) / 2.0 - w)) AS ways FROM wr w)",
+]
+
+
+@query("wilcoxon", with_(*_RANKS, select="SELECT method, baseline, budget_key, metric, round(least(1, 2 * ways / pow(2, n)), 6)::DOUBLE AS p_wilcoxon FROM wp WHERE t = 1 AND n = 5"))
+def wilcoxon(s, d):
+    """Signed-rank test of each comparison of five datasets without ties."""
+    d = T.paired(results(s, d), family(s)).withColumn("imp", F.col("diff") * T.orientation(F.col("metric")))
+    one = d.groupBy(*T.GROUP).agg(F.collect_list("imp").alias("d"), F.count_distinct(F.abs("imp")).alias("k"), F.count_if(F.col("imp") != 0).alias("n")).where("k = 5 and n = 5")
+    return one.select(*T.GROUP, F.round(T.wilcoxon(F.col("d")), 6).alias("p_wilcoxon"))
+
+
+@query("analyze_aggregation")
+def analyze_aggregation(s, d):
+    from . import analysis
+    from .runner import run_aggregation as run
+
+    return analysis.analyze_aggregation(run({"vectors": data.clf(s, d)}, ["mean", "logit_mean"], [1, 4], [0]), n_boot=50).select("method", "metric", "n_estimators", "task", "n_datasets", "mean_diff")
+
+
+@query("saturated_cells", with_(*D, _FP, _SAT, select="SELECT DISTINCT r.dataset, r.budget, r.metric FROM results r JOIN sa s ON s.dataset = r.dataset AND s.budget = r.budget AND s.metric = r.metric WHERE r.method <> 'full'"))
+def saturated_cells(s, d):
+    from . import analysis
+
+    return analysis.analyze_coreset(results(s, d), n_boot=50)["saturated_cells"]
+
+
+query("dev_table_cost", with_(*D, "tm AS (SELECT DISTINCT cell, dataset, method, budget FROM results)", select="SELECT r.dataset, r.method, r.metric, r.budget, round(c.total_s, 5) AS total_s FROM (SELECT DISTINCT dataset, method, metric, budget FROM results) r LEFT JOIN (SELECT dataset, method, avg(budget / 1000) AS total_s FROM tm GROUP BY dataset, method) c USING (dataset, method)"))(lambda s, d: _cost(s, d))
+
+
+def _cost(s, d):
+    from . import analysis
+
+    return analysis.dev_table(results(s, d), "random", timing(s, d).withColumn("n_fits", F.lit(1))).select("dataset", "method", "metric", "budget", F.round("total_s", 5).alias("total_s"))

@@ -156,10 +156,11 @@ query("builtin_explicit", with_(NAT, select="SELECT 0 AS est, row_id FROM base W
 query("encode_labels", "SELECT y, (row_number() OVER (ORDER BY y) - 1)::INTEGER AS code FROM (SELECT DISTINCT o_orderpriority AS y FROM orders)")(lambda s, d: E.encode_labels(data.table(s, d, "orders").select(F.col("o_orderpriority").alias("y"))).select("y", "code"))
 
 
-@query("encode_table", "WITH f AS (SELECT value, (dense_rank() OVER (ORDER BY value) - 1)::DOUBLE AS code FROM (SELECT DISTINCT lang AS value FROM documents WHERE doc_id % 2 = 0)), g AS (SELECT value, (dense_rank() OVER (ORDER BY value) - 1)::DOUBLE AS code FROM (SELECT DISTINCT source AS value FROM documents WHERE doc_id % 2 = 0 AND source < 'src2')) SELECT doc_id AS row_id, f.code AS lang, g.code AS source FROM documents LEFT JOIN f ON f.value = lang LEFT JOIN g ON g.value = source")
+@query("encode_table", "WITH f AS (SELECT value, (dense_rank() OVER (ORDER BY value) - 1)::DOUBLE AS code FROM (SELECT DISTINCT lang AS value FROM documents)), g AS (SELECT value, (dense_rank() OVER (ORDER BY value) - 1)::DOUBLE AS code FROM (SELECT DISTINCT source AS value FROM documents WHERE source < 'src2')) SELECT doc_id AS row_id, f.code AS lang, g.code AS source FROM documents LEFT JOIN f ON f.value = lang LEFT JOIN g ON g.value = source")
 def encode_table(s, d):
+    """Some sources are hidden at the fit: they become null."""
     rows = data.table(s, d, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source")
-    fitted = E.fit_table_encoder(rows.where((F.col("row_id") % 2 == 0)).withColumn("source", F.when(F.col("source") < "src2", F.col("source"))), ["lang", "source"])
+    fitted = E.fit_table_encoder(rows.withColumn("source", F.when(F.col("source") < "src2", F.col("source"))), ["lang", "source"])
     return E.apply_table_encoder(rows, fitted, ["lang", "source"])
 
 
@@ -168,14 +169,13 @@ def encode_numeric(s, d):
     return E.to_numeric(data.table(s, d, "customer").select(F.col("c_custkey").alias("row_id"), "c_acctbal", "c_nationkey", "c_mktsegment"))
 
 
-# encoders and scalings are fitted on one half of the rows and applied to all: the other half is unseen
 _FT = ["p_size", "p_retailprice"]
 
 
-@query("feature_transform", "WITH f AS (SELECT quantile_cont(p_size::DOUBLE, 0.5) AS a, avg(p_size::DOUBLE) AS m0, stddev_pop(p_size::DOUBLE) AS s0, avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS s1 FROM part WHERE p_partkey % 2 = 0) SELECT p_partkey AS row_id, round((p_size - m0) / s0, 6) AS x0, round((p_retailprice - m1) / s1, 6) AS x1 FROM part CROSS JOIN f")
+@query("feature_transform", "WITH f AS (SELECT quantile_cont(p_size::DOUBLE, 0.5) AS a, avg(p_size::DOUBLE) AS m0, stddev_pop(p_size::DOUBLE) AS s0, avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS s1 FROM part) SELECT p_partkey AS row_id, round((p_size - m0) / s0, 6) AS x0, round((p_retailprice - m1) / s1, 6) AS x1 FROM part CROSS JOIN f")
 def feature_transform(s, d):
     rows = data.table(s, d, "part").withColumnRenamed("p_partkey", "row_id")
-    out = E.apply_features(rows, E.fit_features(rows.where("row_id % 2 = 0"), _FT), _FT)
+    out = E.apply_features(rows, E.fit_features(rows, _FT), _FT)
     return out.select("row_id", F.round(F.col("features")[0], 6).alias("x0"), F.round(F.col("features")[1], 6).alias("x1"))
 
 
@@ -184,7 +184,7 @@ query("split_plain", with_(PRI, sql.split("base", "p", 3, strata=False), select=
 query("split_hash", with_(ORD, sql.split("base", "p", 0), select="SELECT substr(sha1(" + sql.digest('row_id') + "), 1, 16) AS test_hash, count(*) AS n FROM p WHERE part = 'test'"))(lambda s, d: E.split_hash(E.split_rows(data.orders(s, d), 0).where("part = 'test'")))
 query("target_bins", with_(PRI, _EDGE(10), select="SELECT row_id, g AS grp FROM gb"))(lambda s, d: E.groups_of(data.prices(s, d), "regression").select("row_id", F.col("grp").cast("long").alias("grp")))
 query("allocate_budget", with_(ORD, _SZ, sql.allocate("t", "sz", "97", True), select="SELECT grp, n, take FROM t"))(lambda s, d: allocate(data.orders(s, d).groupBy(F.col("y").alias("grp")).agg(F.count("*").alias("n")), 97, True))
-query("class_prior", with_(LAB, select="SELECT k.y AS cls, round(count(b.y) / (SELECT count(*) FROM base WHERE row_id % 2 = 0)::DOUBLE, 6) AS prior FROM (SELECT DISTINCT y FROM base) k LEFT JOIN base b ON b.y = k.y AND b.row_id % 2 = 0 GROUP BY k.y"))(lambda s, d: E.class_prior(data.graded(s, d).where("row_id % 2 = 0"), data.graded(s, d).select(F.col("y").alias("cls")).distinct()).select("cls", F.round("prior", 6).alias("prior")))
+query("class_prior", with_(LAB, select="SELECT k.y AS cls, round(count(b.y) / (SELECT count(*) FROM base)::DOUBLE, 6) AS prior FROM (SELECT DISTINCT y FROM base) k LEFT JOIN base b ON b.y = k.y GROUP BY k.y"))(lambda s, d: E.class_prior(data.graded(s, d), data.graded(s, d).select(F.col("y").alias("cls")).distinct()).select("cls", F.round("prior", 6).alias("prior")))
 query("max_rows", with_(ORD, select=f"SELECT row_id, y FROM base ORDER BY {h(0, 'max_rows', 'row_id')}, row_id LIMIT 1000"))(lambda s, d: __import__("tessera.sources.datasets", fromlist=["x"]).limit_rows(data.orders(s, d), 1000, 0))
 query("tier_of", "SELECT l_orderkey AS row_id, CASE WHEN n < 1000 THEN 'tiny' WHEN n < 10000 THEN 'small' WHEN n < 100000 THEN 'medium' ELSE 'large' END AS tier FROM (SELECT l_orderkey, 700 * count(*) AS n FROM lineitem GROUP BY l_orderkey)")(lambda s, d: data.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg((700 * F.count("*")).alias("n")).select("row_id", G.tier_of(F.col("n")).alias("tier")))
 query("resolve_budgets", "WITH s AS (SELECT c_nationkey AS dataset, count(*) * 40 AS n FROM customer GROUP BY c_nationkey), b AS (SELECT DISTINCT dataset, greatest(b, 5) AS budget, n FROM (SELECT dataset, n, round_even(f * n, 0)::BIGINT AS b FROM s CROSS JOIN (SELECT unnest([0.5, 0.1, 0.001]) AS f) UNION ALL SELECT dataset, n, unnest([500, 2000, 1]) FROM s)) SELECT dataset, budget FROM b WHERE budget < n")(lambda s, d: G.resolve_budgets(data.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("dataset")).agg((F.count("*") * 40).alias("n")), [0.5, 0.1, 0.001], [500, 2000, 1], 5))
@@ -272,3 +272,32 @@ def gate_fit_grid(s, d):
     score = R.gate_scores(c["out"], c["truth"])
     fit = R.fit_gate(dist, score, tau)
     return s.createDataFrame([(round(fit.tau, 6), round(fit.loss, 6))], "tau double, loss double")
+
+
+_COVER = [LAB, "ch AS (SELECT est, row_id, (k % 2)::INTEGER AS protected FROM (SELECT est, row_id, row_number() OVER (PARTITION BY est ORDER BY md5(concat_ws(':', est, row_id))) AS k FROM (SELECT b.row_id, e.est FROM base b CROSS JOIN (SELECT unnest(range(40))::INTEGER AS est) e WHERE b.y = 1)) WHERE k <= 4)"]
+
+
+@query("cover_classes", with_(*_COVER, sql.cover("cv", "ch", "base", "est"), select="SELECT est, row_id FROM cv"))
+def cover_classes_query(s, d):
+    """Forty contexts of one class get a row of each other class."""
+    from pyspark.sql import Window
+
+    from ..operators.coverage import cover_classes
+
+    rows = data.graded(s, d)
+    every = rows.where("y = 1").select("row_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("est"))
+    k = F.row_number().over(Window.partitionBy("est").orderBy(F.md5(F.concat_ws(":", F.col("est").cast("string"), F.col("row_id").cast("string")))))
+    chosen = every.withColumn("k", k).where("k <= 4").select("est", "row_id", (F.col("k") % 2).alias("protected"))
+    return cover_classes(rows, chosen, ("est",))
+
+
+@query("projection")
+def projection(s, d):
+    """Embeddings wider than the limit on their principal components."""
+    model = E.fit_projection(data.vectors(s, d).select("row_id", "features"), 0, 50)
+    out = E.apply_projection(data.vectors(s, d).select("row_id", "features"), model)
+    return out.select("row_id", F.size("features").alias("dims"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+
+
+query("builtin_balanced_orders")(lambda s, d: U.emulate_subsample(data.orders(s, d), 0.1, "balanced", 4, 0))
+query("builtin_auto_orders")(lambda s, d: U.emulate_subsample(data.orders(s, d), 0.1, "auto", 4, 0))

@@ -54,16 +54,16 @@ def split(src: str, name: str, seed: int, strata: bool = True, size: float = 0.3
 {name} AS (SELECT s.*, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY {h(seed, 'split', 'row_id')}, row_id) <= take THEN 'test' ELSE 'train' END AS part FROM {src} s JOIN {name}_t ON grp = y)"""
 
 
-def context(src: str, name: str, budget: int, estimators: int) -> str:
+def context(src: str, name: str, budget: int, estimators: int, seed: int = 0) -> str:
     return f"""
-{name} AS (SELECT est, row_id FROM (SELECT e.est, t.row_id, row_number() OVER (PARTITION BY e.est ORDER BY {h(0, 'est', 'e.est', 't.row_id')}, t.row_id) AS rn
+{name} AS (SELECT est, row_id FROM (SELECT e.est, t.row_id, row_number() OVER (PARTITION BY e.est ORDER BY {h(seed, 'est', 'e.est', 't.row_id')}, t.row_id) AS rn
   FROM {src} t CROSS JOIN (SELECT unnest(range({estimators}))::INTEGER AS est) e) WHERE rn <= {budget})"""
 
 
-def centroid(train: str, test: str, ctx: str, name: str) -> str:
+def centroid(train: str, test: str, ctx: str, name: str, estimators: int = ESTIMATORS) -> str:
     return f"""
 {name}_l AS (SELECT row_id, y, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS pos FROM {train}),
-{name}_m AS (SELECT c.est, l.y AS cls, l.pos, avg(l.x) AS m FROM {name}_l l JOIN {ctx} c USING (row_id) WHERE (l.pos + c.est) % {ESTIMATORS} <> 0 GROUP BY c.est, l.y, l.pos),
+{name}_m AS (SELECT c.est, l.y AS cls, l.pos, avg(l.x) AS m FROM {name}_l l JOIN {ctx} c USING (row_id) WHERE (l.pos + c.est) % {estimators} <> 0 GROUP BY c.est, l.y, l.pos),
 {name}_q AS (SELECT row_id, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS pos FROM {test}),
 {name}_o AS (SELECT q.row_id, m.est, m.cls, -sum((q.x - m.m) * (q.x - m.m)) / count(*) AS logit FROM {name}_q q JOIN {name}_m m USING (pos) GROUP BY q.row_id, m.est, m.cls),
 {name} AS (SELECT g.row_id, g.est, k.cls, coalesce(o.logit, -50::DOUBLE) AS logit FROM (SELECT DISTINCT row_id, est FROM {name}_o) g
@@ -76,6 +76,23 @@ CLF = [VECTORS, split("base", "parts", 0), "train AS (SELECT * FROM parts WHERE
 VAL = ["vbase AS (SELECT row_id, y, f FROM train)", split("vbase", "vparts", 1), "vtrain AS (SELECT * FROM vparts WHERE part = 'train')", "vtest AS (SELECT * FROM vparts WHERE part = 'test')", context("vtrain", "vctx", CONTEXT, ESTIMATORS), centroid("vtrain", "vtest", "vctx", "vouts")]
 
 
+def scores(pred: str, name: str) -> str:
+    """log_loss, accuracy, roc_auc and ece of pred (row_id, cls, p) against tr (row_id, y): (metric, value)."""
+    n = name
+    return f"""
+{n}_t AS (SELECT row_id, cls AS c, p AS conf FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, cls) AS z FROM {pred}) WHERE z = 1),
+{n}_u AS (SELECT cls, p, (y = cls)::INTEGER AS hit, rank() OVER (PARTITION BY cls ORDER BY p) + (count(*) OVER (PARTITION BY cls, p) - 1) / 2.0::DOUBLE AS r FROM {pred} JOIN tr USING (row_id)),
+{n}_v AS (SELECT CASE WHEN sum(hit) > 0 AND sum(hit) < count(*) THEN (sum(r) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0::DOUBLE) / (sum(hit)::DOUBLE * (count(*) - sum(hit))) END AS area FROM {n}_u GROUP BY cls),
+{n}_e AS (SELECT count(*) AS n, avg((c = y)::INTEGER) AS acc, avg(conf) AS conf FROM {n}_t JOIN tr USING (row_id) GROUP BY least(floor(conf * 15), 14)),
+{n} AS (SELECT 'log_loss' AS metric, round(-avg(ln(least(greatest(p, 1e-15), 1))), 6) AS value FROM {pred} JOIN tr ON tr.row_id = {pred}.row_id AND tr.y = {pred}.cls
+  UNION ALL SELECT 'accuracy', round(avg((c = y)::INTEGER), 6) FROM {n}_t JOIN tr USING (row_id) UNION ALL SELECT 'roc_auc', round(avg(area), 6) FROM {n}_v UNION ALL SELECT 'ece', round(sum(n * abs(acc - conf)) / sum(n), 6) FROM {n}_e)"""
+
+
+def t_tail2(t: str) -> str:
+    """Two-sided tail of Student's t with two degrees of freedom."""
+    return f"1 - abs({t}) / sqrt(2 + {t} * {t})"
+
+
 def proba(out: str, name: str, keys: str = "row_id, est", temperature: str = "1::DOUBLE") -> str:
     return f"""
 {name}_z AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY {keys})) / {temperature}) AS z FROM {out}),

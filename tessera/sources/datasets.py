@@ -104,6 +104,35 @@ def describe(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(columns)).alias("n_features"), (missing / (F.count("*") * len(columns))).alias("missing"), F.count_distinct(target).alias("n_targets"), F.min(F.col(target)).alias("low"), F.max(F.col(target)).alias("high"))
 
 
+def describe_all(spark: SparkSession, config: dict) -> DataFrame:
+    """A row for each dataset of a configuration: sizes, target and problems; one that can't be read is a row too."""
+    out = []
+    for spec in config["datasets"]:
+        task, target, problems = spec.get("task", "classification"), spec.get("target", "y"), []
+        row = {"dataset": spec["name"], "split": spec.get("split", "dev"), "task": task}
+        try:
+            rows = load_dataset(spark, spec)
+            columns = [c for c in rows.columns if c not in (target, spec.get("id", "row_id"))]
+            d = describe(rows, target, columns).first()
+            n = d["n_rows"]
+            train = round(n * (1 - config.get("test_size", 0.3)))
+            if task == "classification":
+                least = rows.groupBy(target).count().agg(F.min("count")).first()[0] or 0
+                said = f"{d['n_targets']} classes, smallest {least / max(n, 1):.1%}"
+                problems += ["looks like a regression target or has a class of one row"] * (d["n_targets"] > 50 or least < 2)
+            else:
+                said = f"range {d['low']:.4g} to {d['high']:.4g}, {d['n_targets']} distinct"
+                problems += ["fewer than 10 distinct targets"] * (d["n_targets"] < 10)
+            large = [b for b in config.get("budget_absolute", []) if 2 * b >= train]
+            problems += [f"budgets {large} need more than twice as many training rows"] * bool(large)
+            row |= {"n_rows": n, "n_features": d["n_features"], "n_train": train, "missing": d["missing"], "target": said, "problems": "; ".join(problems)}
+        except Exception as e:  # noqa: BLE001  every dataset is reported
+            row["problems"] = f"{type(e).__name__}: {str(e)[:120]}"
+        out.append(row)
+    names = "dataset string, split string, task string, n_rows long, n_features int, n_train long, missing double, target string, problems string"
+    return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in names.split(", ")) for r in out], names)
+
+
 @lru_cache(maxsize=64)
 def cached(spark: SparkSession, key: tuple) -> DataFrame:
     """A dataset by its specification (sorted items), kept in memory."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +22,7 @@ def _schema(text: str) -> T.StructType:
 
 #: Columns of results, timings and failures.
 RESULTS = _schema("experiment string, dataset string, split string, tier string, task string, seed int, method string, budget double, ratio double, n_train int, metric string, value double, backend string, role string, flags string, split_seed int, n_estimators int, budget_key string, cell string")
-TIMING = _schema("cell string, dataset string, method string, budget double, n_estimators int, seed int, split_seed int, select_s double, fit_s double, predict_s double, total_s double, ingest_seq long")
+TIMING = _schema("cell string, dataset string, method string, budget double, n_estimators int, seed int, split_seed int, select_s double, fit_s double, predict_s double, total_s double, n_fits int, ingest_seq long")
 FAILURES = _schema("cell string, dataset string, split_seed int, seed int, method string, budget double, error_type string, oom boolean, message string, ingest_seq long")
 KEYS = ["experiment", "dataset", "split_seed", "seed", "method", "budget", "n_estimators", "metric", "budget_key"]
 
@@ -39,6 +41,55 @@ def append(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     out.option("header", True).csv(path) if kind == "csv" else out.parquet(path)
 
 
+def append_side(spark: SparkSession, rows: list[dict], schema: T.StructType, path: str) -> None:
+    """Rows of a side table (timing, failures): a few at a time, as one small file."""
+    spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_side(spark: SparkSession, schema: T.StructType, *paths: str) -> DataFrame:
+    """Side tables of those paths that there are; the last row of each cell."""
+    out = spark.createDataFrame([], schema)
+    for p in paths:
+        if _files(spark, p):
+            out = out.unionByName(spark.read.schema(schema).parquet(p))
+    return keep_last(out)
+
+
+def read_timing(spark: SparkSession, path: str) -> DataFrame:
+    """Timings of a results path, the last of each cell."""
+    return read_side(spark, TIMING, table_name(path, "timing"))
+
+
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, on any file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().toString() for f in found) if found else []
+
+
+def shard_paths(spark: SparkSession, path: str) -> list[str]:
+    """Results of the shards of a path, without their side tables."""
+    base = path.rstrip("/")
+    return [f for f in _files(spark, f"{base}.shard*") if "." not in f.rsplit("/", 1)[-1].rsplit(".shard", 1)[-1]]
+
+
+def merge(spark: SparkSession, path: str, shards: list[str] | None = None) -> DataFrame:
+    """One results table of all shards of a path, with failures that are still open, timings and meta beside it."""
+    shards = shards or shard_paths(spark, path)
+    if not shards:
+        raise FileNotFoundError(f"no shards of {path}")
+    rows = merged_in_order(merge_shards([read_results(spark, s) for s in shards]))
+    rows.write.mode("overwrite").parquet(path)
+    out = read_results(spark, path)
+    open_failures(read_side(spark, FAILURES, *[table_name(s, "failures") for s in shards]), out).write.mode("overwrite").parquet(table_name(path, "failures"))
+    read_side(spark, TIMING, *[table_name(s, "timing") for s in shards]).write.mode("overwrite").parquet(table_name(path, "timing"))
+    for s in shards:
+        if _files(spark, table_name(s, "meta")):
+            write_meta(spark, table_name(path, "meta"), read_meta(spark, table_name(s, "meta")))
+            break
+    return out
+
+
 def keep_last(rows: DataFrame, key: str = "cell", order: str = "ingest_seq") -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
@@ -111,16 +162,29 @@ class OutputCache:
 
 
 def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
-    spark.createDataFrame([(canonical(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(path)
+    """Written beside and moved into place, so a reader sees the old text or the new one."""
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    spark.createDataFrame([(canonical(meta),)], "meta string").coalesce(1).write.text(fresh)
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{fresh} could not be moved to {path}")
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
     return json.loads("".join(r[0] for r in spark.read.text(path).collect()))
 
 
-def setup_logging(name: str = "tessera") -> logging.Logger:
+def setup_logging(name: str = "tessera", file: str | None = None) -> logging.Logger:
+    """Log lines on the screen and, given a file, in it; once each however often it is called."""
     log = logging.getLogger(name)
-    if not log.handlers:
-        log.addHandler(logging.StreamHandler())
-        log.setLevel(logging.INFO)
+    log.setLevel(logging.INFO)
+    form = logging.Formatter("%(asctime)s %(levelname)s %(message)s")
+    have = {getattr(h, "baseFilename", "") for h in log.handlers}
+    for key, make in [("", logging.StreamHandler)] + ([(os.path.abspath(file), lambda: logging.FileHandler(file))] if file else []):
+        if key not in have:
+            handler = make()
+            handler.setFormatter(form)
+            log.addHandler(handler)
     return log

@@ -12,7 +12,6 @@ from tessera.operators import statistics as T
 from tessera.operators import validation as V
 from tessera.operators.estimator import ContextClassifier, resolve_budget
 from tessera.plans import analytics_queries as Q
-from tessera.plans.runner import normalize_config, run_cells
 from tessera.sources import datasets as DS
 from tessera.sources import results as R
 from tessera.streaming.ingest import append_new, result_stream
@@ -104,6 +103,8 @@ def test_store(spark, results, tmp_path):
     assert cache.get(key) is None and cache.get_or_put(key, lambda: spark.range(3)).count() == 3 and cache.get_or_put(key, lambda: 1 / 0).count() == 3
     R.write_meta(spark, str(tmp_path / "m"), {"k": [1, 2]})
     assert R.read_meta(spark, str(tmp_path / "m")) == {"k": [1, 2]}
+    R.write_meta(spark, str(tmp_path / "m"), {"k": [3]})
+    assert R.read_meta(spark, str(tmp_path / "m")) == {"k": [3]}
     assert R.table_name("/a/r", "failures", 2) == "/a/r.shard2.failures"
 
 
@@ -114,17 +115,6 @@ def test_stream_adds_each_key_once(spark, results, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == results.count()
 
 
-def test_config_and_cells(spark):
-    assert normalize_config({"seeds": 3, "methods": ["local_mix", "random"], "local_ratios": [0.5]})["methods"] == ["local_mix_r0.5", "random"]
-    with pytest.raises(ValueError):
-        normalize_config({"datasets": [{"name": "a"}, {"name": "a"}]})
-    out, failed = run_cells(["a", "b", "c", "d"], lambda c: spark.createDataFrame([(c,)], "cell string") if c != "c" else 1 / 0, {"a"})
-    assert {r.cell for r in out.collect()} == {"b", "d"} and failed[0]["error_type"] == "ZeroDivisionError"
-    assert cli.parse_shard("1/3") == (1, 3)
-    with pytest.raises(ValueError):
-        cli.parse_shard("3/3")
-
-
 def test_datasets(spark):
     df = DS.make_synthetic(spark, 500, 5, 3, imbalance=[0.9, 0.07, 0.03], noise=0.1, seed=2)
     assert df.count() == 500 and all(r.n >= 2 for r in df.groupBy("y").agg(F.count("*").alias("n")).collect())
