@@ -2,58 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that one packed group stands for, and the least number of groups.
-GROUP_BYTES, LEAST_GROUPS = 24 << 20, 64
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only in
-    local mode, where driver and executors are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session has gone; the folder's owner cleans up
-        pass
+from ..functions.tables import freed, shared_folder, written
 
+__all__ = ["components", "freed", "groups_for", "row_key", "shared_folder", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
-    return out
-
-
-_paths: dict[int, tuple[DataFrame, str]] = {}
-
-
-def freed(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made; nothing may read them any more."""
-    for t in tables:
-        _, path = _paths.pop(id(t), (None, None))
-        if path:
-            _remove(t.sparkSession, path)
+#: Text bytes that one packed group stands for, and the least number of groups.
+GROUP_BYTES, LEAST_GROUPS = 24 << 20, 64
 
 
 def groups_for(docs: DataFrame, text: str = "text", size: int = GROUP_BYTES) -> int:
@@ -70,7 +27,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b); root is the smallest node
     that can be reached.  Alternates large-star and small-star steps, each a grouped minimum
     and a join, and writes each round to the shared folder.  No edges: no rows."""
-    spark = edges.sparkSession
     now = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
     sign = None
     for _ in range(rounds):
