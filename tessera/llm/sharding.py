@@ -16,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import written
+
 EXACT = 1 << 12
 RANK_BUCKETS = 4096
+#: A group with more than one in so many rows is hot.
+HOT = 1000
 
 
 class Tree:
@@ -151,16 +155,23 @@ def shard(docs: DataFrame, shards: int | None = 24, capacity: int | None = None,
     """
     spark = docs.sparkSession
     t = F.col(text).cast("string")
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + overhead).alias("size"), F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.unhex(F.sha2(t, 256)), F.lit(b"")).alias("digest"))
+    # the texts are read once: what follows works on their sizes and digests
+    rows = written(docs.select(F.col(id).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + overhead).alias("size"), F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.unhex(F.sha2(t, 256)), F.lit(b"")).alias("digest")), "sizes")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    groups = groups.select("digest", "n", _size_class(F.col("bytes")).alias("class"))
+    groups = written(groups.select("digest", "n", _size_class(F.col("bytes")).alias("class")), "groups")
     seen = groups.groupBy("class").agg(F.count("*").alias("groups"), F.sum("n").alias("n")).collect()
     sizes = sorted(((r["class"], r["groups"]) for r in seen), reverse=True)
     runs = pack(sizes, capacity) if capacity else pack_into(sizes, shards)
-    buckets = max(1, min(RANK_BUCKETS, sum(r["n"] for r in seen) // 4096))
+    total = sum(r["n"] for r in seen)
+    buckets = max(1, min(RANK_BUCKETS, total // 512))
     bins = spark.createDataFrame(runs, "run_class long, first long, last long, shard int").coalesce(1)
-    ranked = _ranked(groups.select("digest", "class"), "class", ["digest"], F.xxhash64("digest"), "rank", buckets)
+    ranked = _ranked(groups, "class", ["digest"], F.xxhash64("digest"), "rank", buckets)
     # runs: at most the classes and one more for each bin that a run fills
-    held = ranked.join(F.broadcast(bins), (F.col("class") == F.col("run_class")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("digest", "shard")
-    placed = rows.join(held, "digest").drop("digest")
+    held = ranked.join(F.broadcast(bins), (F.col("class") == F.col("run_class")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    held = written(held.select("digest", "n", "shard"), "bins")
+    # fewer than HOT groups have more than one in HOT of the rows: they are sent along, so no task gets all copies
+    hot = held.where(F.col("n") * HOT > total)
+    known = rows.join(F.broadcast(hot.select("digest", "shard")), "digest", "left")
+    rest = known.where("shard is null").drop("shard").join(held.where(F.col("n") * HOT <= total).select("digest", "shard"), "digest")
+    placed = known.where("shard is not null").unionByName(rest.select(known.columns)).drop("digest")
     return _ranked(placed, "shard", ["doc_id", "text_crc32"], F.xxhash64("doc_id", "text_crc32"), "slot", buckets).select("doc_id", "size", "text_crc32", "shard", "slot")
