@@ -2,7 +2,8 @@
 
 Each bucket of rows explodes its texts into bigrams and words and keeps one row for each
 distinct one (so the commonest word pair is one row a bucket).  Those go, by hash, to the
-part of the count table that owns them; the part sums the counts of all buckets and sends each
+part of the count table that owns them, as one packed row for each part that a bucket has n-grams of, so rows
+are never more than distinct n-grams of buckets; the part sums the counts of all buckets and sends each
 bucket the totals of the n-grams it asked for; the bucket joins them to its exploded n-grams
 and sums each document's log scores.  Nothing is gathered on the driver.
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import groups_for, row_key
+from ._tables import LEAST_GROUPS, row_key
 from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8
 
 ALPHA = 0.4
@@ -59,17 +60,25 @@ def _thick(arrays: list[np.ndarray]) -> np.ndarray:
     return arrays[0] if len(arrays) == 1 else arrays[0].astype(np.uint64) | arrays[1].astype(np.uint64) << np.uint64(32) | arrays[2].astype(np.uint64) << np.uint64(48)
 
 
+def _measure(batches):
+    """Bytes and words of each batch."""
+    for batch in batches:
+        for rows in slices(batch):
+            data, offsets = utf8(rows.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64()), pa.array([len(Words(data, offsets, hashed=False))], pa.int64())], names=["bytes", "words"])
+
+
 def _ask(parts: int):
     def run(docs: pa.Table) -> pa.Table:
         _, _, words, pairs = _grams(*_words(docs))
         distinct, times = np.unique(np.concatenate([words, pairs]), return_counts=True)
         bound = np.searchsorted(_part(distinct, parts), np.arange(parts + 1))
-        rows = []
-        for i in range(parts):
+        rows, asked = [], np.flatnonzero(np.diff(bound)).tolist()
+        for i in asked:
             own = slice(bound[i], bound[i + 1])
             rows.append(pack(times[own].astype(np.uint32), *_thin(np.diff(distinct[own], prepend=np.uint64(0)))))
         bucket = docs.column("bucket")[0].as_py()
-        return pa.Table.from_arrays([pa.array(range(parts), pa.int64()), pa.array([bucket] * parts, pa.int64()), pa.array(rows, pa.binary())], schema=_PACKED)
+        return pa.Table.from_arrays([pa.array(asked, pa.int64()), pa.array([bucket] * len(asked), pa.int64()), pa.array(rows, pa.binary())], schema=_PACKED)
 
     return run
 
@@ -81,10 +90,9 @@ def _count():
         whole, back = np.unique(np.concatenate(grams), return_inverse=True)
         totals = np.zeros(len(whole), np.int64)
         np.add.at(totals, back, np.concatenate([a[0] for a in asked]).astype(np.int64))
-        n_words = np.array([totals[(whole & np.uint64(1)) == 0].sum()], np.int64)
         at = np.cumsum([0] + [len(g) for g in grams])
         kind = np.uint32 if not len(totals) or totals.max() < 1 << 32 else np.int64
-        out = [pack(n_words, totals[back[a:b]].astype(kind)) for a, b in zip(at[:-1], at[1:])]
+        out = [pack(totals[back[a:b]].astype(kind)) for a, b in zip(at[:-1], at[1:])]
         return pa.Table.from_arrays([table.column("part"), table.column("bucket"), pa.chunked_array([pa.array(out, pa.binary())])], schema=_PACKED)
 
     return run
@@ -96,14 +104,13 @@ def _own(owner: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     return times[back]
 
 
-def _score(alpha: float):
+def _score(alpha: float, n_all: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         hashes, sizes = _words(docs)
         owner, again, words, pairs = _grams(hashes, sizes)
         distinct, back = np.unique(np.concatenate([words, pairs]), return_inverse=True)
         got = [unpack(d) for _, d in sorted(zip(counts.column("part").to_pylist(), counts.column("data").to_pylist()))]
-        totals = np.concatenate([g[1].astype(np.int64) for g in got] or [np.zeros(0, np.int64)])
-        n_all = sum(int(g[0][0]) for g in got)
+        totals = np.concatenate([g[0].astype(np.int64) for g in got] or [np.zeros(0, np.int64)])
         left = totals[back] - _own(np.concatenate([owner, owner[again]]), back, max(1, len(distinct)))
         one, two = left[: len(words)].astype(float), left[len(words) :].astype(float)
         rest = (n_all - sizes)[owner].astype(float)
@@ -132,8 +139,9 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id: str = "doc_id", te
     own (and evidence for its copies).  Empty input: no rows.  Other columns are ignored.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = groups_for(plain, size=BUCKET_BYTES)
+    total = plain.select("text").mapInArrow(spared(_measure), "bytes long, words long").agg(F.sum("bytes").alias("bytes"), F.sum("words").alias("words")).first()
+    n, n_all = max(LEAST_GROUPS, -(-(total["bytes"] or 0) // BUCKET_BYTES)), total["words"] or 0
     keyed = plain.withColumn("bucket", F.pmod(row_key(), F.lit(n).cast("long"))).groupBy("bucket")
     asked = keyed.applyInArrow(spared(_ask(n)), _SENT)
     told = asked.groupBy("part").applyInArrow(spared(_count()), _SENT).groupBy("bucket")
-    return keyed.cogroup(told).applyInArrow(spared(_score(alpha)), "doc_id long, n_words long, n_backed_off long, n_unseen long, log_score double")
+    return keyed.cogroup(told).applyInArrow(spared(_score(alpha, n_all)), "doc_id long, n_words long, n_backed_off long, n_unseen long, log_score double")
