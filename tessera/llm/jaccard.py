@@ -374,8 +374,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     tried = written(signed.groupBy("part").applyInArrow(spared(_try(bands, n)), "kind int, vb long, a long, b long"), "tried")
     one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     ends = lambda pairs, at: pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
-    # sketches meet where the smaller class is, sets where their group is
-    pairs = tried.where("kind = 0").groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.pmod(F.xxhash64("a"), F.lit(n).cast("long")))
+    # sketches and sets meet where a pair is dealt: a pivot's pairs are dealt by their other ends
+    pairs = tried.where("kind = 0").groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.col("vb"))
     sketched = ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
     near = written(pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(spared(_near(bands)), "vb long, a long, b long"), "near")
     # a class's other least classes hang on the least of them
