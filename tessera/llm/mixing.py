@@ -151,7 +151,7 @@ def mix_positions(docs: DataFrame, weights: dict[str, float], block_rows: int =
     base = docs.select(F.col(id).cast("long").alias("doc_id"), lane(F.col(source), weights).alias("lane"), *[F.col(k) for k in keep])
     order = F.xxhash64(F.lit(seed), "doc_id")
     total = {r["lane"]: r["n"] for r in base.groupBy("lane").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, min(RANK_BUCKETS, sum(total.values()) // 2048))
+    buckets = max(1, min(RANK_BUCKETS, sum(total.values()) // 256))
     rows = base.withColumn("h", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     sized = rows.groupBy("lane", "bucket").agg(F.count("*").alias("n"))
     before = sized.select("lane", "bucket", (F.sum("n").over(_window("lane", "bucket")) - F.col("n")).alias("before"))
