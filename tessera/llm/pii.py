@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for the rest.
 
 The patterns' spans always stand.  The field then looks at islands: pieces of text between blanks
-that hold a digit, an at sign or a known key's first letters (joined across blanks only where neither side has letters), less
+that hold a digit, an at sign or a known key's first letters (joined across blanks only where neither side has letters),
+and what a word such as password, token or secret is said to be (letters alone included); less
 what the patterns took.  Each candidate segment, up to MOST_TOKENS tokens, is scored as a whole by
-its shape, length, checksum and surroundings, for each type; dynamic programming over segments
-picks boundaries and types together.  Outside islands there are no candidates.  The weights are fitted by likelihood on generated, seeded examples,
-once a process on the driver; they are a few thousand numbers.
+its shape, length, checksum, first letters and surroundings, for each type; dynamic programming over segments
+picks boundaries and types together, over islands of any length.  Outside islands there are no candidates.  The
+weights are fitted by likelihood on generated, seeded examples, once a process on the driver; they are
+a few thousand numbers.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from ._text import slices, spared
 
 #: Kinds in the order that results list them.
 KINDS = ("email", "ip", "card", "phone", "secret")
-MOST_TOKENS = 14
+MOST_TOKENS = 20
+#: Ends of segments that are scored at once.
+ENDS = 1024
 _TYPES = ("O", *KINDS)
 
 # Fixed patterns.
@@ -32,7 +36,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_TRIGGER = re.compile(r"[0-9@]+|AKIA")
+_SAID = r"(?i:(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key)[\"']?(?:\s*[:=]\s*|\s+is\s+)[\"']?[^\s\"']+)"
+_TRIGGER = re.compile(rf"[0-9@]+|AKIA|{_SAID}")
+_ANY = re.compile(r"[0-9@]|AKIA")
+_SAID_ANYWHERE = re.compile(rf"(?s:.*?){_SAID}")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = re.compile(r"\s")
@@ -65,7 +72,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns, leftmost and without overlap inside each kind, in code points."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
-    if not _TRIGGER.search(text):
+    if not _ANY.search(text):
         return out
     for m in _DOTTED.finditer(text):
         groups = m.group().split(".")
@@ -126,7 +133,11 @@ def _class(token: str) -> str:
     return token
 
 
-_CUES = {"token": "key", "password": "key", "secret": "key", "key": "key", "api": "key", "passwd": "key", "pwd": "key", "tel": "tel", "phone": "tel", "call": "tel", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "mail": "mail", "email": "mail", "version": "no", "page": "no", "chapter": "no"}
+_CUES = {"token": "key", "password": "key", "secret": "key", "key": "key", "api": "key", "passwd": "key", "pwd": "key", "tel": "tel", "phone": "tel", "call": "tel", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "mail": "mail", "email": "mail", "version": "no", "page": "no", "chapter": "no", "commit": "no", "sha": "no", "isbn": "no", "uuid": "no", "id": "no", "order": "no", "md": "no", "checksum": "no", "revision": "no", "passphrase": "key", "is": "is"}
+
+
+_WORD = re.compile(r"[A-Za-z]+")
+_HEAD = re.compile(r"[A-Za-z]{2,6}[-_]")
 
 
 def _features(text: str, tokens: list[tuple[int, int, str]], i: int, j: int) -> list[str]:
@@ -136,11 +147,21 @@ def _features(text: str, tokens: list[tuple[int, int, str]], i: int, j: int) ->
     span = text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
     left = text[max(0, start - 16) : start]
-    cue = next((_CUES[w] for w in reversed([x.lower() for x in re.findall(r"[A-Za-z]+", left)][-2:]) if w in _CUES), "-")
+    cues = [_CUES[w] for w in reversed([x.lower() for x in _WORD.findall(left)][-3:]) if w in _CUES]
+    cue = next((c for c in cues if c != "is"), "-")
     spaces = sum(b[0] > a[1] for a, b in zip(tokens[i : j - 1], tokens[i + 1 : j]))
     shape = "".join(classes)
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:]))
     out = ["bias", f"shape={shape}", f"n={_bucket(j - i)}", f"digits={_bucket(len(digits))}", f"first={classes[0]}", f"last={classes[-1]}", f"cue={cue}", f"cue={cue}|n={min(j - i, 2)}|{classes[0][:2]}", f"left={left[-1:] if not left[-1:].isalnum() else 'w'}", f"right={text[end : end + 1] if not text[end : end + 1].isalnum() else 'w'}", f"spaces={min(spaces, 4)}", f"changes={_bucket(changes)}"]
+    head = _HEAD.match(span)
+    if head:
+        out.append(f"head={head.group().lower()}")
+    sign = left.rstrip(" \"'")[-1:]
+    out.append(f"cue={cue}|sign={sign if sign in '=:' else 'is' if cues[:1] == ['is'] else '-'}")
+    if j - i == 1 and classes[0][:1] in "aA":
+        out.append(f"word|cue={cue}|{_bucket(len(span))}|sign={sign if sign in '=:' else 'is' if cues[:1] == ['is'] else '-'}")
+    if all(c in "0123456789abcdef-" for c in span.lower()):
+        out.append(f"hex={len(span) if len(span) in (32, 36, 40, 64) else _bucket(len(span))}|dashes={span.count('-')}|cue={cue}")
     if "@" in span:
         out.append(f"at={span.count('@')}|dot={'.' in span.rpartition('@')[2]}")
     if 13 <= len(digits) <= 19:
@@ -163,10 +184,11 @@ def _tokens(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> li
     return [x for x in out if x]
 
 
-def _segments(text: str, tokens) -> tuple[list[tuple[int, int]], list[list[str]]]:
+def _segments(text: str, tokens, first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """Segments that end after token ``first`` to ``last``, by end."""
     spans, features = [], []
-    for i in range(len(tokens)):
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+    for j in range(first + 1, (len(tokens) if last is None else last) + 1):
+        for i in range(max(0, j - MOST_TOKENS), j):
             spans.append((i, j)), features.append(_features(text, tokens, i, j))
     return spans, features
 
@@ -188,19 +210,19 @@ class Field:
         return out
 
     def decode(self, text: str, tokens) -> list[tuple[str, int, int]]:
-        spans, features = _segments(text, tokens)
-        score, n = self.scores(spans, features), len(tokens)
+        n = len(tokens)
         best = np.full((n + 1, len(_TYPES)), -1e300)
         best[0, 0] = 0.0
         back: dict = {}
-        for k in sorted(range(len(spans)), key=lambda k: spans[k][1]):
-            i, j = spans[k]
-            before = best[i][:, None] + self.after
-            prev = before.argmax(axis=0)
-            total = before.max(axis=0) + score[k]
-            for y in np.flatnonzero(total > best[j]).tolist():
-                best[j, y] = total[y]
-                back[j, y] = (i, int(prev[y]))
+        for at in range(0, n, ENDS):
+            spans, features = _segments(text, tokens, at, min(n, at + ENDS))
+            for (i, j), own in zip(spans, self.scores(spans, features)):
+                before = best[i][:, None] + self.after
+                prev = before.argmax(axis=0)
+                total = before.max(axis=0) + own
+                for y in np.flatnonzero(total > best[j]).tolist():
+                    best[j, y] = total[y]
+                    back[j, y] = (i, int(prev[y]))
         out, j, y = [], n, int(best[n].argmax())
         while j:
             i, before = back[j, y]
@@ -211,6 +233,7 @@ class Field:
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         out = []
+        said = _SAID_ANYWHERE
         taken = sorted(taken)
         ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, int)
         for a, b in islands(text):
@@ -221,9 +244,8 @@ class Field:
                     break
                 near.append(s)
             for tokens in _tokens(text, a, b, near):
-                if any("9" in t[2] or "x" in t[2] or "X" in t[2] or t[2] == "@" or text.startswith("AKIA", t[0]) for t in tokens):
-                    for at in range(0, len(tokens), 4096):
-                        out += self.decode(text, tokens[at : at + 4096])
+                if said.match(text, a, b) or any("9" in t[2] or "x" in t[2] or "X" in t[2] or t[2] == "@" or text.startswith("AKIA", t[0]) for t in tokens):
+                    out += self.decode(text, tokens)
         return out
 
 
@@ -234,7 +256,8 @@ def _example(rng: np.random.RandomState) -> tuple[str, list[tuple[str, int, int]
     word = lambda: "".join(rng.choice(list("abcdefghilmnoprstuvz"), rng.randint(2, 9)))
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
     upper = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), n))
-    kind = rng.randint(0, 16)
+    mixed = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    kind = rng.randint(0, 25)
     before, after, name = word() + pick(" ", " ", ". ", ", "), pick(" ", " ", ". ", ", ", "\n") + word(), None
     if kind == 0:
         name, body = "email", f"{word()}{pick('', '.', '_')}{digits(rng.randint(0, 3))}@{word()}{pick('', digits(1))}.{word()}{pick('', '.com')}"
@@ -265,6 +288,27 @@ def _example(rng: np.random.RandomState) -> tuple[str, list[tuple[str, int, int]
         body = pick(str(rng.randint(1800, 2030)), f"{rng.randint(1, 13)}/{digits(2)}/{digits(4)}", f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}")
     elif kind == 13:
         body = pick(f"${digits(2)}.{digits(2)}", f"{digits(2)}%", f"{digits(3)},{digits(3)}", f"{digits(1)}th", f"A{digits(1)}", f"{word()}{digits(1)}", f"@{word()}", f"Q{digits(1)}")
+    elif kind == 16:
+        # what a word says is secret, letters alone included
+        lead, name = pick("password is ", "password: ", "passwd=", "token=", "secret = ", "my password is ", "api_key: ", "passphrase: "), "secret"
+        before, body = word() + " " + lead, pick(word() + word(), upper(8).lower(), word().capitalize() + word(), word() + "!" + word())
+    elif kind == 17:
+        # keys known by their first letters
+        name, body = "secret", pick(f"ghp_{mixed(36)}", f"sk-{mixed(pick(20, 32, 48))}", f"xoxb-{digits(11)}-{mixed(24)}", f"glpat-{mixed(20)}", f"sk_live_{mixed(24)}", f"AIza{mixed(35)}")
+    elif kind == 18:
+        lead, name = pick("aws_secret_access_key = ", "secret_key=", "secret: ", "token: "), "secret"
+        before, body = word() + " " + lead, "".join(mixed(pick(3, 6, 9, 13)) + pick("/", "+") for _ in range(pick(1, 2, 3))) + mixed(pick(6, 12, 22))
+    elif kind in (19, 20):
+        # names of things that aren't secret
+        before = word() + " " + pick("commit ", "sha256:", "uuid ", "id ", "md5 ", "checksum ", "", "", "revision ", "(")
+        body = pick(f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", hexes(40), hexes(pick(7, 12)), hexes(32), hexes(64))
+    elif kind == 21:
+        body = pick(f"{digits(3)}-{digits(2)}-{digits(4)}", f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"ISBN {digits(9)}X", f"ISO 8601-{digits(1)}", f"{digits(3)}-{digits(4)}", f"ORD-{digits(6)}", f"INV{digits(7)}")
+    elif kind == 22:
+        # such words without a value
+        before, body = word() + " ", pick("the token: ", "a secret is ", "the password is ", "this token is ", "secret: ") + pick("not", "a", "that", "kept", "safe", "the", "to", "used", "here", "in")
+    elif kind == 23:
+        body = pick(f"http://{word()}.com/{word()}/{digits(5)}", f"{word()}.{word()}/{digits(3)}", f"{digits(2)}.{digits(4)}, -{digits(2)}.{digits(4)}", f"{word()}_{digits(3)}", f"{word().capitalize()}{digits(2)}", f"0x{hexes(8)}", f"#{digits(4)}")
     else:
         body = pick(digits(rng.randint(1, 8)), f"({digits(2)})", f"{digits(1)} {digits(1)}", f"[{digits(1)}]", f"{digits(2)}-{digits(2)}")
     at = len(before)
@@ -277,7 +321,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 
 @lru_cache(maxsize=2)
-def fitted(n: int = 900, epochs: int = 6, seed: int = 11) -> Field:
+def fitted(n: int = 1600, epochs: int = 5, seed: int = 11) -> Field:
     """Weights that maximise the penalised likelihood of generated examples (AdaGrad)."""
     index: dict[str, int] = {}
     items = []

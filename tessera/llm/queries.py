@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import examples, formatted, turns_of, unescape
+from .chat import completions, formatted, turns_of, unescape
 from .jaccard import near_duplicates
 from .lm import backoff_scores
 from .mixing import mix_positions
@@ -57,12 +57,11 @@ SELECT * FROM r WHERE rank <= 20
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = formatted(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
-    one = examples(chats.select("conv_id", "formatted", "spans"), expand=False).select("conv_id", F.struct("example_no", unescape(F.col("completion")).alias("reply")).alias("e"), "context_end")
-    replies = one.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["reply"]), "").alias("loss"), F.count("*").alias("n_examples"), F.sum("context_end").alias("context_chars"))
-    read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns_of(F.col("formatted")).alias("turns"))
-    loss = F.coalesce("loss", F.lit(""))
+    loss = F.array_join(F.transform(completions("formatted", "spans"), unescape), "")
+    read = chats.select("conv_id", "formatted", "spans", turns_of(F.col("formatted")).alias("turns"), loss.alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.join(replies.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", F.coalesce("n_examples", F.lit(0)).alias("n_examples"), F.coalesce("context_chars", F.lit(0)).alias("context_chars"))
+    context = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["context_end"])
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("spans").cast("long").alias("n_examples"), context.alias("context_chars"))
 
 
 OP4_SQL = r"""
@@ -146,7 +145,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = F.filter("spans", lambda s: s["fixed"])
     kinds = F.transform(fixed, lambda s: s["kind"])
     counts = [(F.size(fixed) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(said(fixed), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(fixed), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), (F.size("spans") - F.size(fixed)).cast("long").alias("n_added"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ from tessera.llm.mixing import OTHER, mix_positions, mixed, parts_of, phases, sc
 from tessera.llm._text import utf8
 from tessera.llm.pieces import BLANK, MODEL, Encoder, Pieces, encode_pieces, load
 from tessera.llm.queries import WEIGHTS
-from tessera.llm.pii import base_spans, examples as made, find_personal_data, fitted, luhn, redact, redact_personal_data
+from tessera.llm.pii import base_spans, examples as made, find_personal_data, find_spans, fitted, luhn, redact, redact_personal_data
+from tessera.llm import pii, topk
 from tessera.llm.sharding import pack, pack_into, shard
-from tessera.llm.topk import top_k
+from tessera.llm.topk import pruning, top_k
 
 
 def test_schedule_is_within_a_block():
@@ -206,6 +207,24 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(df.limit(0), df, 3).count() == top_k(df, df.limit(0), 3).count() == 0
 
 
+def test_top_k_over_several_ranges(spark, monkeypatch):
+    """The first range's floor loses nothing, ties at it included; on clustered vectors most blocks are not scored."""
+    monkeypatch.setattr(topk, "RANGE_ROWS", 300)
+    rng = random.Random(6)
+    centres = [[rng.choice([-40, 40]) for _ in range(8)] for _ in range(12)]
+    vectors = [(i, [x + rng.randrange(-2, 3) for x in centres[i % 12]]) for i in range(1500)] + [(2000 + i, [1] * 8) for i in range(50)]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>")
+    asked = df.where("vec_id % 100 = 0")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, asked, 9).collect()}
+    want = set()
+    for q, a in [v for v in vectors if v[0] % 100 == 0]:
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q)[:9]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+    seen = pruning(df, asked, 9).agg({"blocks": "sum", "scored": "sum"}).first()
+    assert seen["sum(scored)"] < 0.6 * seen["sum(blocks)"]
+
+
 def test_top_k_big_numbers(spark):
     df = spark.createDataFrame([(1, [2**31, 5]), (2, [2**30, 1]), (3, [-(2**31), 3])], "vec_id long, vector array<long>")
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(df, df, 2).collect()}[1, 1] == (2, 2**61 + 5)
@@ -302,6 +321,47 @@ def test_field_on_held_out_examples():
         assert field.spans(x, []) == []
 
 
+def test_field_on_kinds_of_text_that_it_was_not_fitted_on():
+    """Planted with texts from another generator: sentences around, other names, mail, keys and numbers."""
+    rng, field = random.Random(77), fitted()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    around = lambda x: (rng.choice(["Please note that ", "As agreed, ", "Hello,\n", "We saw "]), x, rng.choice([" was used.", " - thanks", "\nBest regards", " for now"]))
+    planted = {
+        "key": lambda: ("", f"ghp_{mixed(36)}", ""), "sk": lambda: ("my ", f"sk-{mixed(40)}", ""), "aws": lambda: ("", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), ""),
+        "token": lambda: ('token = "', hexes(40), '"'), "password": lambda: ("password: ", rng.choice(["Sunflower", "correcthorse", "letmein"]) + digits(3), ""), "letters": lambda: ("password is ", rng.choice(["butterfly", "dragonstone", "moonlight"]), ""),
+        "secret": lambda: ("aws_secret_access_key = ", mixed(13) + "/" + mixed(7) + "/" + mixed(18), ""), "phone": lambda: ("call ", f"({digits(3)}) {digits(3)}-{digits(4)}", ""),
+    }
+    found = {}
+    for name, make in planted.items():
+        hits = 0
+        for _ in range(40):
+            lead, body, tail = make()
+            a, x, b = around(lead + body + tail)
+            start = len(a) + len(lead)
+            hits += any(s <= start and e >= start + len(body) for _, s, e, _ in find_spans(a + x + b, field))
+        found[name] = hits / 40
+    assert sum(found.values()) / len(found) >= 0.9 and min(found.values()) >= 0.7, found
+    clean = [
+        lambda: f"commit {hexes(40)}", lambda: f"build {hexes(7)}", lambda: f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+        lambda: f"on 20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)} at 1{digits(1)}:2{digits(1)}", lambda: f"about {digits(2)}.{digits(1)}% of {digits(4)}", lambda: "the secret is out", lambda: "her password is not known", lambda: f"see page {digits(3)} of volume {digits(1)}", lambda: f"sha256:{hexes(64)}", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}",
+    ]
+    wrong = sum(bool(find_spans("".join(around(make())), field)) for make in clean for _ in range(20))
+    assert wrong <= 0.05 * 20 * len(clean), wrong
+
+
+def test_long_islands_are_decoded_whole(monkeypatch):
+    field = fitted()
+    text = ";".join(["x1"] * 900 + ["(632)555-4827"] + ["7"] * 700)
+    whole = field.spans(text, [])
+    for ends in (5, 64, 100_000):
+        monkeypatch.setattr(pii, "ENDS", ends)
+        assert field.spans(text, []) == whole
+    assert any(text[a:b] == "(632)555-4827" for _, a, b in whole)
+
+
 def test_personal_data_tables(odd, odd_rows, empty, spark):
     df = spark.createDataFrame([(1, "mail a.b@c.org or +1 (632) 555-4827"), (2, None), (None, 'token = "97ffa88d7c5f5655e365004e29bd123cdabd722a"')], "doc_id long, text string")
     rows = {r.doc_id: [(s.kind, s.start, s.end, s.fixed) for s in r.spans] for r in find_personal_data(df).collect()}

@@ -22,10 +22,31 @@ def test_op1(spark, sf, docs):
     rows = QUERIES["op1_pfair_mix"](spark, sf).collect()
     assert sorted(r.position for r in rows) == list(range(len(docs))) and {r.doc_id for r in rows} == set(docs)
     assert all(r.lane == docs[r.doc_id].source for r in rows if docs[r.doc_id].source in WEIGHTS)
+    # blocks of a source are sent in order, and while all sources last each is within a block of its target weight
+    own = defaultdict(set)
+    for r in rows:
+        own[r.lane].add((r.slot, r.block))
+    first = {r.slot: r.lane for r in rows if r.phase == 0}
+    total = sum(WEIGHTS.values()) + (sum(WEIGHTS.values()) / len(WEIGHTS) if "__other__" in own else 0)
+    sent, present = Counter(), {k: WEIGHTS[k] for k in own if k in WEIGHTS}
+    if set(own) == set(present):
+        total = sum(present.values())
+        for slot in sorted(first):
+            sent[first[slot]] += 1
+            assert all(abs(sent[k] - w / total * (slot + 1)) < 1 for k, w in present.items())
+    assert all([b for _, b in sorted(v)] == list(range(len(v))) for v in own.values())
 
 
 def test_op2(spark, sf, docs):
     rows = QUERIES["op2_merge_dropout"](spark, sf).collect()
+    # copies of a text are cut each in their own way
+    texts = Counter(x.text for x in docs.values() if x.text and len(x.text) > 200)
+    copies = {t for t, n in texts.items() if n > 1}
+    cuts = defaultdict(set)
+    for r in rows:
+        if docs[r.doc_id].text in copies:
+            cuts[docs[r.doc_id].text].add(r.ids_sha256)
+    assert all(len(cuts[t]) == texts[t] for t in copies)
     assert {r.doc_id: (r.n_chars, r.decoded_sha256) for r in rows} == {d: (len(x.text or ""), sha(x.text or "")) for d, x in docs.items()}
 
 
