@@ -24,6 +24,8 @@ from ._tables import written
 from ._text import spared
 
 RANGE_ROWS, BLOCK_ROWS, CHUNK_ROWS = 16384, 64, 2048
+#: Blocks scored one by one before it is asked how many of the others can be left out.
+LEAD = 8
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _SEEN = pa.schema([("query_id", pa.int64()), ("blocks", pa.int64()), ("scored", pa.int64())])
 
@@ -66,17 +68,23 @@ def _search(k: int, counted: bool = False):
             top = max(int(np.abs(x).max(initial=0)), 1) * max(int(np.abs(q).max(initial=0)), 1) * max(dim, 1)
             # sums that a double holds exactly, else whole numbers of any size
             kind = np.float64 if top < 1 << 53 else object
-            own = ids[rows]
-            blocks = [(own[b], x[b].astype(kind)) for b in _halved(x, own)]
+            own, whole = ids[rows], x.astype(kind)
+            blocks = [(own[b], whole[b]) for b in _halved(x, own)]
             up, down = (np.stack([f(b) for _, b in blocks]) for f in (lambda b: b.max(axis=0), lambda b: b.min(axis=0)))
             q = q.astype(kind)
             bounds = np.where(q > 0, q, 0) @ up.T + np.where(q < 0, q, 0) @ down.T
             for n, at in enumerate(asked.tolist()):
                 order = sorted(range(len(blocks)), key=lambda b: -bounds[n, b]) if kind is object else np.argsort(-bounds[n], kind="stable")  # noqa: B023
                 got_ids, got, least, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), floors[at], 0
-                for b in order:
+                for step, b in enumerate(order):
                     if least is not None and bounds[n, b] < least:
                         break
+                    if step == LEAD and least is not None and 2 * np.count_nonzero(bounds[n][np.asarray(order[step:])] >= least) > len(order) - step:
+                        # most blocks have to be scored: as one matrix
+                        scores, scored = whole @ q[n], len(blocks)
+                        use = (own != ids[at]) & (scores >= least)
+                        got_ids, got = _first(own[use], scores[use].astype(np.int64), k)
+                        break
                     scored += 1
                     names, block = blocks[b]
                     scores = block @ q[n]
