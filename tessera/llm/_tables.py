@@ -23,25 +23,39 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+#: A node with more than one in so many of the edges is a hub: there are fewer of them than this.
+HUBS = 1000
+
+
+def _with_least(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with the least m of u from ``low`` (u, m, n): hubs, of which there are fewer than HUBS, are sent along,
+    so that no task gets all edges of one."""
+    hub = F.col("n") * HUBS > total
+    marked = rows.join(F.broadcast(low.where(hub).select("u", F.col("m").alias("hm"))), "u", "left")
+    others = marked.where("hm is null").select("u", "v").join(low.where(~hub).select("u", "m"), "u")
+    return marked.where("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(others.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b); root is the smallest node
     that can be reached.  Alternates large-star and small-star steps, each a grouped minimum
     and a join, and writes each round to the shared folder.  No edges: no rows."""
     now = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "edges")
-    sign = None
+    least = [F.min("v").alias("m"), F.count("*").alias("n")]
+    sign, count = None, now.count()
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        down = large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y").where("x <> y")
+        low = both.groupBy("u").agg(*least).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.where("v > u"), low, 2 * count).select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        down = written(large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), "large")
+        low = down.groupBy("u").agg(*least)
+        small = _with_least(down, low, count).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y").where("x <> y")
         last, now = now, written(small.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "star")
-        freed(last)
+        freed(last, down)
         new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 30) - 1)))).first())
         if new == sign:
             break
-        sign = new
+        sign, count = new, new[0]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
