@@ -43,7 +43,7 @@ def learning_curve_budgets(n: int, points: int = 6, classes: int = 0) -> list[in
     if high <= low:
         return [high] if high > 0 else []
     for k in range(points, 4 * points + 1):
-        got = sorted({round(math.exp(math.log(low) + (math.log(high) - math.log(low)) * i / (k - 1))) for i in range(k)})
+        got = sorted({round(math.exp(math.log(low) + (math.log(high) - math.log(low)) * i / max(1, k - 1))) for i in range(k)})
         if len(got) >= points or high - low < points:
             break
     return got

@@ -141,7 +141,7 @@ def test_scaling_from_the_command_line(spark, tmp_path):
 
 def test_coreset_reports(spark, tmp_path):
     path = str(tmp_path / "core")
-    config = {"datasets": {"confirm": [spec("a", seed=1, n=110), spec("b", seed=2, n=120)]}, "n_estimators": 2, "selection_seeds": 2, "budget_fractions": [0.2, 0.5], "coreset_methods": ["random", "stratified"], "learning_curve_points": 4, "backend": {"name": "centroid", "estimators": 2}}
+    config = {"datasets": {"confirm": [spec("a", seed=1, n=110), spec("b", seed=2, n=120)]}, "n_estimators": 2, "selection_seeds": 2, "budget_fractions": [0.2, 0.5], "coreset_methods": ["random", "stratified"], "learning_curve_points": 1, "backend": {"name": "centroid", "estimators": 2}}
     assert run_experiment(spark, config, "coreset", path) == []
     meta = S.read_meta(spark, path + ".meta")
     assert ["stratified", "random", "f0.2", "log_loss"] in meta["family"] and not any(f[0] == "random" for f in meta["family"])
