@@ -141,15 +141,15 @@ def test_scaling_from_the_command_line(spark, tmp_path):
 
 def test_coreset_reports(spark, tmp_path):
     path = str(tmp_path / "core")
-    config = {"datasets": {"confirm": [spec("a", seed=1, n=110), spec("b", seed=2, n=120)]}, "n_estimators": 2, "selection_seeds": 2, "budget_fractions": [0.2, 0.5], "coreset_methods": ["random", "stratified"], "learning_curve_points": 1, "backend": {"name": "centroid", "estimators": 2}}
+    config = {"datasets": {"confirm": [spec("a", seed=1, n=110), spec("b", seed=2, n=120)]}, "n_estimators": 2, "selection_seeds": 2, "budget_fractions": [0.3], "coreset_methods": ["random", "stratified"], "learning_curve_points": 1, "backend": {"name": "centroid", "estimators": 2}}
     assert run_experiment(spark, config, "coreset", path) == []
     meta = S.read_meta(spark, path + ".meta")
-    assert ["stratified", "random", "f0.2", "log_loss"] in meta["family"] and not any(f[0] == "random" for f in meta["family"])
+    assert ["stratified", "random", "f0.3", "log_loss"] in meta["family"] and not any(f[0] == "random" for f in meta["family"])
     assert not [p for p in validate_path(spark, path) if "curves" not in p]
     tables = analysis.analyze(spark, path)
     assert set(tables) == {"family", "effects", "effect_summary", "ratio_curves", "saturated_cells"}
     # cells that are saturated on every dataset have no row
-    assert {tuple(r) for r in tables["family"].select("method", "baseline", "budget_key", "metric").collect()} <= set(map(tuple, meta["family"])) and tables["effects"].count() == 4
+    assert {tuple(r) for r in tables["family"].select("method", "baseline", "budget_key", "metric").collect()} <= set(map(tuple, meta["family"])) and tables["effects"].count() == 2
     dev = analysis.dev_table(S.read_results(spark, path), "random", S.read_timing(spark, path)).collect()
     assert all(r.total_s is not None for r in dev) and all((r.improvement is None) == (r.method == "random" or r.method == "full" or r.n < 2) for r in dev if r.method != "full")
     assert normalize(config)["datasets"][0]["split"] == "confirm"
