@@ -233,7 +233,6 @@ class Field:
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         out = []
-        said = _SAID_ANYWHERE
         taken = sorted(taken)
         ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, int)
         for a, b in islands(text):
@@ -243,8 +242,12 @@ class Field:
                 if s[0] >= b:
                     break
                 near.append(s)
+            said = None
             for tokens in _tokens(text, a, b, near):
-                if said.match(text, a, b) or any("9" in t[2] or "x" in t[2] or "X" in t[2] or t[2] == "@" or text.startswith("AKIA", t[0]) for t in tokens):
+                fit = any("9" in t[2] or "x" in t[2] or "X" in t[2] or t[2] == "@" or text.startswith("AKIA", t[0]) for t in tokens)
+                if not fit and said is None:
+                    said = _SAID_ANYWHERE.match(text, a, b) is not None
+                if fit or said:
                     out += self.decode(text, tokens)
         return out
 
