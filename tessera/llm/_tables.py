@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import freed, shared_folder, written
 
-__all__ = ["components", "freed", "groups_for", "row_key", "shared_folder", "written"]
+__all__ = ["components", "freed", "groups_for", "row_key", "shared_folder", "spread", "written"]
 
 #: Text bytes that one packed group stands for, and the least number of groups.
 GROUP_BYTES, LEAST_GROUPS = 24 << 20, 64
@@ -23,6 +23,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def spread(n: int) -> Column:
+    """A bucket of 0 to n - 1 for each row, by doc_id, text and input partition: rows equal in id and text are dealt to as
+    many buckets as there are input partitions.  A task that is run again deals its rows alike."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n).cast("long"))
+
+
 #: A node with more than one in so many of the edges is a hub: there are fewer of them than this.
 HUBS = 1000
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import LEAST_GROUPS, row_key
+from ._tables import LEAST_GROUPS, spread
 from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8
 
 ALPHA = 0.4
@@ -111,6 +111,8 @@ def _score(alpha: float, n_all: int):
         distinct, back = np.unique(np.concatenate([words, pairs]), return_inverse=True)
         got = [unpack(d) for _, d in sorted(zip(counts.column("part").to_pylist(), counts.column("data").to_pylist()))]
         totals = np.concatenate([g[0].astype(np.int64) for g in got] or [np.zeros(0, np.int64)])
+        if len(totals) != len(distinct):
+            raise RuntimeError("a bucket got totals of other rows than it asked for")
         left = totals[back] - _own(np.concatenate([owner, owner[again]]), back, max(1, len(distinct)))
         one, two = left[: len(words)].astype(float), left[len(words) :].astype(float)
         rest = (n_all - sizes)[owner].astype(float)
@@ -141,7 +143,7 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, id: str = "doc_id", te
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = plain.select("text").mapInArrow(spared(_measure), "bytes long, words long").agg(F.sum("bytes").alias("bytes"), F.sum("words").alias("words")).first()
     n, n_all = max(LEAST_GROUPS, -(-(total["bytes"] or 0) // BUCKET_BYTES)), total["words"] or 0
-    keyed = plain.withColumn("bucket", F.pmod(row_key(), F.lit(n).cast("long"))).groupBy("bucket")
+    keyed = plain.withColumn("bucket", spread(n)).groupBy("bucket")
     asked = keyed.applyInArrow(spared(_ask(n)), _SENT)
     told = asked.groupBy("part").applyInArrow(spared(_count()), _SENT).groupBy("bucket")
     return keyed.cogroup(told).applyInArrow(spared(_score(alpha, n_all)), "doc_id long, n_words long, n_backed_off long, n_unseen long, log_score double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import groups_for, row_key
+from ._tables import groups_for, row_key, spread
 from ._text import Words, pack, ranges, slices, spared, texts, unpack, utf8
 
 #: Period and cover: every difference modulo 7 is one of two members of {0, 1, 3}.
@@ -244,7 +244,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
         raise ValueError(f"window must exceed {PERIOD}")
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = groups_for(plain)
-    keyed = plain.withColumn("key", row_key()).withColumn("bucket", F.pmod("key", F.lit(n).cast("long")))
+    # rows without an id get no flags, so any bucket does: a third of all rows may be such
+    keyed = plain.withColumn("key", row_key()).withColumn("bucket", F.when(F.col("doc_id").isNull(), spread(n)).otherwise(F.pmod("key", F.lit(n).cast("long"))))
     by_row = keyed.groupBy("bucket")
     found = plain.withColumn("key", row_key()).mapInArrow(spared(_find_anchors(window, n, n)), _SENT)
     near = found.groupBy("part").applyInArrow(spared(_shared_anchors(n)), _SENT).groupBy("part")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tessera.llm import jaccard
-from tessera.llm._tables import components
+from tessera.llm._tables import components, spread
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.lm import backoff_scores
 from tessera.llm.repeats import remove_repeats
@@ -217,3 +217,35 @@ def test_long_text(spark):
     rows = {r.doc_id: r for r in remove_repeats(df).collect()}
     assert rows[1].n_removed == 0 and rows[1].n_words == 400_000 and rows[2].n_removed > 50
     assert hashlib.sha256(rows[1].kept.encode()).hexdigest() == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_a_third_of_rows_alike(spark):
+    """Rows without an id that are equal in text meet no single task, and get what brute force gives."""
+    rng = random.Random(4)
+    texts = [None] * 60 + [" ".join(f"q{i}" for i in range(20))] * 60 + [" ".join(f"w{rng.randrange(99)}" for _ in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame([(None if i < 120 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    dealt = docs.withColumn("b", spread(64)).where("text like 'q0 %'").groupBy("b").count().collect()
+    assert len(dealt) > 2 and sum(r["count"] for r in dealt) == 60
+    scored = backoff_scores(docs).collect()
+    same = {(r.n_words, r.n_backed_off, r.n_unseen, round(r.log_score, 9)) for r in scored if r.doc_id is None}
+    n = 59 * 20 + 60 * 30
+    assert len(scored) == 180 and same == {(0, 0, 0, 0.0), (20, 0, 0, round(math.log(59 / n), 9))}
+    kept = remove_repeats(docs).collect()
+    assert len(kept) == 180 and all(r.n_removed == 0 for r in kept)
+
+
+def test_long_texts(spark):
+    """A text of some 3 MB among short ones: whole in every operator."""
+    rng = random.Random(8)
+    words = [f"t{rng.randrange(10**6)}" for _ in range(400_000)]
+    long, near = " ".join(words), " ".join(words[:390_000])
+    df = spark.createDataFrame([(1, long), (2, near), (3, " ".join(words[:30])), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_duplicates(df, size=4, num=85, den=100).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    scored = {r.doc_id: r for r in backoff_scores(df).collect()}
+    one, two = Counter(words[:390_000] + words[:30]), Counter([*zip(words, words[1:390_000]), *zip(words[:29], words[1:30])])
+    off = sum(not two[v, x] for v, x in zip(words, words[1:]))
+    assert (scored[1].n_words, scored[1].n_backed_off) == (400_000, off)
+    assert scored[1].n_unseen == sum(not one[x] for x in words) and scored[3].n_backed_off == 0
+    stats = {r.doc_id: r for r in text_statistics(df).collect()}
+    assert stats[1].n_words == 400_000 and stats[1].word_chars == sum(map(len, words)) and stats[4].n_words == 0
