@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import freed, shared_folder, written
 
-__all__ = ["components", "freed", "groups_for", "row_key", "shared_folder", "spread", "written"]
+__all__ = ["components", "freed", "groups_for", "marked", "row_key", "shared_folder", "spread", "written"]
 
 #: Text bytes that one packed group stands for, and the least number of groups.
 GROUP_BYTES, LEAST_GROUPS = 24 << 20, 64
@@ -23,6 +23,22 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+#: Bits of a bitmap for each value, and of one of its rows.
+BITS_EACH, ROW_BITS = 16, 1 << 15
+
+
+def marked(rows: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false only if the long in ``column`` is not in that column of ``values``; true for
+    all that are, and for about one in BITS_EACH of the others.  What is sent along are two bytes a value."""
+    n = max(1, -(-values.count() * BITS_EACH // ROW_BITS))
+    h = F.pmod(F.xxhash64(F.col(column)), F.lit(n * ROW_BITS).cast("long"))
+    at, place = F.floor(h / ROW_BITS).cast("long"), (h % ROW_BITS).cast("long")
+    bits = values.select(at.alias("__at"), place.alias("__place")).groupBy("__at").agg(F.bitmap_construct_agg("__place").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = rows.withColumn("__at", at).join(F.broadcast(bits), "__at", "left")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).select(*rows.columns, name)
+
+
 def spread(n: int) -> Column:
     """A bucket of 0 to n - 1 for each row, by doc_id, text and input partition: rows equal in id and text are dealt to as
     many buckets as there are input partitions.  A task that is run again deals its rows alike."""

@@ -14,6 +14,10 @@ after these are linked, what is still apart is compared exactly: sets outside th
 of a cluster against the whole cluster, in blocks of bounded size.  So no link between
 components is lost, and a group of near copies costs about its size, not its square.
 
+Signatures of a band and a partition meet only their like, so they are dealt by these: a set's
+name goes along once for some partitions of one band, not once for each signature, however many
+parts a large table has.
+
 Pairs are first held against sketches that can't rule out a link, then verified on whole sets of
 64-bit shingle hashes.
 """
@@ -25,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import components, freed, groups_for, row_key, written
+from ._tables import components, freed, marked, row_key, written
 from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8, windows
 
 #: Classes under one signature up to which all pairs are tried; rows of a block beyond that.
 FEW, BLOCK = 24, 2048
+#: Signatures of a part and the least number of parts; signatures that a task packs at once.
+PART_SIGS, LEAST_PARTS, PACKED_SIGS = 1_500_000, 64, 1 << 20
 #: One spare partition for so many needed.
 SPARE = 5
 #: Cells of a sketch.
@@ -53,6 +59,32 @@ class Bands:
     def span(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.searchsorted(self.top, n), np.searchsorted(self.top, n * self.den // self.num)
 
+    def partitions(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many partitions a set of the band has, and how many of them are spare."""
+        need = self.k[band] // 2 + 1
+        spare = 1 + need // SPARE
+        return need + spare, spare
+
+
+class Parts:
+    """Where signatures are dealt.  Bands lie one after the other, the partitions of a band too, each as long as it
+    has signatures (three a set); the line is cut into parts of equal length.  A partition longer than a part is spread over
+    several by signature."""
+
+    def __init__(self, bands: Bands, sets: np.ndarray):
+        """sets: how many sets sign for each band."""
+        n1, _ = bands.partitions(np.arange(len(sets)))
+        self.each = 3.0 * sets * (bands.k[: len(sets)] > 0)
+        total = float((self.each * n1).sum())
+        self.start = np.cumsum(self.each * n1) - self.each * n1
+        self.size = max(1.0, min(PART_SIGS, total / LEAST_PARTS))
+        self.count = int(total / self.size) + 1
+
+    def of(self, band: np.ndarray, index: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        each = self.each[band]
+        inside = np.where(each >= self.size, each * ((sig >> _32).astype(np.float64) / float(1 << 32)), 0.0)
+        return np.minimum((self.start[band] + index * each + inside) / self.size, self.count - 1).astype(np.int64)
+
 
 def shingle_sets(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted by text and hash, and how many each has."""
@@ -114,22 +146,28 @@ def _pairs_of_cells(total, count, index, band):
 
 def signatures(x: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets, and the set of each."""
+    return placed_signatures(x, n, bands)[:2]
+
+
+def placed_signatures(x: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets; the set, the band and the partition of each."""
     low, high = bands.span(n)
     start = np.cumsum(n) - n
-    sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    sigs, owners, of_band, of_index = [np.zeros(0, np.uint64)], [none], [none], [none]
     for e in range(int((high - low).max(initial=0)) + 1):
         band = low + e
         who = np.flatnonzero((band <= high) & (bands.k[np.minimum(band, len(bands.k) - 1)] > 0) & (n > 0))
         if not len(who):
             continue
-        need = bands.k[band[who]] // 2 + 1
-        spare = 1 + need // SPARE
-        size, n1 = n[who], need + spare
+        size, (n1, spare) = n[who], bands.partitions(band[who])
         d = np.repeat(np.arange(len(who)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[who], size)
         y, own = x[at], np.repeat(np.arange(len(who)), n1)
-        sig, empty = _pairs_of_cells(*_cells(y, d, n1, 0), band[who][own])
-        sigs.append(sig[~empty]), owners.append(who[np.broadcast_to(own[:, None], sig.shape)[~empty]])
+        total, count, index = _cells(y, d, n1, 0)
+        sig, empty = _pairs_of_cells(total, count, index, band[who][own])
+        each = own[np.nonzero(~empty)[0]]
+        sigs.append(sig[~empty]), owners.append(who[each]), of_band.append(band[who][each]), of_index.append(index[np.nonzero(~empty)[0]])
         light = np.bincount(own[empty.any(axis=1)], minlength=len(who)) > spare
         if light.any():
             empty &= light[own][:, None]
@@ -144,7 +182,8 @@ def signatures(x: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray,
                 i = again[own[r]]
                 more = mix(second[bound[i] : bound[i + 1]].reshape(-1) + sig[r, c : c + 1] * _S[5])
                 sigs.append(more), owners.append(np.full(len(more), who[own[r]]))
-    return np.concatenate(sigs), np.concatenate(owners)
+                of_band.append(np.full(len(more), band[who[own[r]]])), of_index.append(np.full(len(more), index[r]))
+    return np.concatenate(sigs), np.concatenate(owners), np.concatenate(of_band), np.concatenate(of_index)
 
 
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
@@ -165,9 +204,23 @@ def _members(size: int):
     return run
 
 
-def _sign(size: int, bands: Bands, parts: int):
+def _packed(part: np.ndarray, sig: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: 32 bits of each signature (others that share them are pairs tried in vain, few in a part),
+    then each set's name, signatures there and size."""
+    order = np.lexsort((fp, part))
+    part, sig, fp, n = part[order], sig[order].astype(np.uint32), fp[order], n[order].astype(np.uint32)
+    starts, sizes = ranges(part)
+    data = []
+    for s, m in zip(starts.tolist(), sizes.tolist()):
+        first, times = ranges(fp[s : s + m])
+        data.append(pack(sig[s : s + m], fp[s : s + m][first], times.astype(np.uint32), n[s : s + m][first]))
+    return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array(data, pa.binary())], schema=_PACKED)
+
+
+def _sign(size: int, bands: Bands, parts: Parts):
     def run(batches):
         seen: set[int] = set()
+        held, many = [], 0
         for batch in batches:
             for rows in slices(batch):
                 x, n = shingle_sets(rows.column("text"), size)
@@ -180,20 +233,14 @@ def _sign(size: int, bands: Bands, parts: int):
                 if len(seen) > 200_000:
                     seen.clear()
                 x, n, fp = x[np.repeat(fresh, n)], n[fresh], fp[fresh]
-                sig, who = signatures(x, n, bands)
-                sig >>= np.uint64(16)
-                part = (sig % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((who, part))
-                sig, who, part = sig[order], who[order], part[order]
-                starts, sizes = ranges(part)
-                out = []
-                for s, m in zip(starts.tolist(), sizes.tolist()):
-                    first, times = ranges(who[s : s + m])
-                    y = sig[s : s + m]
-                    own = who[s : s + m][first]
-                    out.append((int(part[s]), pack((y >> _32).astype(np.uint16), y.astype(np.uint32), fp[own], times.astype(np.uint32), n[own].astype(np.uint32))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], schema=_PACKED)
+                sig, who, band, index = placed_signatures(x, n, bands)
+                held.append((parts.of(band, index, sig), sig.astype(np.uint32), fp[who], n[who]))
+                many += len(sig)
+                if many >= PACKED_SIGS:
+                    yield _packed(*(np.concatenate(a) for a in zip(*held)))
+                    held, many = [], 0
+        if many:
+            yield _packed(*(np.concatenate(a) for a in zip(*held)))
 
     return run
 
@@ -205,8 +252,8 @@ def _try(bands: Bands, parts: int):
     def run(table: pa.Table) -> pa.Table:
         sig, fp, size = [], [], []
         for data in table.column("data").to_pylist():
-            high, low, who, times, n = unpack(data)
-            sig.append((high.astype(np.uint64) << _32) | low), fp.append(np.repeat(who, times)), size.append(np.repeat(n, times))
+            low, who, times, n = unpack(data)
+            sig.append(low), fp.append(np.repeat(who, times)), size.append(np.repeat(n, times))
         sig, fp, size = np.concatenate(sig), np.concatenate(fp), np.concatenate(size).astype(np.int64)
         order = np.lexsort((fp, sig))
         sig, fp, size = sig[order], fp[order], size[order]
@@ -367,11 +414,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     Repeated rows are rows of one class.  Empty input: no rows.  Other columns are ignored.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    bands, n = Bands(num, den), groups_for(plain)
+    bands = Bands(num, den)
     keyed = plain.withColumn("key", row_key())
     member = written(keyed.mapInArrow(spared(_members(size)), "doc_id long, key long, fp long, n long, sketch binary"), "members")
-    signed = plain.select("text").mapInArrow(spared(_sign(size, bands, n)), "part long, data binary")
-    tried = written(signed.groupBy("part").applyInArrow(spared(_try(bands, n)), "kind int, vb long, a long, b long"), "tried")
+    parts = Parts(bands, _sets_of_bands(member, bands))
+    signed = plain.select("text").mapInArrow(spared(_sign(size, bands, parts)), "part long, data binary")
+    tried = written(signed.groupBy("part").applyInArrow(spared(_try(bands, parts.count)), "kind int, vb long, a long, b long"), "tried")
     one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     ends = lambda pairs, at: pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
     # sketches and sets meet where a pair is dealt: a pivot's pairs are dealt by their other ends
@@ -383,13 +431,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     many = written(hung.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "many")
     freed(tried)
     wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).union(many.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
-    sets = written(keyed.join(one.select("fp", "key").join(wanted, "fp"), "key").select("fp", "text").mapInArrow(spared(_sets(size)), "fp long, data binary"), "sets")
-    whole = sets.dropDuplicates(["fp"])
+    # only texts that may be wanted are dealt by key, rows that repeat once a task
+    chosen = written(one.select("fp", "key").join(wanted, "fp"), "wanted")
+    some = marked(keyed.select("key", "text"), "key", chosen, "may").where("may").drop("may").dropDuplicates(["key"])
+    whole = written(some.join(chosen, "key").select("fp", "text").mapInArrow(spared(_sets(size)), "fp long, data binary"), "sets")
     links = written(near.groupBy("vb").cogroup(ends(near, "vb").join(whole, "fp").groupBy("at")).applyInArrow(spared(_verify(bands)), "a long, b long").distinct(), "links")
     roots = components(links)
     if not many.isEmpty():
         roots = _settle(many, links, roots, whole, bands)
-    freed(near, many, sets, links)
+    freed(near, many, chosen, whole, links)
     low = member.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     rooted = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
@@ -397,6 +447,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return member.join(classes, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "key", "component_key")
 
 
+def _sets_of_bands(member: DataFrame, bands: Bands) -> np.ndarray:
+    """How many rows sign for each band."""
+    # as many rows as there are spans of bands
+    place = lambda n: F.size(F.filter(F.array(*[F.lit(int(t)) for t in bands.top]), lambda t: t < n))
+    spans = member.where("fp is not null").groupBy(place(F.col("n")).alias("low"), place(F.floor(F.col("n") * bands.den / bands.num)).alias("high")).count().collect()
+    sets = np.zeros(len(bands.top), np.int64)
+    for low, high, n in spans:
+        sets[low : high + 1] += n
+    return sets
+
+
 def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """Roots after what signatures with many classes have in common is compared whole."""
     cluster = components(many)
