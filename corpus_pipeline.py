@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import written
+from tessera.llm._tables import freed, marked, written
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.mixing import mix_positions, mixed
 from tessera.llm.pieces import encode_pieces
@@ -32,16 +32,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component (five words, similarity of 0.8 or more) one row stays: of the least id, a null
     id being the last, then of the least hash of id and text.  Rows equal in id and text are one.
     Rows without words stay."""
-    found = near_duplicates(docs, size=5, num=80, den=100).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = written(near_duplicates(docs, size=5, num=80, den=100).select("doc_id", "component_id", "component_key", "key"), "found")
     alone = F.when(F.col("component_key").isNull(), F.col("key"))
-    first = found.groupBy("component_key", alone.alias("alone")).agg(F.min("key").alias("__key")).select("__key")
-    # dealt by key for the join, rows are already where their repeats are
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = own.groupBy("component_key", alone.alias("alone")).agg(F.min("key").alias("key")).select("key", F.lit(True).alias("stays"))
     name = "key"
     while name in docs.columns:
         name += "_"
-    keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    chosen = keyed.join(first.withColumnRenamed("__key", name), name, "left_semi")
-    return chosen.dropDuplicates([name, "doc_id", "text"]).select(*docs.columns)
+    # keys that go, or that repeat; only rows that may have one of them are dealt by key
+    keys = found.groupBy("key").agg(F.count("*").alias("n")).join(first, "key", "left")
+    open_ = written(keys.where("n > 1 or stays is null").select(F.col("key").alias(name), F.coalesce("stays", F.lit(False)).alias("__stays")), "open")
+    freed(found)
+    keyed = marked(docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))), name, open_, "__may")
+    met = keyed.where("__may").join(open_, name, "left").where("__stays is null or __stays")
+    # dealt by key for the join, rows are already where their repeats are
+    return keyed.where("not __may").select(*docs.columns).union(met.dropDuplicates([name, "doc_id", "text"]).select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
