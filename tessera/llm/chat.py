@@ -63,6 +63,14 @@ def completions(text: Column | str, spans: Column | str) -> Column:
     return F.transform(spans, lambda s: F.substring(whole, s["target_start"].cast("int") + 1, (s["target_end"] - s["target_start"]).cast("int")))
 
 
+def expanded(text: Column | str, spans: Column | str, read) -> Column:
+    """read(prompt, completion) of each example, in the order of turns: every prefix with its target is made, one after the
+    other, and only what is read of it stays in the row."""
+    whole = F.col(text) if isinstance(text, str) else text
+    cut = lambda a, b: F.substring(whole, a.cast("int") + 1, (b - a).cast("int"))
+    return F.transform(spans, lambda s: read(F.substring(whole, F.lit(1), s["target_start"].cast("int")), cut(s["target_start"], s["target_end"])))
+
+
 def examples(chats: DataFrame, expand: bool = True) -> DataFrame:
     """One row for each example of what ``formatted`` returned: conv_id, the span's fields and
     completion (escaped); with ``expand`` also prompt, whose total is quadratic in a conversation."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import completions, formatted, turns_of, unescape
+from .chat import OPEN, expanded, formatted, turns_of, unescape
 from .jaccard import near_duplicates
 from .lm import backoff_scores
 from .mixing import mix_positions
@@ -57,11 +57,12 @@ SELECT * FROM r WHERE rank <= 20
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = formatted(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
-    loss = F.array_join(F.transform(completions("formatted", "spans"), unescape), "")
-    read = chats.select("conv_id", "formatted", "spans", turns_of(F.col("formatted")).alias("turns"), loss.alias("loss"))
+    each = expanded("formatted", "spans", lambda prompt, reply: F.struct((F.length(prompt) - len(f"{OPEN}assistant\n")).cast("long").alias("context"), unescape(reply).alias("reply")))
+    made = chats.select("conv_id", "formatted", turns_of(F.col("formatted")).alias("turns"), each.alias("examples"))
+    read = made.select("*", F.array_join(F.col("examples.reply"), "").alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    context = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["context_end"])
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("spans").cast("long").alias("n_examples"), context.alias("context_chars"))
+    context = F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + e["context"])
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"), context.alias("context_chars"))
 
 
 OP4_SQL = r"""
