@@ -46,10 +46,12 @@ def quantiles(p: DataFrame, bins: DataFrame, levels: list[float], keys: tuple[st
     w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     run = p.join(F.broadcast(bins), "bin").withColumn("p", F.col("p") / F.sum("p").over(whole)).withColumn("cum", F.sum("p").over(w)).withColumn("top", F.max("bin").over(whole))
+    # the sum before a bin is the last bin's; cum - p may differ in its last bit, and a level between them would be lost
+    run = run.withColumn("last", F.lag("cum").over(Window.partitionBy(*keys).orderBy("bin")))
     before = F.col("cum") - F.col("p")
     wanted = F.array(*[F.lit(float(x)) for x in levels])
     # each level belongs to the bin that brings the sum to it (the last bin takes what rounding leaves)
-    hit = F.filter(wanted, lambda q: (q <= F.col("cum") + 0.0) & (q > before) | (F.col("bin") == F.col("top")) & (q > F.col("cum")) | (before <= 0) & (q <= 0))
+    hit = F.filter(wanted, lambda q: (q <= F.col("cum")) & (F.col("last").isNull() | (q > F.col("last"))) | (F.col("bin") == F.col("top")) & (q > F.col("cum")))
     at = run.withColumn("level", F.explode(hit))
     inside = F.when(F.col("p") > 0, (F.col("level") - before) / F.when(F.col("p") > 0, F.col("p")).otherwise(1.0)).otherwise(0.0)
     q = F.col("lo") + F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)) * (F.col("hi") - F.col("lo"))
