@@ -10,16 +10,17 @@ second, independent partitioning, which linking sets share by the same argument.
 
 Equal sets are one class before anything else, so exact copies sign once.  A signature with few
 classes gives all its pairs.  One with many gives pairs with three of its members only, and
-after these are linked, what is still apart is compared exactly: sets outside the largest component
-of a cluster against the whole cluster, in blocks of bounded size.  So no link between
-components is lost, and a group of near copies costs about its size, not its square.
+after these are linked, what is still apart meets by its rarest shingles: two sets that link share one
+among the first of each, in any order of all shingles, when so many are taken that what is left can't be
+enough for a link.  In the order of rarity few sets that don't link have one in common, though a common passage
+may be in all of them.  So no link between components is lost, and a group of near copies costs about its size.
 
 Signatures of a band and a partition meet only their like, so they are dealt by these: a set's
 name goes along once for some partitions of one band, not once for each signature, however many
 parts a large table has.
 
 Pairs are first held against sketches that can't rule out a link, then verified on whole sets of
-64-bit shingle hashes.
+64-bit shingle hashes.  Texts are sent to where they are needed, since they are smaller than their sets.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ._tables import components, freed, marked, row_key, written
 from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8, windows
 
-#: Classes under one signature up to which all pairs are tried; rows of a block beyond that.
+#: Classes under one signature up to which all pairs are tried; rows of a block of pairs beyond that.
 FEW, BLOCK = 24, 2048
 #: Signatures of a part and the least number of parts; signatures that a task packs at once.
 PART_SIGS, LEAST_PARTS, PACKED_SIGS = 1_500_000, 64, 1 << 20
@@ -40,6 +41,8 @@ PART_SIGS, LEAST_PARTS, PACKED_SIGS = 1_500_000, 64, 1 << 20
 SPARE = 5
 #: Cells of a sketch.
 CELLS = 128
+#: Counters of shingles, by which they are rare or common.
+COUNTERS = 1 << 16
 _BAND = 1.3
 _S = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6D)]
 _LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -189,7 +192,8 @@ def placed_signatures(x: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.nd
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 _PACKED = pa.schema([("part", pa.int64()), ("data", pa.binary())])
 _TRIED = pa.schema([("kind", pa.int32()), ("vb", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-_SET = pa.schema([("fp", pa.int64()), ("data", pa.binary())])
+_PAIR = pa.schema([("vb", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_COUNT = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -204,16 +208,16 @@ def _members(size: int):
     return run
 
 
-def _packed(part: np.ndarray, sig: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _packed(part: np.ndarray, sig: np.ndarray, fp: np.ndarray, n: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     """A row for each part: 32 bits of each signature (others that share them are pairs tried in vain, few in a part),
-    then each set's name, signatures there and size."""
+    then each set's name, signatures there, size and what more there is of a set."""
     order = np.lexsort((fp, part))
-    part, sig, fp, n = part[order], sig[order].astype(np.uint32), fp[order], n[order].astype(np.uint32)
+    part, sig, fp, n, more = part[order], sig[order].astype(np.uint32), fp[order], n[order].astype(np.uint32), [a[order] for a in more]
     starts, sizes = ranges(part)
     data = []
     for s, m in zip(starts.tolist(), sizes.tolist()):
         first, times = ranges(fp[s : s + m])
-        data.append(pack(sig[s : s + m], fp[s : s + m][first], times.astype(np.uint32), n[s : s + m][first]))
+        data.append(pack(sig[s : s + m], fp[s : s + m][first], times.astype(np.uint32), n[s : s + m][first], *(a[s : s + m][first] for a in more)))
     return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array(data, pa.binary())], schema=_PACKED)
 
 
@@ -245,6 +249,10 @@ def _sign(size: int, bands: Bands, parts: Parts):
     return run
 
 
+def _home(fp: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(fp.view(np.uint64) ^ _S[5]) % np.uint64(parts)).astype(np.int64)
+
+
 def _try(bands: Bands, parts: int):
     """Rows of kind 0: pairs a < b to try, and the place vb where sets of a group meet; of kind 1: a
     class b under a signature of many, with the least class a there."""
@@ -261,7 +269,7 @@ def _try(bands: Bands, parts: int):
         sig, fp, size = sig[new], fp[new], size[new]
         fit = lambda x, y: bands.den * np.minimum(x, y) >= bands.num * np.maximum(x, y)
         starts, sizes = ranges(sig)
-        where = lambda f: (mix(f.view(np.uint64) ^ _S[5]) % np.uint64(parts)).astype(np.int64)
+        where = lambda f: _home(f, parts)
         rows = [np.zeros((0, 3), np.int64)]
         for m in range(2, FEW + 1):
             at = starts[sizes == m]
@@ -287,13 +295,78 @@ def _try(bands: Bands, parts: int):
     return run
 
 
-def _sets(size: int):
+def _counted(size: int):
+    """How many sets of a task hold a shingle of each counter."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for rows in slices(batch):
+                total += np.bincount(_slot(shingle_sets(rows.column("text"), size)[0]), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], schema=_COUNT)
+
+    return run
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (mix(x ^ _S[2]) >> np.uint64(48)).astype(np.int64)
+
+
+def _rarest(size: int, bands: Bands, rank: np.ndarray, parts: int):
+    """The first shingles of each set by rarity, so many that fewer are left than a link needs, packed by part like
+    signatures; a shingle is told apart by cluster."""
+
     def run(batches):
         for batch in batches:
             for rows in slices(batch):
                 x, n = shingle_sets(rows.column("text"), size)
-                end = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([rows.column("fp"), pa.array([x[e - m : e].tobytes() for e, m in zip(end.tolist(), n.tolist())], pa.binary())], schema=_SET)
+                d = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((x, rank[_slot(x)], d))
+                first = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) < (n - -(-bands.num * n // bands.den) + 1)[d]
+                x, d = x[order][first], d[first]
+                named = lambda k: rows.column(k).to_numpy(zero_copy_only=False)[d]
+                h = mix(x + mix(named("cluster").view(np.uint64)))
+                if len(x):
+                    yield _packed((h >> _32).astype(np.int64) % parts, h, named("fp"), n[d], named("comp"))
+
+    return run
+
+
+def _meet(bands: Bands, parts: int):
+    """Pairs a < b of different components under one shingle, with sizes of a link, and the place vb where they meet: a pair is
+    dealt by the end whose component has more sets there, so these don't go along with each of the few."""
+
+    def run(table: pa.Table) -> pa.Table:
+        each = [unpack(d) for d in table.column("data").to_pylist()]
+        sig = np.concatenate([e[0] for e in each])
+        fp, size, comp = (np.concatenate([np.repeat(e[k], e[2]) for e in each]) for k in (1, 3, 4))
+        size = size.astype(np.int64)
+        order = np.lexsort((fp, comp, sig))
+        sig, fp, size, comp = sig[order], fp[order], size[order], comp[order]
+        out, many = [np.zeros((0, 3), np.int64)], 0
+        starts, sizes = ranges(sig)
+        own = ranges(np.cumsum(np.concatenate([[1], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])])))
+        same, after = np.repeat(own[1], own[1]), np.repeat(own[0] + own[1], own[1])
+        end = np.repeat(starts + sizes, sizes)
+        # each row with the rows of its shingle after those of its component, some at a time
+        left = end - after
+        upto = np.cumsum(left)
+        at = 0
+        while at < len(sig):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK * 256, "right")))
+            n = left[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[at:to], n)
+            fit = bands.den * np.minimum(size[i], size[j]) >= bands.num * np.maximum(size[i], size[j])
+            i, j = i[fit], j[fit]
+            by = np.where(same[i] > same[j], fp[i], np.where(same[i] < same[j], fp[j], np.minimum(fp[i], fp[j])))
+            out.append(np.unique(np.stack([_home(by, parts), np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], axis=1), axis=0))
+            many, at = many + len(out[-1]), to
+            if many > 1 << 21:
+                out, many = [np.unique(np.concatenate(out), axis=0)], 0
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.Table.from_arrays([pa.array(found[:, k]) for k in range(3)], schema=_PAIR)
 
     return run
 
@@ -346,23 +419,25 @@ def _near(bands: Bands):
     return run
 
 
-def _verify(bands: Bands):
+def _verify(size: int, bands: Bands):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        by = dict(zip(sets.column("fp").to_pylist(), sets.column("data").to_pylist()))
+        by = {}
+        for rows in slices(sets):
+            x, n = shingle_sets(rows.column("text"), size)
+            by.update(zip(rows.column("fp").to_pylist(), np.split(x, np.cumsum(n)[:-1])))
         a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
         swap = np.bincount(np.unique(a, return_inverse=True)[1]).max(initial=0) < np.bincount(np.unique(b, return_inverse=True)[1]).max(initial=0)
         a, b = (b, a) if swap else (a, b)
         order = np.argsort(a, kind="stable")
         a, b, out = a[order], b[order], [np.zeros((0, 2), np.int64)]
-        get = lambda f: np.frombuffer(by[f], np.uint64)
         for s, m in zip(*(r.tolist() for r in ranges(a))):
-            one = get(int(a[s]))
+            one = by[int(a[s])]
             for t in range(s, s + m, 256):
                 near = b[t : min(t + 256, s + m)]
-                sizes = np.array([len(by[f]) // 8 for f in near.tolist()])
+                sizes = np.array([len(by[f]) for f in near.tolist()])
                 near = near[(bands.den * np.minimum(sizes, len(one)) >= bands.num * np.maximum(sizes, len(one)))]
                 if len(near):
-                    near = near[_links(one, [get(f) for f in near.tolist()], bands)]
+                    near = near[_links(one, [by[f] for f in near.tolist()], bands)]
                     out.append(np.stack([np.full(len(near), a[s]), near], axis=1))
         found = _forest(np.concatenate(out))
         return pa.Table.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], schema=_LINK)
@@ -370,37 +445,6 @@ def _verify(bands: Bands):
     return run
 
 
-def _compare(bands: Bands):
-    """One block of sets still apart against one block of their cluster: a link for each
-    component that a set reaches."""
-
-    def run(table: pa.Table) -> pa.Table:
-        apart = table.column("apart").to_numpy(zero_copy_only=False)
-        fp, comp, data = table.column("fp").to_numpy(), table.column("comp").to_numpy(), table.column("data").to_pylist()
-        left, right = np.flatnonzero(apart), np.flatnonzero(~apart)
-        if not len(left) or not len(right):
-            return _LINK.empty_table()
-        others = [np.frombuffer(data[i], np.uint64) for i in right.tolist()]
-        sizes = np.array([len(o) for o in others])
-        flat, who = np.concatenate(others), np.repeat(np.arange(len(right)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, who, out = flat[order], who[order], []
-        for i in left.tolist():
-            one = np.frombuffer(data[i], np.uint64)
-            low, high = np.searchsorted(flat, one), np.searchsorted(flat, one, "right")
-            n = high - low
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            both = np.bincount(who[at], minlength=len(right))
-            hit = right[(bands.den * both >= bands.num * (len(one) + sizes - both)) & (comp[right] != comp[i])]
-            if len(hit):
-                _, first = np.unique(comp[hit], return_index=True)
-                out += [(int(fp[i]), int(fp[j])) for j in hit[first].tolist()]
-        found = _forest(np.array(out, np.int64).reshape(-1, 2))
-        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=_LINK)
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, key, component_key) for each row of ``docs``.
 
@@ -421,24 +465,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     signed = plain.select("text").mapInArrow(spared(_sign(size, bands, parts)), "part long, data binary")
     tried = written(signed.groupBy("part").applyInArrow(spared(_try(bands, parts.count)), "kind int, vb long, a long, b long"), "tried")
     one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    ends = lambda pairs, at: pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
-    # sketches and sets meet where a pair is dealt: a pivot's pairs are dealt by their other ends
-    pairs = tried.where("kind = 0").groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.col("vb"))
-    sketched = ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
-    near = written(pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(spared(_near(bands)), "vb long, a long, b long"), "near")
+    near = written(_held(tried.where("kind = 0"), one, bands), "near")
     # a class's other least classes hang on the least of them
     hung = tried.where("kind = 1").select("a", "b").distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
     many = written(hung.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "many")
     freed(tried)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).union(many.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    # where each text is wanted; null: where what is still apart will be compared
+    wanted = near.select("vb", F.explode(F.array("a", "b")).alias("fp")).union(many.select(F.lit(None).cast("long"), F.explode(F.array("a", "b"))))
+    wanted = wanted.groupBy("fp").agg(F.collect_set("vb").alias("homes"), F.max(F.col("vb").isNull()).alias("many"))
     # only texts that may be wanted are dealt by key, rows that repeat once a task
     chosen = written(one.select("fp", "key").join(wanted, "fp"), "wanted")
     some = marked(keyed.select("key", "text"), "key", chosen, "may").where("may").drop("may").dropDuplicates(["key"])
-    whole = written(some.join(chosen, "key").select("fp", "text").mapInArrow(spared(_sets(size)), "fp long, data binary"), "sets")
-    links = written(near.groupBy("vb").cogroup(ends(near, "vb").join(whole, "fp").groupBy("at")).applyInArrow(spared(_verify(bands)), "a long, b long").distinct(), "links")
+    whole = written(some.join(chosen, "key").select("fp", "homes", "many", "text"), "texts")
+    links = written(_linked(near, whole.select(F.explode("homes").alias("at"), "fp", "text"), size, bands), "links")
     roots = components(links)
     if not many.isEmpty():
-        roots = _settle(many, links, roots, whole, bands)
+        roots = _settle(many, links, roots, whole, one, size, bands)
     freed(near, many, chosen, whole, links)
     low = member.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     rooted = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -458,22 +500,42 @@ def _sets_of_bands(member: DataFrame, bands: Bands) -> np.ndarray:
     return sets
 
 
-def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Roots after what signatures with many classes have in common is compared whole."""
+def _ends(pairs: DataFrame, at: str) -> DataFrame:
+    return pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
+
+
+def _held(pairs: DataFrame, one: DataFrame, bands: Bands) -> DataFrame:
+    """Of the pairs (vb, a, b), which may repeat, those that sizes and sketches don't rule out."""
+    # sketches and sets meet where a pair is dealt: a pivot's pairs are dealt by their other ends
+    pairs = pairs.groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.col("vb"))
+    sketched = _ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
+    return pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(spared(_near(bands)), "vb long, a long, b long")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """Links (a, b) among the pairs; texts: (at, fp, text)."""
+    return pairs.groupBy("vb").cogroup(texts.groupBy("at")).applyInArrow(spared(_verify(size, bands)), "a long, b long").distinct()
+
+
+def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, whole: DataFrame, one: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """Roots after the sets of a cluster, which signatures with many classes hold together, have met by rare shingles."""
     cluster = components(many)
     node = cluster.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).join(roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     node = written(node, "clusters")
-    sized = node.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    best = sized.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda rows: F.ceil(rows / F.lit(float(BLOCK))).cast("int")
-    best = best.select("cluster", F.col("top.comp").alias("top"), blocks(F.col("total")).alias("na"), F.greatest(F.lit(1), blocks(F.col("total") - F.col("top.c"))).alias("nt"))
-    open_ = written(node.join(best, "cluster").join(sets, "fp"), "open")
+    apart = node.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    open_ = written(node.join(apart.select("cluster"), "cluster").select("fp", "cluster", "comp"), "open")
     if open_.isEmpty():
         return roots
-    salt = lambda k: F.pmod(F.xxhash64("fp"), F.col(k).cast("long")).cast("int")
-    apart = open_.where("comp <> top").select("cluster", salt("nt").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(True).alias("apart"), "fp", "comp", "data")
-    whole = open_.select("cluster", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("i"), salt("na").alias("j"), F.lit(False).alias("apart"), "fp", "comp", "data")
-    more = apart.unionByName(whole).groupBy("cluster", "i", "j").applyInArrow(spared(_compare(bands)), "a long, b long")
+    texts = written(marked(whole.where("many").select("fp", "text"), "fp", open_, "may").where("may").drop("may").join(open_, "fp"), "apart")
+    count = texts.select("text").mapInArrow(spared(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    times = np.zeros(COUNTERS, np.int64)
+    times[[r["slot"] for r in count]] = [r["n"] for r in count]
+    rank = np.argsort(np.argsort(times, kind="stable")).astype(np.uint16)
+    parts = max(LEAST_PARTS, int(times.sum()) * (bands.den - bands.num) // bands.den // PART_SIGS + 1)
+    rare = texts.mapInArrow(spared(_rarest(size, bands, rank, parts)), "part long, data binary")
+    met = written(rare.groupBy("part").applyInArrow(spared(_meet(bands, parts)), "vb long, a long, b long"), "met")
+    near = written(_held(met, one, bands), "nearer")
+    more = written(_linked(near, _ends(near, "vb").join(texts.select("fp", "text"), "fp"), size, bands), "more")
     settled = components(links.union(more))
-    freed(node, open_)
+    freed(node, open_, texts, met, near, more)
     return settled

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from tessera.llm import jaccard
 from tessera.llm._tables import marked
 
@@ -40,3 +41,29 @@ def test_near_copies_deal_only_rows_that_may_go_or_repeat(spark, sf):
     assert len(got) == len(set(got))
     found = jaccard.near_duplicates(docs, size=5, num=80).where("doc_id = component_id")
     assert set(got) == {r.doc_id for r in found.collect()}
+
+
+def test_sets_that_share_a_common_passage_are_not_sent_to_each_other_and_links_still_meet():
+    bands, size, parts = jaccard.Bands(80, 100), 2, 7
+    words = lambda tag, n: [f"{tag}w{i}" for i in range(n)]
+    passage = words("p", 60)
+    texts = [" ".join(passage + words(f"a{i}x", 50)) for i in range(150)]
+    texts += [" ".join(passage + words(f"a{i}x", 50)[: 50 - i] + words(f"new{i}x", i)) for i in range(9)]
+    fp = list(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"fp": pa.array(fp, pa.int64()), "cluster": pa.array([5] * len(fp), pa.int64()), "comp": pa.array(fp, pa.int64()), "text": texts})
+    times = np.zeros(jaccard.COUNTERS, np.int64)
+    for rows in jaccard._counted(size)([batch]):
+        times[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    met = {}
+    for rank in (np.argsort(np.argsort(times, kind="stable")), np.random.RandomState(1).permutation(jaccard.COUNTERS)):
+        dealt = {}
+        for rows in jaccard._rarest(size, bands, rank, parts)([batch]):
+            for part, data in zip(*(rows.column(k).to_pylist() for k in ("part", "data"))):
+                dealt.setdefault(part, []).append(data)
+        tables = [jaccard._meet(bands, parts)(pa.table({"data": pa.array(d, pa.binary())})) for d in dealt.values()]
+        met[len(met)] = {(a, b) for t in tables for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())}
+    sets = [frozenset(zip(w, w[1:])) for w in (t.split() for t in texts)]
+    links = {(i, j) for j in fp for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    # any order of shingles loses no link; the order by rarity lets hardly any others meet
+    assert len(links) >= 5 and links <= met[0] and links <= met[1]
+    assert len(met[0]) < 3 * len(links) < len(met[1])
