@@ -37,6 +37,8 @@ from ._text import Words, mix, pack, ranges, slices, spared, unpack, utf8, windo
 FEW, BLOCK = 24, 2048
 #: Signatures of a part and the least number of parts; signatures that a task packs at once.
 PART_SIGS, LEAST_PARTS, PACKED_SIGS = 1_500_000, 64, 1 << 20
+#: Rare shingles of a part, and the least number of parts: a pair is made once in each part it meets in.
+PART_RARE, LEAST_RARE = 1 << 18, 8
 #: One spare partition for so many needed.
 SPARE = 5
 #: Cells of a sketch.
@@ -217,7 +219,7 @@ def _packed(part: np.ndarray, sig: np.ndarray, fp: np.ndarray, n: np.ndarray, *m
     data = []
     for s, m in zip(starts.tolist(), sizes.tolist()):
         first, times = ranges(fp[s : s + m])
-        data.append(pack(sig[s : s + m], fp[s : s + m][first], times.astype(np.uint32), n[s : s + m][first], *(a[s : s + m][first] for a in more)))
+        data.append(pack(sig[s : s + m], fp[s : s + m][first], times.astype(np.uint32), n[s : s + m][first], *(a[s : s + m][first].reshape(-1) for a in more)))
     return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array(data, pa.binary())], schema=_PACKED)
 
 
@@ -321,29 +323,40 @@ def _rarest(size: int, bands: Bands, rank: np.ndarray, parts: int):
         for batch in batches:
             for rows in slices(batch):
                 x, n = shingle_sets(rows.column("text"), size)
-                d = np.repeat(np.arange(len(n)), n)
+                d, sketch = np.repeat(np.arange(len(n)), n), sketches(x, n)
                 order = np.lexsort((x, rank[_slot(x)], d))
                 first = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) < (n - -(-bands.num * n // bands.den) + 1)[d]
                 x, d = x[order][first], d[first]
                 named = lambda k: rows.column(k).to_numpy(zero_copy_only=False)[d]
                 h = mix(x + mix(named("cluster").view(np.uint64)))
                 if len(x):
-                    yield _packed((h >> _32).astype(np.int64) % parts, h, named("fp"), n[d], named("comp"))
+                    yield _packed((h >> _32).astype(np.int64) % parts, h, named("fp"), n[d], named("comp"), sketch[d])
 
     return run
 
 
-def _meet(bands: Bands, parts: int):
-    """Pairs a < b of different components under one shingle, with sizes of a link, and the place vb where they meet: a pair is
+def _meet(bands: Bands, parts: int, pivots: bool = False):
+    """With pivots, of a shingle of more than FEW sets only the pairs with three of them, which differ from shingle to shingle.  Pairs a < b of different components under one shingle, that sizes and sketches don't rule out, and the place vb where they meet: a pair is
     dealt by the end whose component has more sets there, so these don't go along with each of the few."""
 
     def run(table: pa.Table) -> pa.Table:
         each = [unpack(d) for d in table.column("data").to_pylist()]
         sig = np.concatenate([e[0] for e in each])
         fp, size, comp = (np.concatenate([np.repeat(e[k], e[2]) for e in each]) for k in (1, 3, 4))
-        size = size.astype(np.int64)
+        size, flat = size.astype(np.int64), np.concatenate([e[5] for e in each]).reshape(-1, CELLS)
+        name = np.repeat(np.arange(len(flat)), np.concatenate([e[2] for e in each]))
         order = np.lexsort((fp, comp, sig))
-        sig, fp, size, comp = sig[order], fp[order], size[order], comp[order]
+        sig, fp, size, comp, name = sig[order], fp[order], size[order], comp[order], name[order]
+
+        def pairs(i, j, by):
+            fit = (comp[i] != comp[j]) & (bands.den * np.minimum(size[i], size[j]) >= bands.num * np.maximum(size[i], size[j]))
+            i, j, by = i[fit], j[fit], by[fit]
+            for k in range(0, len(i), 1 << 15):
+                a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                fit = _may_link(flat[name[a]], flat[name[b]], size[a] + size[b], bands)
+                a, b = fp[a[fit]], fp[b[fit]]
+                yield np.unique(np.stack([_home(by[k : k + (1 << 15)][fit], parts), np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
         out, many = [np.zeros((0, 3), np.int64)], 0
         starts, sizes = ranges(sig)
         own = ranges(np.cumsum(np.concatenate([[1], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])])))
@@ -351,6 +364,13 @@ def _meet(bands: Bands, parts: int):
         end = np.repeat(starts + sizes, sizes)
         # each row with the rows of its shingle after those of its component, some at a time
         left = end - after
+        if pivots:
+            large = np.repeat(sizes > FEW, sizes)
+            left[large] = 0
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            for z in (1, 2, 3):
+                at = np.lexsort((mix(fp.view(np.uint64) ^ mix(sig.astype(np.uint64) + _S[z])), sig))[starts][group]
+                out += pairs(np.flatnonzero(large), at[large], fp[large])
         upto = np.cumsum(left)
         at = 0
         while at < len(sig):
@@ -358,11 +378,9 @@ def _meet(bands: Bands, parts: int):
             n = left[at:to]
             i = np.repeat(np.arange(at, to), n)
             j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[at:to], n)
-            fit = bands.den * np.minimum(size[i], size[j]) >= bands.num * np.maximum(size[i], size[j])
-            i, j = i[fit], j[fit]
             by = np.where(same[i] > same[j], fp[i], np.where(same[i] < same[j], fp[j], np.minimum(fp[i], fp[j])))
-            out.append(np.unique(np.stack([_home(by, parts), np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], axis=1), axis=0))
-            many, at = many + len(out[-1]), to
+            new = list(pairs(i, j, by))
+            out, many, at = out + new, many + sum(map(len, new)), to
             if many > 1 << 21:
                 out, many = [np.unique(np.concatenate(out), axis=0)], 0
         found = np.unique(np.concatenate(out), axis=0)
@@ -398,6 +416,12 @@ def _forest(found: np.ndarray) -> np.ndarray:
     return found[keep]
 
 
+def _may_link(one: np.ndarray, other: np.ndarray, both: np.ndarray, bands: Bands) -> np.ndarray:
+    """Whether sketches leave no more differences than linking sets with so many shingles in both have at most."""
+    gap = one - other
+    return (bands.den + bands.num) * np.minimum(gap, -gap).sum(axis=1, dtype=np.int64) <= (bands.den - bands.num) * both
+
+
 def _near(bands: Bands):
     """Pairs that their sizes and sketches don't rule out."""
 
@@ -409,11 +433,7 @@ def _near(bands: Bands):
         out = []
         for batch in pairs.to_batches(max_chunksize=16384):
             a, b = np.searchsorted(names, batch.column("a").to_numpy()), np.searchsorted(names, batch.column("b").to_numpy())
-            gap = flat[a] - flat[b]
-            least = np.minimum(gap, -gap).sum(axis=1, dtype=np.int64)
-            both = n[a] + n[b]
-            # differences that linking sets of these sizes have at most
-            out.append(batch.filter(pa.array((bands.den + bands.num) * least <= (bands.den - bands.num) * both)))
+            out.append(batch.filter(pa.array(_may_link(flat[a], flat[b], n[a] + n[b], bands))))
         return pa.Table.from_batches(out, schema=pairs.schema).select(["vb", "a", "b"]) if out else pairs.select(["vb", "a", "b"])
 
     return run
@@ -465,7 +485,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     signed = plain.select("text").mapInArrow(spared(_sign(size, bands, parts)), "part long, data binary")
     tried = written(signed.groupBy("part").applyInArrow(spared(_try(bands, parts.count)), "kind int, vb long, a long, b long"), "tried")
     one = member.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = written(_held(tried.where("kind = 0"), one, bands), "near")
+    pairs = tried.where("kind = 0").groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.col("vb"))
+    # sketches and sets meet where a pair is dealt: a pivot's pairs are dealt by their other ends
+    sketched = _ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
+    near = written(pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(spared(_near(bands)), "vb long, a long, b long"), "near")
     # a class's other least classes hang on the least of them
     hung = tried.where("kind = 1").select("a", "b").distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
     many = written(hung.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "many")
@@ -480,7 +503,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     links = written(_linked(near, whole.select(F.explode("homes").alias("at"), "fp", "text"), size, bands), "links")
     roots = components(links)
     if not many.isEmpty():
-        roots = _settle(many, links, roots, whole, one, size, bands)
+        roots = _settle(many, links, roots, whole, size, bands)
     freed(near, many, chosen, whole, links)
     low = member.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
     rooted = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -504,38 +527,37 @@ def _ends(pairs: DataFrame, at: str) -> DataFrame:
     return pairs.select(F.col(at).alias("at"), F.explode(F.array("a", "b")).alias("fp")).distinct()
 
 
-def _held(pairs: DataFrame, one: DataFrame, bands: Bands) -> DataFrame:
-    """Of the pairs (vb, a, b), which may repeat, those that sizes and sketches don't rule out."""
-    # sketches and sets meet where a pair is dealt: a pivot's pairs are dealt by their other ends
-    pairs = pairs.groupBy("a", "b").agg(F.min("vb").alias("vb")).withColumn("home", F.col("vb"))
-    sketched = _ends(pairs, "home").join(one.select("fp", "n", "sketch"), "fp")
-    return pairs.groupBy("home").cogroup(sketched.groupBy("at")).applyInArrow(spared(_near(bands)), "vb long, a long, b long")
-
-
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Links (a, b) among the pairs; texts: (at, fp, text)."""
     return pairs.groupBy("vb").cogroup(texts.groupBy("at")).applyInArrow(spared(_verify(size, bands)), "a long, b long").distinct()
 
 
-def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, whole: DataFrame, one: DataFrame, size: int, bands: Bands) -> DataFrame:
+def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, whole: DataFrame, size: int, bands: Bands) -> DataFrame:
     """Roots after the sets of a cluster, which signatures with many classes hold together, have met by rare shingles."""
-    cluster = components(many)
-    node = cluster.select(F.col("node").alias("fp"), F.col("root").alias("cluster")).join(roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    node = written(node, "clusters")
-    apart = node.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    open_ = written(node.join(apart.select("cluster"), "cluster").select("fp", "cluster", "comp"), "open")
-    if open_.isEmpty():
-        return roots
-    texts = written(marked(whole.where("many").select("fp", "text"), "fp", open_, "may").where("may").drop("may").join(open_, "fp"), "apart")
-    count = texts.select("text").mapInArrow(spared(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    times = np.zeros(COUNTERS, np.int64)
-    times[[r["slot"] for r in count]] = [r["n"] for r in count]
-    rank = np.argsort(np.argsort(times, kind="stable")).astype(np.uint16)
-    parts = max(LEAST_PARTS, int(times.sum()) * (bands.den - bands.num) // bands.den // PART_SIGS + 1)
-    rare = texts.mapInArrow(spared(_rarest(size, bands, rank, parts)), "part long, data binary")
-    met = written(rare.groupBy("part").applyInArrow(spared(_meet(bands, parts)), "vb long, a long, b long"), "met")
-    near = written(_held(met, one, bands), "nearer")
-    more = written(_linked(near, _ends(near, "vb").join(texts.select("fp", "text"), "fp"), size, bands), "more")
-    settled = components(links.union(more))
-    freed(node, open_, texts, met, near, more)
-    return settled
+    cluster = written(components(many).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
+    rank, made = None, [cluster]
+    # most of what can be linked is linked by pivots; then all pairs of what is still apart
+    for pivots in (True, False):
+        node = cluster.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        node = written(node, "nodes")
+        apart = node.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        open_ = written(node.join(apart.select("cluster"), "cluster").select("fp", "cluster", "comp"), "open")
+        made += [node, open_]
+        if open_.isEmpty():
+            break
+        texts = written(marked(whole.where("many").select("fp", "text"), "fp", open_, "may").where("may").drop("may").join(open_, "fp"), "apart")
+        if rank is None:
+            count = texts.select("text").mapInArrow(spared(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+            times = np.zeros(COUNTERS, np.int64)
+            times[[r["slot"] for r in count]] = [r["n"] for r in count]
+            rank = np.argsort(np.argsort(times, kind="stable")).astype(np.uint16)
+            parts = max(LEAST_RARE, int(times.sum()) * (bands.den - bands.num) // bands.den // PART_RARE + 1)
+        rare = texts.mapInArrow(spared(_rarest(size, bands, rank, parts)), "part long, data binary")
+        met = rare.groupBy("part").applyInArrow(spared(_meet(bands, max(LEAST_PARTS, parts), pivots)), "vb long, a long, b long")
+        near = written(met.groupBy("a", "b").agg(F.min("vb").alias("vb")), "met")
+        more = written(_linked(near, _ends(near, "vb").join(texts.select("fp", "text"), "fp"), size, bands), "more")
+        links = links.union(more)
+        roots = components(links)
+        made += [texts, near, more]
+    freed(*made)
+    return roots

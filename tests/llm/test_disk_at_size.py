@@ -64,6 +64,6 @@ def test_sets_that_share_a_common_passage_are_not_sent_to_each_other_and_links_s
         met[len(met)] = {(a, b) for t in tables for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())}
     sets = [frozenset(zip(w, w[1:])) for w in (t.split() for t in texts)]
     links = {(i, j) for j in fp for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    # any order of shingles loses no link; the order by rarity lets hardly any others meet
+    # any order of shingles loses no link, and hardly any others are sent on
     assert len(links) >= 5 and links <= met[0] and links <= met[1]
-    assert len(met[0]) < 3 * len(links) < len(met[1])
+    assert max(len(met[0]), len(met[1])) < 3 * len(links)
