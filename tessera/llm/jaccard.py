@@ -43,8 +43,8 @@ PART_RARE, LEAST_RARE = 1 << 18, 8
 SPARE = 5
 #: Cells of a sketch.
 CELLS = 128
-#: Counters of shingles, by which they are rare or common.
-COUNTERS = 1 << 16
+#: Counters of shingles, by which they are rare or common, and the parts in which tasks' counts are added up.
+COUNTERS, COUNTER_PARTS = 1 << 16, 64
 _BAND = 1.3
 _S = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6D)]
 _LOW32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -311,6 +311,34 @@ def _counted(size: int):
     return run
 
 
+def _packed_counts(slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts by ascending counter, a row for each part of the counters."""
+    part = slot.astype(np.int64) * COUNTER_PARTS // COUNTERS
+    starts, sizes = ranges(part)
+    data = [pack(slot[s : s + m].astype(np.uint16), n[s : s + m]) for s, m in zip(starts.tolist(), sizes.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(data, pa.binary())], schema=_PACKED)
+
+
+def _counted_parts(size: int):
+    """What ``_counted`` says of a task: a row for each part of the counters, not for each counter."""
+
+    def run(batches):
+        for rows in _counted(size)(batches):
+            yield _packed_counts(*(c.to_numpy() for c in rows.columns))
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The counts of all tasks for a part of the counters."""
+    total = np.zeros(COUNTERS, np.int64)
+    for data in table.column("data").to_pylist():
+        slot, n = unpack(data)
+        total[slot] += n
+    some = np.flatnonzero(total)
+    return pa.Table.from_batches([_packed_counts(some, total[some])])
+
+
 def _slot(x: np.ndarray) -> np.ndarray:
     return (mix(x ^ _S[2]) >> np.uint64(48)).astype(np.int64)
 
@@ -547,9 +575,10 @@ def _settle(many: DataFrame, links: DataFrame, roots: DataFrame, whole: DataFram
             break
         texts = written(marked(whole.where("many").select("fp", "text"), "fp", open_, "may").where("may").drop("may").join(open_, "fp"), "apart")
         if rank is None:
-            count = texts.select("text").mapInArrow(spared(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+            count = texts.select("text").mapInArrow(spared(_counted_parts(size)), "part long, data binary").groupBy("part").applyInArrow(spared(_added), "part long, data binary").collect()
             times = np.zeros(COUNTERS, np.int64)
-            times[[r["slot"] for r in count]] = [r["n"] for r in count]
+            for slot, n in (unpack(r["data"]) for r in count):
+                times[slot] = n
             rank = np.argsort(np.argsort(times, kind="stable")).astype(np.uint16)
             parts = max(LEAST_RARE, int(times.sum()) * (bands.den - bands.num) // bands.den // PART_RARE + 1)
         rare = texts.mapInArrow(spared(_rarest(size, bands, rank, parts)), "part long, data binary")
